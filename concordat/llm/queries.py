@@ -1,17 +1,26 @@
-"""The registered queries of this subpackage, and SQL for those that it can express."""
+"""The registered queries of this subpackage, and SQL for those that it can express.
+
+SQL is given where DuckDB can compute the same rows: for line dedup. The other operators hash, learn,
+tokenise or iterate; their tests compare them with brute force, round trips or held-out accuracy.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from concordat.llm import bpe, classifier, fingerprint, langid, lines, minhash, mixing, private, rules, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def vocabulary(name: str) -> str:
     """Where a public tokenizer file lies."""
     import public_tokenizers
@@ -20,26 +29,62 @@ def vocabulary(name: str) -> str:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from concordat.llm.fingerprint import fingerprint_edits
+    return fingerprint.fingerprint_edits(documents(spark, sf_dir))
+
 
-    return fingerprint_edits(documents(spark, sf_dir))
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.remove_repeats(documents(spark, sf_dir))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from concordat.llm.bpe import encode_decode
+    return bpe.encode_decode(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
-    return encode_decode(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(documents(spark, sf_dir))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir))
+
+
+def op9_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.private_spans(documents(spark, sf_dir))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from concordat.llm.token_files import round_trip
+    return token_files.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=2)
+
 
-    return round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=2)
+OPERATORS = (
+    op1_fingerprints,
+    op2_lines,
+    op3_bpe,
+    op4_near_duplicates,
+    op5_quality_rules,
+    op6_quality,
+    op7_language,
+    op8_mixing,
+    op9_private,
+    op10_token_files,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_bpe, op10_token_files)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_lines": lines.SQL}

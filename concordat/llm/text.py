@@ -123,3 +123,32 @@ def code_points(text: str) -> np.ndarray:
 
 def binary_column(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
+
+
+#: Byte classes of tokens: 1 for ASCII letters, digits and all bytes of other characters, 2 for punctuation.
+_TOKEN = np.full(256, 2, np.uint8)
+_TOKEN[list(range(0x30, 0x3A)) + list(range(0x41, 0x5B)) + list(range(0x61, 0x7B)) + list(range(0x80, 0x100))] = 1
+_TOKEN[list(SPACES)] = 0
+
+
+def token_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first token of each row and the end) of runs of word characters or of punctuation."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    kind = _TOKEN[data]
+    flag = np.empty(n, bool)
+    flag[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=flag[1:])
+    flag[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(flag)
+    ends = np.append(starts[1:], n)
+    keep = kind[starts] > 0
+    starts, ends = starts[keep], ends[keep]
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def sums_by_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the items of each row, from the first item of each row and the end."""
+    total = np.concatenate([np.zeros(1, np.result_type(values.dtype, np.int64)), np.cumsum(values)])
+    return total[bounds[1:]] - total[bounds[:-1]]
