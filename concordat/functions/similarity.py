@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -31,18 +32,18 @@ def _indel(a: str | None, b: str | None) -> float | None:
     return 2.0 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_indel(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     found = [None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)]
     return pd.Series(found, dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _plain(a: pd.Series) -> pd.Series:
     def one(x: str | None) -> str | None:
         if x is None or x.isascii():

@@ -102,12 +102,12 @@ def validate_playlists(playlists: DataFrame, pairs: DataFrame, mappings: DataFra
     both = member.join(listed, ["playlist_id", "uri"], "full_outer")
     counts = both.groupBy("playlist_id").agg(
         F.count("__member").alias("catalog"),
-        F.count_if("local = 1").alias("local"),
+        F.count_if(F.expr("local = 1")).alias("local"),
         F.count("__listed").alias("listed"),
-        F.count_if("local = 1 and __listed is null").alias("missing"),
-        F.count_if("__listed = 1 and __member is null").alias("unexpected"),
-        F.count_if("__member = 1 and mapped = 1 and local is null").alias("file_missing"),
-        F.count_if("__member = 1 and mapped is null").alias("no_mapping"),
+        F.count_if(F.expr("local = 1 and __listed is null")).alias("missing"),
+        F.count_if(F.expr("__listed = 1 and __member is null")).alias("unexpected"),
+        F.count_if(F.expr("__member = 1 and mapped = 1 and local is null")).alias("file_missing"),
+        F.count_if(F.expr("__member = 1 and mapped is null")).alias("no_mapping"),
     )
     files = parsed.select(F.col("file").alias("playlist_id"), F.lit(True).alias("has_file")).distinct()
     out = playlists.select("playlist_id", "name").join(counts, "playlist_id", "left").join(files, "playlist_id", "left")

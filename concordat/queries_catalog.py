@@ -315,9 +315,9 @@ def win1_first_seen(spark, sf):
     return reconcile.first_seen(e, "key", "ts", "event_id").select("user_id", "event_type", "ts", "event_id")
 
 
-@query(with_roles("tracks", "pairs", "incoming_pairs") + "select distinct uri from incoming_pairs where uri not in (select uri from mapped)".replace("mapped", "pairs where playlist_id < 'pl5'"))
+@query(with_roles("mappings", "incoming_pairs") + "select distinct uri from incoming_pairs where uri not in (select uri from mappings)")
 def set3_master_delta(spark, sf):
-    return reconcile.delta(b.incoming_pairs(spark, sf), b.pairs(spark, sf).where("playlist_id < 'pl5'"), "uri")
+    return reconcile.delta(b.incoming_pairs(spark, sf), b.mappings(spark, sf), "uri")
 
 
 @query(with_roles("tracks", "pairs", "mappings") + """, filed as (select uri from pairs where playlist_id < 'pl4'), unsorted as (select uri from mappings)
