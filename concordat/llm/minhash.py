@@ -25,6 +25,8 @@ from concordat.llm.text import ASCII_LOWER, U, blocks, mix, pair_hashes, span_ha
 from concordat.llm.union import components
 
 CHUNKS, WIDTH, BITS = 15, 6, 10
+#: Members of a bucket that one task compares with each other at once; larger ones are compared by blocks.
+BLOCK_NODES = 256
 _SEEDS = mix(np.arange(1, CHUNKS * WIDTH + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _ODD = mix(_SEEDS) | U(1)
 
@@ -119,14 +121,105 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _links_within(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Pairs of places of ``nodes`` under different roots whose sets are alike enough.
+
+    Intersections of all pairs are one matrix product over the shingles that two of the sets share.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    if len(sets) == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        shared = np.array([[0, both], [both, 0]])
+    else:
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(np.concatenate(sets), kind="stable")
+        ranked, owner = np.concatenate(sets)[order], owner[order]
+        first = np.flatnonzero(np.diff(ranked, prepend=ranked[:1] - 1) != 0)
+        runs = np.diff(np.append(first, len(ranked)))
+        column = np.repeat(np.cumsum(runs > 1) - 1, runs)
+        keep = np.repeat(runs > 1, runs)
+        column, owner = column[keep], owner[keep]
+        shared = np.zeros((len(sets), len(sets)), np.float32)
+        width = max(1, (1 << 22) // len(sets))
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, (lo, lo + width))
+            part = np.zeros((len(sets), width), np.float32)
+            part[owner[a:b], column[a:b] - lo] = 1
+            shared += part @ part.T
+        shared = shared.astype(np.int64)
+    alike = 100 * shared >= percent * (sizes[:, None] + sizes - shared)
+    return np.argwhere(alike & (roots[:, None] != roots) & (nodes[:, None] < nodes))
+
+
+def confirm_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) among the nodes of each group of ``rows(grp, node, root, shingles)``.
+
+    Groups are bounded by 2 * BLOCK_NODES; a task walks through its groups in order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = (None, [], [], [])
+
+        def close(group: tuple) -> list[tuple[int, int]]:
+            nodes, roots = np.array(group[1]), np.array(group[2])
+            if len(nodes) < 2:
+                return []
+            return [(int(nodes[i]), int(nodes[j])) for i, j in _links_within(nodes, roots, group[3], percent)]
+
+        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            pairs: list[tuple[int, int]] = []
+            lists = batch.column(3)
+            flat, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            for k, (grp, node, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                if grp != held[0]:
+                    pairs += close(held)
+                    held = (grp, [], [], [])
+                held[1].append(node)
+                held[2].append(root)
+                held[3].append(flat[offsets[k] : offsets[k + 1]].copy())
+            yield out(pairs)
+        yield out(close(held))
+
+    ordered = rows.select("grp", "node", "root", "shingles").repartition("grp").sortWithinPartitions("grp")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def groups_of(members: DataFrame) -> DataFrame:
+    """(grp, node, root): bounded groups in which any two nodes that share a key of ``members`` meet.
+
+    Keys with the same members count once. A key of up to BLOCK_NODES members is a group. Larger ones are
+    put together with those that they share nodes with, so that a pair of a large group of near copies,
+    which share very many keys, is compared once; such a cluster is cut into blocks by hash, and each
+    pair of blocks is a group.
+    """
+    profile = members.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"), F.min("node").alias("low"))
+    profile = table(profile.groupBy("k", "h", "low").agg(F.min("key").alias("key")), "open-profiles")
+    once = members.join(profile.select("key", "k", "low"), "key")
+    small = once.where(F.col("k") <= BLOCK_NODES).select(F.xxhash64(F.lit(0), "key").alias("grp"), "node", "root")
+    large = once.where(F.col("k") > BLOCK_NODES)
+    if large.isEmpty():
+        return small
+    clusters = components(large.select(F.col("low").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
+    clusters = table(clusters, "clusters")
+    counts = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("parts"))
+    roots = large.select("node", "root").distinct()
+    placed = clusters.join(counts, "cluster").join(roots, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    grp = F.xxhash64(F.lit(1), "cluster", F.least("own", "other"), F.greatest("own", "other"))
+    return small.unionByName(dealt.select(grp.alias("grp"), "node", "root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs``.
 
     Rows with equal sets form a class, of which only the smallest id takes part in the join. In each
-    bucket of the index, first every member is compared with the smallest one, and then, by rounds,
-    only members of different components are: with a member drawn by hash, and at last with all. So
-    a large group of near copies costs a few comparisons for each member, and no link between
-    different components is left out.
+    bucket of the index, first every member is compared with the smallest one, then with one drawn by
+    hash: a large group of near copies costs a few comparisons for each member. Then the members of
+    buckets with several components left are all compared across components, in bounded groups, so
+    no link between different components is left out.
 
     Rows with null or empty texts, or without words, have no shingles and link with nothing. Rows of
     the same id are one node. A row with a null id links only with rows of an equal set; it is kept
@@ -145,34 +238,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     shared = table(keys.join(met, "key"), "shared-keys")
     needed = shared.select(F.col("node").alias("doc_id")).distinct()
     sets = table(full_sets(rows.join(needed, "doc_id", "left_semi"), words), "sets")
-
     fits = F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
 
-    def first_of(members: DataFrame, order: list) -> DataFrame:
-        """Each member of a key with the key's first one, as (a, b), if their components differ."""
+    def with_first(members: DataFrame, order: list) -> DataFrame:
+        """Each member of a key with the key's first one, as (a, b), if their components and sizes allow a new link."""
         lead = members.groupBy("key").agg(F.min(F.struct(*order, "node", "n", "root")).alias("lead"))
         both = members.join(lead, "key").where(F.col("root") != F.col("lead.root"))
-        return both.select(F.col("lead.node").alias("a"), F.col("lead.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n"))
-
-    def all_of(members: DataFrame) -> DataFrame:
-        one = members.select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"))
-        two = members.select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-        return one.join(two, "key").where("a_root < b_root")
-
-    links, roots, tried = None, None, None
-    for step in ("smallest", "drawn", "all"):
-        members = shared.withColumn("root", F.col("node"))
-        if roots is not None:
-            members = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            open_keys = members.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
-            members = table(members.join(open_keys.select("key"), "key").select("key", "node", "n", "root"), "open-keys")
-        found = all_of(members) if step == "all" else first_of(members, [F.xxhash64("node", "key")] if step == "drawn" else [])
-        pairs = found.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = table(confirm(pairs, sets, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        roots = table(components(links), "roots")
+        both = both.select(F.col("lead.node").alias("a"), F.col("lead.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n"))
+        return both.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def still_open(roots: DataFrame) -> DataFrame:
+        """The members of keys with more than one component."""
+        members = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_keys = members.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
+        return table(members.join(open_keys.select("key"), "key").select("key", "node", "n", "root"), "open-keys")
+
+    links = table(confirm(with_first(shared.withColumn("root", F.col("node")), []), sets, percent), "links")
+    members = still_open(table(components(links), "roots"))
+    links = links.unionByName(table(confirm(with_first(members, [F.xxhash64("node", "key")]), sets, percent), "links"))
+    members = still_open(table(components(links), "roots"))
+    links = links.unionByName(table(confirm_groups(groups_of(members).join(sets, "node"), percent), "links"))
+    roots = table(components(links), "roots")
 
     out = signed.join(classes.select(*same, "node"), same, "left")
     out = out.join(roots.select(F.col("node"), "root"), "node", "left")
