@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Common table expressions by role.
 SQL = {
     "tracks": """tracks as (
-        select 'spotify:' || case when p_partkey % 11 = 5 then 'local' else 'track' end || ':' || p_partkey as uri,
+        select 'item:' || case when p_partkey % 11 = 5 then 'local' else 'track' end || ':' || p_partkey as uri,
                case when p_partkey % 11 = 5 then null else 'id' || p_partkey end as track_id,
                p_name || case when p_partkey % 5 = 0 then ' (Extended Mix)' when p_partkey % 5 = 1 then ' - Radio Edit' else '' end as title,
                p_brand || case when p_partkey % 4 = 3 then ', Guest' || (p_partkey % 7) else '' end as artists,
@@ -25,7 +25,7 @@ SQL = {
                case when p_partkey % 13 = 0 then null else album end as album, duration_ms, is_local, added_at
         from (select t.*, cast(split_part(uri, ':', 3) as bigint) as p_partkey from tracks t) where p_partkey % 10 <> 0
         union all
-        select 'spotify:track:new' || s_suppkey, 'new' || s_suppkey, s_name, 'Brand#' || (s_suppkey % 25), 'NEW', 180000, false, timestamp '2024-01-01'
+        select 'item:track:new' || s_suppkey, 'new' || s_suppkey, s_name, 'Brand#' || (s_suppkey % 25), 'NEW', 180000, false, timestamp '2024-01-01'
         from supplier)""",
     "playlists": """playlists as (
         select 'pl' || s_suppkey as playlist_id, s_name as name, 'v' || (s_suppkey % 6) as token from supplier)""",
@@ -34,15 +34,15 @@ SQL = {
                'v' || case when s_suppkey % 3 = 0 then s_suppkey % 5 else s_suppkey % 6 end as token from supplier where s_suppkey % 9 <> 4
         union all select 'plc' || c_custkey, c_name, 'v1' from customer where c_nationkey = 3)""",
     "pairs": """pairs as (
-        select distinct 'spotify:' || case when l_partkey % 11 = 5 then 'local' else 'track' end || ':' || l_partkey as uri, 'pl' || l_suppkey as playlist_id
+        select distinct 'item:' || case when l_partkey % 11 = 5 then 'local' else 'track' end || ':' || l_partkey as uri, 'pl' || l_suppkey as playlist_id
         from lineitem)""",
     "incoming_pairs": """incoming_pairs as (
-        select distinct 'spotify:' || case when l_partkey % 11 = 5 then 'local' else 'track' end || ':' || l_partkey as uri,
+        select distinct 'item:' || case when l_partkey % 11 = 5 then 'local' else 'track' end || ':' || l_partkey as uri,
                'pl' || case when l_linenumber = 1 and l_partkey % 3 = 0 then l_suppkey // 2 else l_suppkey end as playlist_id
         from lineitem where l_returnflag <> 'R' or l_partkey % 2 = 0)""",
     "mappings": """mappings as (
         select c_custkey as mapping_id, '/music/' || c_mktsegment || '/' || p_brand || ' - ' || p_name || ' ' || c_custkey || '.mp3' as file_path,
-               'spotify:' || case when p_partkey % 11 = 5 then 'local' else 'track' end || ':' || p_partkey as uri, c_custkey % 13 <> 0 as is_active
+               'item:' || case when p_partkey % 11 = 5 then 'local' else 'track' end || ':' || p_partkey as uri, c_custkey % 13 <> 0 as is_active
         from customer join part on p_partkey = c_custkey * 3 // 4)""",
     "inventory": """inventory as (
         select file_path, cast(mapping_id * 7 % 600 as bigint) * 1000 as duration_ms,
@@ -53,7 +53,7 @@ SQL = {
                cast(s_suppkey % 500 as bigint) * 1000, ''
         from supplier join part on p_partkey = s_suppkey)""",
     "ratings": """ratings as (
-        select 'spotify:' || case when doc_id % 11 = 5 then 'local' else 'track' end || ':' || doc_id as uri,
+        select 'item:' || case when doc_id % 11 = 5 then 'local' else 'track' end || ':' || doc_id as uri,
                cast(quality * 4 + toxic + 0.5 as double) as rating, case when toxic = 1 then 'high' else 'low' end as energy from labels)""",
 }
 
@@ -75,7 +75,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _uri(key: str):
     kind = F.when(F.col(key) % 11 == 5, F.lit("local")).otherwise(F.lit("track"))
-    return F.concat(F.lit("spotify:"), kind, F.lit(":"), F.col(key).cast("string"))
+    return F.concat(F.lit("item:"), kind, F.lit(":"), F.col(key).cast("string"))
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier")
     key = F.col("s_suppkey").cast("string")
     new = s.select(
-        F.concat(F.lit("spotify:track:new"), key).alias("uri"), F.concat(F.lit("new"), key).alias("track_id"), F.col("s_name").alias("title"),
+        F.concat(F.lit("item:track:new"), key).alias("uri"), F.concat(F.lit("new"), key).alias("track_id"), F.col("s_name").alias("title"),
         F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 25).cast("string")).alias("artists"), F.lit("NEW").alias("album"),
         F.lit(180000).cast("long").alias("duration_ms"), F.lit(False).alias("is_local"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("added_at"),
     )

@@ -202,7 +202,9 @@ def file_kind(path: Column) -> Column:
 
 
 def uri_kind(uri: Column) -> Column:
-    return F.when(F.startswith(uri, F.lit("spotify:local:")), "local").when(F.startswith(uri, F.lit("spotify:track:")), "track").otherwise("other")
+    """The second part of a:b:c if it is local or track, else other."""
+    kind = F.try_element_at(F.split(uri, ":"), F.lit(2))
+    return F.when(kind.isin("local", "track") & (F.size(F.split(uri, ":")) >= 3), kind).otherwise("other")
 
 
 def uri_id(uri: Column) -> Column:

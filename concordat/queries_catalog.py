@@ -118,7 +118,7 @@ def flt11_live_mappings(spark, sf):
 
 
 @query(with_roles("tracks") + """
-select case when uri like 'spotify:local:%' then 'local' when uri like 'spotify:track:%' then 'track' else 'other' end as kind,
+select case when uri like 'item:local:%' then 'local' when uri like 'item:track:%' then 'track' else 'other' end as kind,
        count(*) as n, count(track_id) as with_id from tracks group by 1""")
 def flt13_uri_kinds(spark, sf):
     return b.tracks(spark, sf).groupBy(T.uri_kind(F.col("uri")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count("track_id").alias("with_id"))

@@ -193,7 +193,7 @@ def comp10_resolve_conflicts(spark, sf):
 
 
 @query(with_roles("tracks", "mappings", "inventory") + """, proposed as (
-    select i.file_path, 'spotify:track:' || (cast(split_part(t.uri, ':', 3) as bigint) % 3000) as uri from (select *, row_number() over (order by file_path) as k from inventory) i
+    select i.file_path, 'item:track:' || (cast(split_part(t.uri, ':', 3) as bigint) % 3000) as uri from (select *, row_number() over (order by file_path) as k from inventory) i
     join (select *, row_number() over (order by uri) as k from tracks) t on t.k = i.k
     union all select file_path, uri from mappings)
 select p.file_path, p.uri, case when i.file_path is null then 'file_missing' when t.uri is null then 'uri_unknown' when now = p.uri then 'exists' when now is not null then 'conflict' else 'insert' end as status
@@ -203,7 +203,7 @@ def comp18_create_mappings(spark, sf):
     i, t, m = b.inventory(spark, sf), b.tracks(spark, sf), b.mappings(spark, sf)
     one = i.select("file_path", F.row_number().over(Window.orderBy("file_path")).alias("k"))
     two = t.select("uri", F.row_number().over(Window.orderBy("uri")).alias("k"))
-    drawn = one.join(two, "k").select("file_path", F.concat(F.lit("spotify:track:"), (F.split("uri", ":")[2].cast("long") % 3000).cast("string")).alias("uri"))
+    drawn = one.join(two, "k").select("file_path", F.concat(F.lit("item:track:"), (F.split("uri", ":")[2].cast("long") % 3000).cast("string")).alias("uri"))
     return linkage.create_mappings(drawn.unionByName(m.select("file_path", "uri")), i, t, m)
 
 
@@ -538,7 +538,7 @@ def comp17_catalog_ids(spark, sf):
 
 
 @query(with_roles("tracks", "ratings") + """
-select count(*) as rated, count(*) filter (where r.uri like 'spotify:track:%') as track_uris, count(*) filter (where r.uri like 'spotify:local:%') as local_uris, count(t.uri) as in_catalog,
+select count(*) as rated, count(*) filter (where r.uri like 'item:track:%') as track_uris, count(*) filter (where r.uri like 'item:local:%') as local_uris, count(t.uri) as in_catalog,
        round(100.0::double * count(t.uri) / greatest(count(*), 1), 4) as coverage from ratings r left join tracks t on t.uri = r.uri""")
 def agg14_rating_coverage(spark, sf):
     return validate.rating_coverage(b.ratings(spark, sf), b.tracks(spark, sf))
