@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.samples import remainder
+from concordat.llm.samples import least_hashed, remainder
 from concordat.llm.stage import table
 from concordat.llm.text import U, blocks, mix, rows_of, span_hashes, sums_by_row, token_spans
 
@@ -150,7 +150,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learned: int = LEARNED, c
     found = table(pooled(rows, word_vectors(context_vectors(rows))), "pooled")
     held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = found.where(~held & F.col("doc_id").isNotNull()).join(one, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(learned)
+    known = found.where(~held & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("features").alias("f")).join(one, "doc_id")
+    # At most ``learned`` rows of three numbers: a fixed bound, so this side can be broadcast.
+    chosen = least_hashed(known, learned).select("doc_id", "f", "quality")
+    sample = found.withColumn("f", F.xxhash64("features")).join(F.broadcast(chosen), ["doc_id", "f"]).orderBy(F.xxhash64("doc_id"), "doc_id", "features")
     sample = sample.select("quality", "features").toArrow()
     y = np.array(sample.column(0).to_pylist(), float)
     fixed = float(y.mean()) if len(y) else 1.0
