@@ -17,7 +17,9 @@ from concordat.llm.text import U, blocks, mix, rows_of, span_hashes, sums_by_row
 WORDS, DIMS, ENTRIES, REACH = 1 << 13, 32, 2, 2
 #: The most labelled rows that the network learns from.
 LEARNED = 20_000
-HIDDEN = 32
+HIDDEN = 48
+#: Features of a text: mean and deviation in each dimension; likeness of neighbouring words, size of the mean, log of the length.
+FEATURES = 2 * DIMS + 3
 _BLOCK = 1 << 20
 
 
@@ -76,19 +78,30 @@ def word_vectors(contexts: np.ndarray) -> np.ndarray:
 
 
 def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """(doc_id, features) of each row: mean and standard deviation of its words' vectors as 4-byte floats."""
+    """(doc_id, features) of each row as 4-byte floats: its words' vectors pooled.
+
+    These are mean and standard deviation in each dimension, the mean product of neighbouring words' vectors
+    (near 1 where a text repeats itself), the length of the mean vector and the log of the number of words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column(1)):
                 words, bounds = hashed_words(data, offsets)
                 n = np.maximum(1, np.diff(bounds))
-                found = np.zeros((hi - lo, 2 * DIMS), np.float32)
+                found = np.zeros((hi - lo, FEATURES), np.float32)
+                row = rows_of(bounds)
+                near = np.zeros(len(words))
+                beside = np.flatnonzero(row[1:] == row[:-1])
                 for d in range(DIMS):
                     x = vectors[words, d].astype(np.float64)
+                    near[beside] += x[beside] * x[beside + 1]
                     mean = sums_by_row(x, bounds) / n
                     found[:, d] = mean
                     found[:, DIMS + d] = np.sqrt(np.maximum(0, sums_by_row(x * x, bounds) / n - mean * mean))
+                found[:, 2 * DIMS] = sums_by_row(near, bounds) / np.maximum(1, n - 1)
+                found[:, 2 * DIMS + 1] = np.sqrt((found[:, :DIMS].astype(np.float64) ** 2).sum(1))
+                found[:, 2 * DIMS + 2] = np.log1p(np.diff(bounds))
                 cols = [batch.column(0).slice(lo, hi - lo), pa.array([f.tobytes() for f in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "features"])
 
@@ -98,7 +111,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
 class Network:
     """Two layers: tanh, then one logit; its probabilities are calibrated by a temperature."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 6, rounds: int = 400, rate: float = 0.01, decay: float = 1e-4):
+    def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 6, rounds: int = 1500, rate: float = 0.005, decay: float = 1e-4):
         rng = np.random.default_rng(seed)
         self.centre, self.spread = x.mean(0), x.std(0) + 1e-3
         z = (x - self.centre) / self.spread
@@ -134,7 +147,7 @@ class Network:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), 2 * DIMS).astype(np.float64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), FEATURES).astype(np.float64)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, learned: int = LEARNED, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
