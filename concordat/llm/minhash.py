@@ -122,9 +122,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _links_within(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Pairs of places of ``nodes`` under different roots whose sets are alike enough.
+    """Pairs of places of ``nodes``, under different roots, whose sets are alike enough.
 
-    Intersections of all pairs are one matrix product over the shingles that two of the sets share.
+    Intersections of all pairs are one matrix product over the shingles that two of the sets share. Of the
+    links found, those of a spanning forest are returned: fewer than there are nodes, and as connected.
     """
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     if len(sets) == 2:
@@ -148,7 +149,19 @@ def _links_within(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray],
             shared += part @ part.T
         shared = shared.astype(np.int64)
     alike = 100 * shared >= percent * (sizes[:, None] + sizes - shared)
-    return np.argwhere(alike & (roots[:, None] != roots) & (nodes[:, None] < nodes))
+    alike &= (roots[:, None] != roots) & (nodes[:, None] != nodes)
+    forest, fresh = [], np.ones(len(nodes), bool)
+    for seed in np.flatnonzero(alike.any(1)).tolist():
+        if not fresh[seed]:
+            continue
+        fresh[seed], reached = False, [seed]
+        while reached:
+            at = reached.pop()
+            new = np.flatnonzero(alike[at] & fresh)
+            fresh[new] = False
+            reached += new.tolist()
+            forest += [(at, n) for n in new.tolist()]
+    return np.array(forest, np.int64).reshape(-1, 2)
 
 
 def confirm_groups(rows: DataFrame, percent: int) -> DataFrame:
@@ -164,7 +177,8 @@ def confirm_groups(rows: DataFrame, percent: int) -> DataFrame:
             nodes, roots = np.array(group[1]), np.array(group[2])
             if len(nodes) < 2:
                 return []
-            return [(int(nodes[i]), int(nodes[j])) for i, j in _links_within(nodes, roots, group[3], percent)]
+            found = nodes[_links_within(nodes, roots, group[3], percent)]
+            return [(min(a, b), max(a, b)) for a, b in found.tolist()]
 
         def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
