@@ -133,12 +133,16 @@ def _parser(key: str, learned: tuple[tuple[str, tuple[str, ...]], ...]) -> Parse
 def learned_texts(docs: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> dict[str, list[str]]:
     """At most ``rows`` texts of each language of ``docs(doc_id, text, lang)``: those of least hash, none longer than ``longest``.
 
-    Rows are thinned by their hash before they are ranked, so no task ranks a whole language.
+    Rows are thinned by their hash to about four times the number before they are ranked, so no task ranks a
+    whole language. One count for each language reaches the driver before the texts.
     """
     docs = docs.where("text is not null and lang is not null").where(F.length("text").between(1, longest))
-    docs = docs.withColumn("h", F.xxhash64("text", "doc_id"))
-    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    thinned = docs.join(counts, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.ceil(F.lit(4.0 * rows * (1 << 20)) / F.col("n")) + 16)
+    docs = docs.withColumn("h", F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 40)))
+    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return {}
+    bounds = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 40, (1 << 42) * rows // n))])
+    thinned = docs.where(F.col("h") < F.element_at(bounds, F.col("lang")))
     top = F.expr(f"slice(array_sort(collect_list(struct(h, text))), 1, {rows})")
     out = thinned.groupBy("lang").agg(top.alias("top")).collect()
     return {r["lang"]: [x["text"] for x in r["top"]] for r in out}
