@@ -53,6 +53,13 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield short
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of few rows, as sets take several times the room of their texts."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.slice(lo, rows)
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """CHUNKS integers of WIDTH values of BITS bits each."""
     low = np.full(CHUNKS * WIDTH, ~U(0), U)
@@ -68,7 +75,7 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
     chunk_names = [f"c{k}" for k in range(CHUNKS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             sets = list(shingle_sets(batch.column(1), words))
             n = len(sets)
             marks = np.zeros((n, 2 + CHUNKS), U)
@@ -89,7 +96,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     """(node, shingles) of each row of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), words)]
             lo, size = 0, 0
             for hi, s in enumerate(sets, 1):  # small batches, as sets take more room than texts
