@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from concordat import bindings as b
 from concordat.bindings import with_roles
@@ -193,17 +192,14 @@ def comp10_resolve_conflicts(spark, sf):
 
 
 @query(with_roles("tracks", "mappings", "inventory") + """, proposed as (
-    select i.file_path, 'item:track:' || (cast(split_part(t.uri, ':', 3) as bigint) % 3000) as uri from (select *, row_number() over (order by file_path) as k from inventory) i
-    join (select *, row_number() over (order by uri) as k from tracks) t on t.k = i.k
-    union all select file_path, uri from mappings)
+    select file_path, 'item:track:' || (duration_ms // 200 % 3000) as uri from inventory union all select file_path, uri from mappings)
 select p.file_path, p.uri, case when i.file_path is null then 'file_missing' when t.uri is null then 'uri_unknown' when now = p.uri then 'exists' when now is not null then 'conflict' else 'insert' end as status
 from proposed p left join (select distinct file_path from inventory) i on i.file_path = p.file_path left join tracks t on t.uri = p.uri
 left join (select file_path, arg_max(uri, mapping_id) as now from mappings where is_active group by file_path) m on m.file_path = p.file_path""")
 def comp18_create_mappings(spark, sf):
     i, t, m = b.inventory(spark, sf), b.tracks(spark, sf), b.mappings(spark, sf)
-    one = i.select("file_path", F.row_number().over(Window.orderBy("file_path")).alias("k"))
-    two = t.select("uri", F.row_number().over(Window.orderBy("uri")).alias("k"))
-    drawn = one.join(two, "k").select("file_path", F.concat(F.lit("item:track:"), (F.split("uri", ":")[2].cast("long") % 3000).cast("string")).alias("uri"))
+    number = F.floor(F.col("duration_ms") / 200) % 3000
+    drawn = i.select("file_path", F.concat(F.lit("item:track:"), number.cast("string")).alias("uri"))
     return linkage.create_mappings(drawn.unionByName(m.select("file_path", "uri")), i, t, m)
 
 
