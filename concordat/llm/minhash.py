@@ -223,7 +223,7 @@ def groups_of(members: DataFrame) -> DataFrame:
     large = once.where(F.col("k") > BLOCK_NODES)
     if large.isEmpty():
         return small
-    clusters = components(large.select(F.col("low").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
+    clusters = components(large.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()).withColumnRenamed("root", "cluster")
     clusters = table(clusters, "clusters")
     counts = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("parts"))
     roots = large.select("node", "root").distinct()
