@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concordat.llm.stage import table
+
 WINDOW = 3
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -23,15 +25,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A window is three consecutive lines of a text that are not blank, blank ones between them
     skipped, compared without white space at their ends. Of equal windows in the whole corpus, the
-    first by (doc_id, position) stays; the lines that any later one covers go, merged over
+    first by (doc_id, row, position) stays; the lines that any later one covers go, merged over
     overlapping windows. Each line that goes has an equal line at an earlier place, so one always
     stays. Texts with fewer than three such lines stay as they are, null texts too (0 lines).
-    Rows with a null id count as one document before all others, rows of one id as the same document.
+    Each row is a document of its own: those with a null id come before all others, and rows of one id
+    in the order of their row numbers, which are written once with the rows.
     """
-    key = F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(docs[id_col].alias("doc_id"), key.alias("__key"), docs[text_col].alias("text"), *[docs[c] for c in keep])
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[docs[c] for c in keep])
+    rows = table(rows.withColumn("__row", F.monotonically_increasing_id()), "lines")
+    rows = rows.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     solid = F.filter(F.transform(_lines(F.col("text")), _solid), lambda x: x != "")
-    lined = rows.select("__key", solid.alias("lines")).where(F.size("lines") >= WINDOW)
+    lined = rows.select("__key", "__row", solid.alias("lines")).where(F.size("lines") >= WINDOW)
 
     def window(i: Column) -> Column:
         own = [F.element_at("lines", (i + k).cast("int")) for k in range(WINDOW)]
@@ -39,13 +43,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return F.struct(F.xxhash64(*own).alias("h"), F.xxhash64(F.lit(WINDOW), *own).alias("g"), i.alias("pos"))
 
     found = F.explode(F.transform(F.sequence(F.lit(1), F.size("lines") - (WINDOW - 1)), window)).alias("w")
-    windows = lined.select("__key", found).select("__key", "w.h", "w.g", "w.pos")
-    first = windows.groupBy("h", "g").agg(F.min(F.struct("__key", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-    later = windows.join(first.where("n > 1").drop("n"), ["h", "g"]).where(F.struct("__key", "pos") > F.col("first"))
-    covered = later.select("__key", F.explode(F.sequence("pos", F.col("pos") + WINDOW - 1)).alias("pos"))
-    covered = covered.groupBy("__key").agg(F.collect_set("pos").alias("gone"))
+    windows = lined.select("__key", "__row", found).select("__key", "__row", "w.h", "w.g", "w.pos")
+    first = windows.groupBy("h", "g").agg(F.min(F.struct("__key", "__row", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    later = windows.join(first.where("n > 1").drop("n"), ["h", "g"]).where(F.struct("__key", "__row", "pos") > F.col("first"))
+    covered = later.select("__row", F.explode(F.sequence("pos", F.col("pos") + WINDOW - 1)).alias("pos"))
+    covered = covered.groupBy("__row").agg(F.collect_set("pos").alias("gone"))
 
-    joined = rows.join(covered, "__key", "left")
+    joined = rows.join(covered, "__row", "left")
     # Each line with its number among the solid lines; blank lines have the number 0 and stay.
     numbered = F.aggregate(
         _lines(F.col("text")),
