@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordat.llm.samples import least_hashed, remainder
-from concordat.llm.stage import table
+from concordat.llm.stage import table, types_of
 from concordat.llm.text import U, blocks, mix, rows_of, span_hashes, sums_by_row, token_spans
 
 #: Hashed words, dimensions and non-zero entries of an index vector, neighbours on each side.
@@ -77,8 +77,8 @@ def word_vectors(contexts: np.ndarray) -> np.ndarray:
     return (unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """(doc_id, features) of each row as 4-byte floats: its words' vectors pooled.
+def pooled(docs: DataFrame, vectors: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, features) and the columns ``keep`` of each row, features as 4-byte floats: its words' vectors pooled.
 
     These are mean and standard deviation in each dimension, the mean product of neighbouring words' vectors
     (near 1 where a text repeats itself), the length of the mean vector and the log of the number of words.
@@ -103,9 +103,11 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
                 found[:, 2 * DIMS + 1] = np.sqrt((found[:, :DIMS].astype(np.float64) ** 2).sum(1))
                 found[:, 2 * DIMS + 2] = np.log1p(np.diff(bounds))
                 cols = [batch.column(0).slice(lo, hi - lo), pa.array([f.tobytes() for f in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "features"])
+                cols += [batch.column(2 + k).slice(lo, hi - lo) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "features", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, features binary")
+    rows = docs.select("doc_id", "text", *keep)
+    return rows.mapInArrow(run, ", ".join(["doc_id long, features binary", *types_of(docs, keep)]))
 
 
 class Network:
@@ -150,8 +152,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), FEATURES).astype(np.float64)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, learned: int = LEARNED, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row of ``docs``.
+def quality_scores(docs: DataFrame, labels: DataFrame, learned: int = LEARNED, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted) and the columns ``keep`` of each row of ``docs``.
 
     Word vectors come from all rows' texts. The network learns from at most ``learned`` rows that have a
     ``labels.quality`` and whose crc32(doc_id as text) mod 4 is not 2: those of least hash of the id. Only
@@ -159,8 +161,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learned: int = LEARNED, c
     rows with a null id are never learned from. If the labels have one class or none, every score is
     the share of label 1 there, or 1 without any.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    found = table(pooled(rows, word_vectors(context_vectors(rows))), "pooled")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[docs[c] for c in keep])
+    found = table(pooled(rows, word_vectors(context_vectors(rows)), keep), "pooled")
     held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = found.where(~held & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("features").alias("f")).join(one, "doc_id")
@@ -176,6 +178,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learned: int = LEARNED, c
         for batch in batches:
             score = net.probabilities(_matrix(batch.column(2))) if net and len(batch) else np.full(len(batch), fixed)
             cols = [batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted"])
+            cols += [batch.column(3 + k) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", *keep])
 
-    return found.select("doc_id", held.alias("held_out"), "features").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    schema = ", ".join(["doc_id long, held_out boolean, score double, predicted int", *types_of(found, keep)])
+    return found.select("doc_id", held.alias("held_out"), "features", *keep).mapInArrow(run, schema)

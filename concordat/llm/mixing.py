@@ -12,23 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from concordat.llm.stage import table
+from concordat.llm.stage import table, types_of
 from concordat.llm.text import blocks, word_spans
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size): the number of words of each row; 0 for null."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size) and the columns ``keep``: the number of words of each row; 0 for null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.diff(word_spans(data, offsets)[2]) for _, _, data, offsets in blocks(batch.column(2))]
             n = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "size"])
+            cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), *[batch.column(3 + k) for k in range(len(keep))]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "source", "size", *keep])
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, source string, size long")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), docs[text_col].alias("text"), *[docs[c] for c in keep])
+    return rows.mapInArrow(run, ", ".join(["doc_id long, source string, size long", *types_of(docs, keep)]))
 
 
 def targets(totals: np.ndarray, weights: np.ndarray, most: float = MOST) -> np.ndarray:
@@ -98,17 +99,18 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies, taken) of each row.
+    """(doc_id, source, size, source_size, target, rate, copies, taken) and the columns ``keep`` of each row.
 
     Sources by code point, null last, have the weights in turn; their targets sum to all words as far as
     ``most`` times each source's words allow. Rates become whole copies so that each source's sum
     follows its target: from the longest size down, each size of a source takes the number of copies that
     best makes up for what the sizes before left over. Within one size, the rows with the least
-    hash of their id get the copy more. Rows without words have rate 1 and one copy of nothing.
+    hash of their id get the copy more, rows of equal ids in the order of ``keep``. Rows without words have rate 1 and one copy of nothing.
     One row for each source reaches the driver; a source's rounding sees one row for each size.
     """
-    counted = table(sizes(docs, id_col, text_col, source_col), "sizes")
+    counted = table(sizes(docs, id_col, text_col, source_col, keep), "sizes")
     found = counted.groupBy("source").agg(F.sum("size").alias("total"), F.sum(F.col("size").cast("double") * F.col("size")).alias("squares")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     spark = docs.sparkSession
@@ -143,7 +145,7 @@ def mix_sources(
     upto = F.sum("m").over(Window.partitionBy("k", "size").orderBy("sub"))
     share = F.floor(F.col("more") * upto / F.col("n")) - F.floor(F.col("more") * (upto - F.col("m")) / F.col("n"))
     subs = table(subs.withColumn("here", share).select("k", "size", "sub", "rate", "base", "here"), "sub-cells")
-    rank = F.row_number().over(Window.partitionBy("k", "size", "sub").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("k", "size", "sub").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id", *keep))
     out = known.withColumn("rank", rank).join(subs, ["k", "size", "sub"])
     copies = F.col("base") + (F.col("rank") <= F.col("here")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of each row (``__row``), written once, so that all that reads it sees the same numbers."""
+    return table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def types_of(docs: DataFrame, keep: tuple[str, ...]) -> list[str]:
+    """The columns ``keep`` with their types, as a schema names them."""
+    return [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """An eager reliable checkpoint, for small tables of iterative jobs."""
     shared = shared_dir(df.sparkSession)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from concordat.llm import bpe, classifier, lines, minhash, mixing
 from concordat.llm.queries import labels, vocabulary
-from concordat.llm.stage import table
+from concordat.llm.stage import numbered, table
 
 #: A document goes if its calibrated probability of good quality is below this: only where the classifier is sure.
 REJECTED_BELOW = 0.5
@@ -20,10 +20,11 @@ WORDS, PERCENT = 5, 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject. Rows with a null id have scores of their own and stay."""
-    scores = classifier.quality_scores(docs, labels(spark, sf_dir))
-    bad = scores.where(F.col("score") < REJECTED_BELOW).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    """Documents that the classifier doesn't reject, each row by its own score."""
+    rows = numbered(docs)
+    scores = classifier.quality_scores(rows, labels(spark, sf_dir), keep=("__row",))
+    bad = scores.where(F.col("score") < REJECTED_BELOW).select("__row")
+    return rows.join(bad, "__row", "left_anti").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,18 +35,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of smallest id, once."""
-    found = table(minhash.near_duplicates(docs, WORDS, PERCENT), "near-duplicates")
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    stay = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    return stay.dropDuplicates(["doc_id"]) if repeated else stay
+    """One row of each group of near duplicates: the one of smallest id, null after all others.
+
+    Each row is a document of its own: rows of one id, or with none, are compared by their texts like any
+    others, so that only copies go.
+    """
+    rows = numbered(docs)
+    found = minhash.near_duplicates(rows, WORDS, PERCENT, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    found = found.join(rows.select("__row", "doc_id"), "__row")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"))
+    return rows.join(first.select("first.__row"), "__row", "left_semi").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; those with no copies go."""
-    copies = mixing.mix_sources(docs).select(F.col("doc_id").alias("__id"), "copies")
-    both = docs.join(copies, F.col("doc_id") == F.col("__id")).where("copies > 0")
+    rows = numbered(docs)
+    copies = mixing.mix_sources(rows, keep=("__row",)).select("__row", "copies")
+    both = rows.join(copies, "__row").where("copies > 0")
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 

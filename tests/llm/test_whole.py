@@ -1,7 +1,12 @@
 """Cases in which an operator once did less than its whole job."""
 
+from pyspark.sql import functions as F
+
+import corpus_pipeline
 from concordat.llm import lines
 
+from . import cases
+
 
 def texts_by(frame, *keys):
     return sorted(tuple(r[k] for k in keys) for r in frame.collect())
@@ -20,3 +25,40 @@ def test_lines_of_rows_without_an_own_id(spark):
     assert sum(passage in t for t in got) == 1
     assert all("\n".join(f"{c}{k}" for k in (1, 2, 3)) in "\n".join(got) for c in "abcde")
     assert rows[2][1] in got and rows[4][1] in got
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(name, n=40):
+    return " ".join(f"{name}{k}" for k in range(n))
+
+
+def test_pipeline_stages_keep_rows_without_an_own_id(spark):
+    near = prose("near", 60)
+    rows = [(None, prose("a")), (None, prose("b")), (None, prose("b")), (None, near), (None, near + " more"), (4, prose("c")), (4, prose("c")), (4, prose("d")), (5, prose("b"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    texts = [r["text"] for r in got]
+    assert sorted(t for t in texts if not t.startswith("near")) == sorted(prose(c) for c in "abcd")
+    assert sum(t.startswith("near") for t in texts) == 1
+    assert [r["doc_id"] for r in got if r["text"] == prose("b")] == [5]
+
+
+def test_mixing_stage_keeps_null_ids(spark):
+    rows = [(None, prose("a")), (None, prose("b")), (1, prose("c")), (1, prose("d"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    assert texts_by(corpus_pipeline.source_mix(spark, docs, ""), "text") == sorted((t,) for _, t in rows)
+
+
+def test_classifier_stage_judges_each_row(spark, tmp_path):
+    cases.labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(k, prose(f"good{k}"), "en", "s", 1) for k in (None, None, 3, 3)], SCHEMA)
+    bad = lambda rows, labels, **kw: rows.select(*kw.get("keep", ()), "doc_id", F.lit(False).alias("held_out"), F.lit(0.1).alias("score"), F.lit(0).alias("predicted"))
+    own, corpus_pipeline.classifier.quality_scores = corpus_pipeline.classifier.quality_scores, bad
+    try:
+        assert corpus_pipeline.quality_classifier(spark, docs, str(tmp_path)).count() == 0
+    finally:
+        corpus_pipeline.classifier.quality_scores = own
+    scored = own(docs.withColumn("mark", F.lit("x")), cases.labels(spark), keep=("mark",)).collect()
+    assert [r["mark"] for r in scored] == ["x"] * 4
