@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ from concordat.llm.stage import table
 #: Base kinds in their fixed order, then the kind that the method adds.
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Terms on each side of a match that count as its context; distinct contexts that a pair of term and
+#: Terms on each side of a match or term that count as its context; distinct contexts that a pair of term and
 #: entity needs; share of an entity's information that a term may disclose; most terms to broadcast.
 REACH, CONTEXTS, DISCLOSED, BROADCAST = 4, 3, 0.95, 200_000
 
@@ -76,42 +77,141 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{''.join(c for c in value if c.isdigit())}"
 
 
-def contexts(text: str, found: list[tuple[int, int, str]]) -> list[tuple[str, int, int, str, str]]:
-    """(term, start, end, entity, hash of the context) of the terms near each match, outside all matches."""
-    out = []
+def contexts(text: str, found: list[tuple[int, int, str]]) -> dict[str, dict[str, set[str]]]:
+    """Of each entity matched in the text, the hashes of the contexts of each term near a match, outside all matches."""
+    out: dict[str, dict[str, set[str]]] = {}
     for s, e, kind in found:
         lo, hi = max(0, s - _ASIDE), min(len(text), e + _ASIDE)
         before = [m for m in _TERM.finditer(text, lo, s)][-REACH:]
         after = [m for _, m in zip(range(REACH), _TERM.finditer(text, e, hi))]
-        near = [m for m in before + after if not any(m.start() < y and x < m.end() for x, y, _ in found)]
-        words = " ".join(m[0].lower() for m in near)
-        mark = hashlib.md5(words.encode()).hexdigest()[:16]
-        name = entity(kind, text[s:e])
-        out += [(m[0].lower(), m.start(), m.end(), name, mark) for m in near]
+        near = [m[0].lower() for m in before + after if not any(m.start() < y and x < m.end() for x, y, _ in found)]
+        own = out.setdefault(entity(kind, text[s:e]), {})
+        for term in near:
+            own.setdefault(term, set()).add(_mark(near))
     return out
 
 
+def _mark(words: list[str]) -> str:
+    return hashlib.md5(" ".join(words).encode()).hexdigest()[:16]
+
+
+def outside(text: str, found: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of all terms outside all matches, by start."""
+    out, k, end = [], 0, 0
+    for m in _TERM.finditer(text):
+        while k < len(found) and found[k][0] < m.end():
+            end = max(end, found[k][1])
+            k += 1
+        if end <= m.start():
+            out.append((m[0].lower(), m.start(), m.end()))
+    return out
+
+
+def together(text: str, found: list[tuple[int, int, str]], wanted: set[str]) -> Iterator[tuple[str, str, str, int]]:
+    """(term, entity, hash of a context, 1 for the pair's first context or 0) of all terms with the wanted entities.
+
+    The context of a term that stands near a match is that of the match, of another term its own first one.
+    """
+    near = {name: terms for name, terms in contexts(text, found).items() if name in wanted}
+    if not near:
+        return
+    terms = [t for t, _, _ in outside(text, found)]
+    first: dict[str, int] = {}
+    for k, t in enumerate(terms):
+        first.setdefault(t, k)
+    for t, k in first.items():
+        own = ""
+        for name, beside in near.items():
+            if t in beside:
+                marks = sorted(beside[t])
+            else:
+                own = own or _mark(terms[max(0, k - REACH) : k + REACH + 1])
+                marks = [own]
+            for n, mark in enumerate(marks):
+                yield t, name, mark, int(n == 0)
+
+
 def written(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{s}:{e}" for s, e, kind in spans)
 
 
-def _found(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, n_email, ..., base, near) of each row of ``rows(row, doc_id, text)``."""
-    near = pa.list_(pa.struct([("term", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("entity", pa.string()), ("mark", pa.string())]))
+def entities_of(rows: DataFrame) -> DataFrame:
+    """(entity, n_entity, n_matches): the rows of ``rows(text)`` with each entity, and its matches there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist():
+                own = Counter(entity(kind, text[s:e]) for s, e, kind in matches(text)) if text else {}
+                for name, n in own.items():
+                    got[name] += (1 << 32) + n
+            cols = [list(got), [n >> 32 for n in got.values()], [n & 0xFFFFFFFF for n in got.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], ["entity", "n", "m"])
+
+    found = rows.select("text").mapInArrow(run, "entity string, n long, m long")
+    return found.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.sum("m").alias("n_matches"))
+
+
+def pairs_of(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
+    """(term, entity, n_both, n_marks): rows of ``rows(text)`` with both, and their contexts; entities all or ``wanted``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+        out: list[tuple] = []
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["term", "entity", "mark", "first"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = matches(text) if text else []
+                names = {entity(kind, text[s:e]) for s, e, kind in found}
+                for x in together(text, found, names if wanted is None else names & wanted) if names else ():
+                    out.append(x)
+                    if len(out) >= 1 << 15:
+                        yield full()
+                        out.clear()
+        yield full()
+
+    met = rows.select("text").mapInArrow(run, "term string, entity string, mark string, first long")
+    met = met.groupBy("term", "entity", "mark").agg(F.sum("first").alias("n"))
+    return met.groupBy("term", "entity").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_marks"))
+
+
+def occurrences(rows: DataFrame, telling: DataFrame) -> DataFrame:
+    """(row, more): the places of the terms of ``telling(term)`` in ``rows(row, text)``, for more terms than a task should hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = outside(text, matches(text)) if text else []
+                cols = [pa.array([row] * len(own), pa.int64()), pa.array([x[0] for x in own], pa.string())]
+                cols += [pa.array([x[k] for x in own], pa.int32()) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "term", "s", "e"])
+
+    places = rows.select("row", "text").mapInArrow(run, "row long, term string, s int, e int").join(telling, "term", "left_semi")
+    return places.groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("more"))
+
+
+def spans_of(rows: DataFrame, terms: frozenset[str]) -> DataFrame:
+    """The columns of private_spans of ``rows(doc_id, text, more)``; ``more`` holds places of terms beside those in ``terms``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, base, around = [], [], []
-            for text in batch.column(1).to_pylist():
+            counts, base, spans = [], [], []
+            for text, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 found = matches(text or "")
                 counts.append([sum(k == kind for _, _, k in found) for kind in KINDS])
-                base.append(written(found))
-                around.append([dict(zip(("term", "s", "e", "entity", "mark"), c)) for c in contexts(text, found)] if found else [])
+                base.append(hashlib.sha256(written(found).encode()).hexdigest())
+                own = [(s, e, TERM) for t, s, e in outside(text, found) if t in terms] if text and terms else []
+                own += [(x["s"], x["e"], TERM) for x in more or ()]
+                spans.append(written(sorted(found + own, key=lambda x: x[0])))
             cols = [batch.column(0)] + [pa.array([c[k] for c in counts], pa.int64()) for k in range(len(KINDS))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(base, pa.string()), pa.array(around, near)], ["doc_id", *(f"n_{k}" for k in KINDS), "base", "near"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(base, pa.string()), pa.array(spans, pa.string())], names)
 
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, near array<struct<term: string, s: int, e: int, entity: string, mark: string>>"
-    return rows.select("doc_id", "text").mapInArrow(run, schema)
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
+    return rows.select("doc_id", "text", "more").mapInArrow(run, schema)
 
 
 def term_counts(rows: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
@@ -144,47 +244,34 @@ def private_spans(docs: DataFrame, disclosed: float = DISCLOSED, id_col: str = "
     A protected entity is the value of a match. Over all documents, the pointwise mutual information of
     a term and an entity, log2(n(term, entity) * N / (n(term) * n(entity))), is how much the term tells of
     the entity; a term that tells more than ``disclosed`` of the entity's own information, log2(N / n(entity)),
-    is a span too, wherever it stands near that entity. Copies of one passage are one piece of evidence: a
-    pair needs CONTEXTS different contexts. Null texts count as empty; ids, null ones too, are returned
-    as they are; rows of one id are judged each for itself.
+    is a span too, wherever it stands outside the matches, in any document. Documents count whole, whatever
+    the distance of term and match. Copies of one passage are one piece of evidence: a pair needs CONTEXTS
+    different contexts, of a match for terms within REACH terms of it, else of the term. Null texts count as
+    empty; ids, null ones too, are returned as they are; rows of one id are judged each for itself.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    found = table(_found(rows), "private")
-    total = max(1, found.count())
-    near = found.where(F.size("near") > 0).withColumn("own", F.xxhash64("doc_id", "base", F.to_json("near")))
-    near = near.select("own", F.explode("near").alias("c")).select("own", "c.term", "c.entity", "c.mark")
-    pairs = near.groupBy("term", "entity").agg(F.countDistinct("own").alias("n_both"), F.countDistinct("mark").alias("n_marks"))
-    pairs = table(pairs.where(F.col("n_marks") >= CONTEXTS).drop("n_marks"), "pairs")
+    total = max(1, rows.count())
+    entities = table(entities_of(rows), "entities")
+    # An entity of fewer matches has no pair with enough contexts.
+    often = entities.where(F.col("n_matches") >= CONTEXTS)
+    n_often = often.count()
+    none = rows.withColumn("more", F.lit(None).cast("array<struct<s: int, e: int>>"))
+    if not n_often:
+        return spans_of(none, frozenset())
+    names = frozenset(r["entity"] for r in often.select("entity").collect()) if n_often <= BROADCAST else None
+    pairs = table(pairs_of(rows, names).where(F.col("n_marks") >= CONTEXTS).drop("n_marks"), "pairs")
     wanted = pairs.select("term").distinct()
     n_wanted = wanted.count()
-    spans = F.col("base")
-    if n_wanted:
-        entities = near.groupBy("entity").agg(F.countDistinct("own").alias("n_entity"))
-        known = pairs.join(entities, "entity").join(term_counts(rows, wanted, n_wanted), "term")
-        pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-        own = F.log2(F.lit(float(total)) / F.col("n_entity"))
-        telling = known.where((own > 0) & (pmi >= disclosed * own)).groupBy("entity").agg(F.collect_set("term").alias("terms"))
-        # A row's terms are looked up by its entities; the rows without any pass by the join.
-        numbered = found.withColumn("row", F.monotonically_increasing_id())
-        numbered = table(numbered, "private-rows")
-        hits = numbered.select("row", F.explode("near").alias("c")).join(telling, F.col("c.entity") == F.col("entity"))
-        hits = hits.where(F.array_contains("terms", F.col("c.term"))).groupBy("row").agg(F.collect_set(F.struct("c.s", "c.e")).alias("more"))
-        found = numbered.join(hits, "row", "left")
-
-        @F.pandas_udf("string")
-        def merged(base: pd.Series, more: pd.Series) -> pd.Series:
-            out = []
-            for b, m in zip(base, more):
-                if m is None or not len(m):
-                    out.append(b)
-                    continue
-                spans = [(int(x.split(":")[1]), KINDS.index(x.split(":")[0]), x) for x in b.split(",") if x]
-                spans += [(int(x["s"]), len(KINDS), f"{TERM}:{x['s']}:{x['e']}") for x in m]
-                out.append(",".join(x for _, _, x in sorted(spans)))
-            return pd.Series(out, dtype=object)
-
-        spans = merged("base", "more")
-    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
+    if not n_wanted:
+        return spans_of(none, frozenset())
+    known = pairs.join(often, "entity").join(term_counts(rows, wanted, n_wanted), "term")
+    pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
+    own = F.log2(F.lit(float(total)) / F.col("n_entity"))
+    telling = table(known.where((own > 0) & (pmi >= disclosed * own)).select("term").distinct(), "telling")
+    if telling.count() <= BROADCAST:
+        return spans_of(none, frozenset(r["term"] for r in telling.collect()))
+    marked = table(rows.withColumn("row", F.monotonically_increasing_id()), "private-rows")
+    return spans_of(marked.join(occurrences(marked, telling), "row", "left"), frozenset())
 
 
 def redact(text: str, spans: str) -> str:

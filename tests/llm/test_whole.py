@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from concordat.llm import lines
+from concordat.llm import lines, private
 
 from . import cases
 
@@ -62,3 +64,27 @@ def test_classifier_stage_judges_each_row(spark, tmp_path):
         corpus_pipeline.classifier.quality_scores = own
     scored = own(docs.withColumn("mark", F.lit("x")), cases.labels(spark), keep=("mark",)).collect()
     assert [r["mark"] for r in scored] == ["x"] * 4
+
+
+def test_disclosing_terms_far_from_the_address_and_without_it(spark, monkeypatch):
+    rng = random.Random(3)
+    fill = lambda n: " ".join("".join(rng.choices("bcdfglmnrs", k=2)) + rng.choice("aeiou") for _ in range(n))
+    rows = [(k, f"Zebulon {fill(5)} {fill(90)} write to zeb@example.org {fill(9)} zebulon") for k in range(8)]
+    rows += [(50, f"{fill(9)} Zebulon {fill(9)}")]
+    rows += [(k, f"{fill(9)} write to a{k}@example.org {fill(90)}") for k in range(100, 160)]
+    rows += [(k, fill(9)) for k in range(200, 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (private.BROADCAST, 0):
+        monkeypatch.setattr(private, "BROADCAST", most)
+        got = {r["doc_id"]: r["spans"] for r in private.private_spans(df).collect()}
+        for k, text in rows[:9]:
+            words = [text[int(s) : int(e)].lower() for kind, s, e in (x.split(":") for x in got[k].split(",") if x) if kind == "term"]
+            assert words.count("zebulon") == (1 if k == 50 else 2)
+    assert "zebulon" not in private.sanitise(df).where("doc_id = 50").first()["text"].lower()
+
+
+def test_one_passage_is_one_context_far_from_the_address():
+    found = private.matches
+    text = "one two three four five six seven eight nine ten eleven twelve " + "a1 " * 90 + "x@example.org alpha"
+    marks = {m for t, _, m, _ in (x for k in range(5) for x in private.together(f"{text} n{'abcde'[k]}z", found(text), {"email:x@example.org"})) if t == "one"}
+    assert len(marks) == 1
