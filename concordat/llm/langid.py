@@ -16,7 +16,7 @@ from concordat.llm.samples import remainder
 from concordat.llm.text import LETTER, classes, code_points, sums_by_row
 from concordat.llm.bpe import text_groups
 
-#: The most learned rows and code points of a language, and the longest row that is learned from.
+#: The most learned rows and code points of a language, and the longest stretch of a row.
 ROWS, CHARS, LONGEST = 200, 24_000, 4_000
 #: Distinct symbols: one for all that is no letter, one for rare letters, the rest for letters.
 SYMBOLS = 64
@@ -131,18 +131,22 @@ def _parser(key: str, learned: tuple[tuple[str, tuple[str, ...]], ...]) -> Parse
 
 
 def learned_texts(docs: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> dict[str, list[str]]:
-    """At most ``rows`` texts of each language of ``docs(doc_id, text, lang)``: those of least hash, none longer than ``longest``.
+    """At most ``rows`` texts of each language of ``docs(doc_id, text, lang)``: those of least hash, of each a stretch of at most ``longest`` code points.
+
+    A longer text's stretch starts at a place drawn by its hash.
 
     Rows are thinned by their hash to about four times the number before they are ranked, so no task ranks a
     whole language. One count for each language reaches the driver before the texts.
     """
-    docs = docs.where("text is not null and lang is not null").where(F.length("text").between(1, longest))
+    docs = docs.where("text is not null and lang is not null").where("text <> ''")
     docs = docs.withColumn("h", F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 40)))
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
     bounds = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 40, (1 << 42) * rows // n))])
     thinned = docs.where(F.col("h") < F.element_at(bounds, F.col("lang")))
+    start = F.pmod(F.col("h"), F.greatest(F.length("text") - longest, F.lit(0)) + 1) + 1
+    thinned = thinned.withColumn("text", F.substring("text", start.cast("int"), F.lit(longest)))
     top = F.expr(f"slice(array_sort(collect_list(struct(h, text))), 1, {rows})")
     out = thinned.groupBy("lang").agg(top.alias("top")).collect()
     return {r["lang"]: [x["text"] for x in r["top"]] for r in out}
@@ -153,8 +157,8 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     A suffix automaton of each language's learned text gives, at every place of a text, the longest
     match; the text is parsed greedily into such phrases, and the language with the fewest for a code
-    point wins (ties: the first by name). Learned from are at most ROWS rows of a language, CHARS code
-    points in all, with a text and language and crc32(doc_id as text) mod 5 other than 0. Texts without
+    point wins (ties: the first by name). Learned from are at most ROWS rows of a language, LONGEST
+    code points in a stretch of each and CHARS in all, with a text and language and crc32(doc_id as text) mod 5 other than 0. Texts without
     a letter, empty and null ones are ``und`` with score 0; without learned rows, all are.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from concordat.llm import lines, private
+from concordat.llm import langid, lines, private
 
 from . import cases
 
@@ -88,3 +88,11 @@ def test_one_passage_is_one_context_far_from_the_address():
     text = "one two three four five six seven eight nine ten eleven twelve " + "a1 " * 90 + "x@example.org alpha"
     marks = {m for t, _, m, _ in (x for k in range(5) for x in private.together(f"{text} n{'abcde'[k]}z", found(text), {"email:x@example.org"})) if t == "one"}
     assert len(marks) == 1
+
+
+def test_languages_of_long_texts_only(spark):
+    rows = [(k, " ".join(f"{w}{'aeiou'[k % 5]}n" for w in words * 400), lang) for lang, words, ks in (("x", ["bad", "dag"], range(1, 20)), ("y", ["kor", "tol"], range(20, 40))) for k in ks]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(t) for _, t, _ in rows) > langid.LONGEST
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.languages(docs).collect()}
+    assert got == {k: lang for k, _, lang in rows}
