@@ -18,44 +18,42 @@ from concordat.llm.bpe import text_groups
 
 #: The most learned rows and code points of a language, and the longest stretch of a row.
 ROWS, CHARS, LONGEST = 200, 24_000, 4_000
-#: Distinct symbols: one for all that is no letter, one for rare letters, the rest for letters.
+#: Symbols with a dense table: one for all that is no letter, one for letters not learned, the rest for the
+#: most frequent letters. Other learned letters have symbols from here on, and sorted keys.
 SYMBOLS = 64
 #: Texts are parsed in stretches of so many code points; a phrase ends at their borders.
 STRETCH = 1024
 
 
-def automaton(codes: np.ndarray) -> np.ndarray:
-    """Transitions of the suffix automaton of a symbol sequence; state 0 is the root, -1 is none."""
-    size = 2 * len(codes) + 2
-    to = np.full((size, SYMBOLS), -1, np.int32)
-    link, length = [-1] * size, [0] * size
-    last, n = 0, 1
+def automaton(codes: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of a symbol sequence; state 0 is the root."""
+    to: list[dict[int, int]] = [{}]
+    link, length = [-1], [0]
+    last = 0
     for c in codes.tolist():
-        new = n
-        n += 1
-        length[new] = length[last] + 1
+        new = len(to)
+        to.append({})
+        link.append(0)
+        length.append(length[last] + 1)
         p = last
-        while p >= 0 and to[p, c] < 0:
-            to[p, c] = new
+        while p >= 0 and c not in to[p]:
+            to[p][c] = new
             p = link[p]
-        if p < 0:
-            link[new] = 0
-        else:
-            q = int(to[p, c])
+        if p >= 0:
+            q = to[p][c]
             if length[p] + 1 == length[q]:
                 link[new] = q
             else:
-                twin = n
-                n += 1
-                length[twin] = length[p] + 1
-                to[twin] = to[q]
-                link[twin] = link[q]
-                while p >= 0 and to[p, c] == q:
-                    to[p, c] = twin
+                twin = len(to)
+                to.append(dict(to[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and to[p].get(c) == q:
+                    to[p][c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    return to[:n]
+    return to
 
 
 class Parser:
@@ -63,28 +61,43 @@ class Parser:
 
     def __init__(self, learned: dict[str, list[str]]):
         self.langs = sorted(learned)
-        counts = Counter(c for texts in learned.values() for t in texts for c in t.lower() if c.isalpha())
-        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]]
-        self.symbol = np.zeros(0x110000, np.uint8)
+        fixed = {lang: " ".join(learned[lang])[:CHARS] for lang in self.langs}
+        counts = Counter(c for text in fixed.values() for t in text for c in t.lower() if c.isalpha())
+        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        self.symbol = np.zeros(0x110000, np.int32)
         self.symbol[classes() == LETTER] = 1
         for k, c in enumerate(letters, 2):
             self.symbol[ord(c)] = k
             for other in {c.upper(), c.title()}:
-                if len(other) == 1:
+                if len(other) == 1 and other.lower() == c:
                     self.symbol[ord(other)] = k
-        tables, roots, at = [], [], 0
-        for lang in self.langs:
-            text = " ".join(learned[lang])[:CHARS]
-            to = automaton(self.symbol[code_points(text)])
+        self.size = max(SYMBOLS, len(letters) + 2)
+        tables, roots, keys, values, at = [], [], [], [], 0
+        self.restarts = np.zeros((len(self.langs), self.size - SYMBOLS), np.int32)
+        for k, lang in enumerate(self.langs):
+            to = automaton(self.symbol[code_points(fixed[lang])])
+            edges = np.array([(i, c, j) for i, own in enumerate(to) for c, j in own.items()], np.int64).reshape(-1, 3)
+            dense = edges[edges[:, 1] < SYMBOLS]
+            full = np.full((len(to), SYMBOLS), -1, np.int64)
+            full[dense[:, 0], dense[:, 1]] = dense[:, 2]
             # Where a match ends, a new phrase starts at the root with the same symbol, or after it.
-            restart = np.where(to[0] >= 0, to[0], 0)
-            ends = to < 0
-            full = np.where(ends, restart, to) + at
-            tables.append(full * 2 + ends)
+            restart = np.where(full[0] >= 0, full[0], 0)
+            ends = full < 0
+            tables.append((np.where(ends, restart, full) + at) * 2 + ends)
+            rare = edges[edges[:, 1] >= SYMBOLS]
+            keys.append((rare[:, 0] + at) * self.size + rare[:, 1])
+            values.append(rare[:, 2] + at)
+            self.restarts[k] = at
+            from_root = rare[rare[:, 0] == 0]
+            self.restarts[k, from_root[:, 1] - SYMBOLS] = from_root[:, 2] + at
             roots.append(at)
             at += len(to)
         self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
         self.roots = np.array(roots, np.int64)
+        # A last key that no state has, so that every search ends at a key.
+        self.keys = np.concatenate([*keys, np.full(1, np.iinfo(np.int64).max)])
+        order = np.argsort(self.keys, kind="stable")
+        self.keys, self.values = self.keys[order], np.concatenate([*values, np.zeros(1, np.int64)])[order]
 
     def phrases(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The number of phrases of each row's symbols in each language's parse."""
@@ -103,7 +116,14 @@ class Parser:
         live_at = np.searchsorted(-left, -np.arange(STRETCH), "left")
         for k in range(int(left[0]) if len(left) else 0):
             live = int(live_at[k])
-            got = self.table[state[:, :live] * SYMBOLS + symbols[starts[:live] + k]]
+            own = symbols[starts[:live] + k]
+            got = self.table[state[:, :live] * SYMBOLS + np.minimum(own, SYMBOLS - 1)]
+            rare = np.flatnonzero(own >= SYMBOLS)
+            if len(rare):
+                key = state[:, rare] * self.size + own[rare]
+                place = np.searchsorted(self.keys, key)
+                known = self.keys[place] == key
+                got[:, rare] = np.where(known, self.values[place] * 2, self.restarts[:, own[rare] - SYMBOLS] * 2 + 1)
             count[:, :live] += got & 1
             state[:, :live] = got >> 1
         back = np.empty_like(count)
@@ -156,7 +176,7 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """(doc_id, held_out, lang_pred, score) of each row of ``docs``.
 
     A suffix automaton of each language's learned text gives, at every place of a text, the longest
-    match; the text is parsed greedily into such phrases, and the language with the fewest for a code
+    match; the text is parsed greedily into such phrases (every learned letter is a symbol of its own), and the language with the fewest for a code
     point wins (ties: the first by name). Learned from are at most ROWS rows of a language, LONGEST
     code points in a stretch of each and CHARS in all, with a text and language and crc32(doc_id as text) mod 5 other than 0. Texts without
     a letter, empty and null ones are ``und`` with score 0; without learned rows, all are.

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -96,3 +97,22 @@ def test_languages_of_long_texts_only(spark):
     assert min(len(t) for _, t, _ in rows) > langid.LONGEST
     got = {r["doc_id"]: r["lang_pred"] for r in langid.languages(docs).collect()}
     assert got == {k: lang for k, _, lang in rows}
+
+
+def test_many_letters_stay_distinct():
+    rng = random.Random(7)
+    texts = {}
+    for k, lang in enumerate("pqrs"):
+        letters = [chr(0x4E00 + 500 * k + i) for i in range(400)]
+        texts[lang] = [" ".join("".join(rng.choices(letters, k=3)) for _ in range(100)) for _ in range(30)]
+    parser = langid.Parser({lang: t[:20] for lang, t in texts.items()} | {"z": ["the quick brown fox jumps over the lazy dog " * 9]})
+    for lang, t in texts.items():
+        assert parser.predict(t[20:])[0] == [lang] * 10
+    learned, text = texts["p"][0], texts["p"][1] + texts["q"][0] + "aß" + texts["p"][0][5:90]
+    one = langid.Parser({"x": [learned]})
+    n, at = 1, 0
+    for k in range(len(text)):
+        if text[at : k + 1] not in learned:
+            n, at = n + 1, k if text[k] in learned else k + 1
+    codes = langid.code_points(text)
+    assert len(text) <= langid.STRETCH and one.phrases(codes, np.array([0, len(codes)]))[0, 0] == n
