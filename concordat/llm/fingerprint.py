@@ -12,34 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordat.llm.order import splits
-from concordat.llm.text import U, code_points, mix
+from concordat.llm.text import P, U, code_points, fold, mix, powers
 
-#: The modulus and the bases, one for each of three independent hashes of 31 bits.
-P = (1 << 31) - 1
+#: The bases, one for each of three independent hashes of 31 bits modulo P.
 BASES = (1_103_515_249, 747_796_405, 1_664_525_013)
 #: Spans of the sketch in code points, hashes kept in it, and the most prefix marks.
 SPAN, KEPT, MARKS = 16, 64, 64
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def _mod(x: np.ndarray) -> np.ndarray:
-    """x modulo 2**31 - 1 for x below 2**62, by folding."""
-    x = (x & U(P)) + (x >> U(31))
-    x = (x & U(P)) + (x >> U(31))
-    return np.where(x == U(P), U(0), x)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**i modulo P for i < n, by doubling."""
-    have = _powers.get(base, np.ones(1, U))
-    while len(have) < n:
-        top = U(pow(base, len(have), P))
-        have = np.concatenate([have, _mod(have * top)])
-    _powers[base] = have
-    return have[:n]
-
-
 class Prefixes:
     """Prefix array of one text for one base: at[i] is the sum of (c[j] + 1) * base**j over j < i, modulo P."""
 
@@ -48,13 +27,13 @@ class Prefixes:
         self.n, self.base = n, base
         self.at = np.zeros(n + 1, U)
         # A sum of 2**31 terms below 2**31 stays below 2**62.
-        np.cumsum(_mod((codes.astype(U) + U(1)) * powers(base, n)), out=self.at[1:])
-        self.at = _mod(self.at)
+        np.cumsum(fold((codes.astype(U) + U(1)) * powers(base, n)), out=self.at[1:])
+        self.at = fold(self.at)
 
     def spans(self, starts: np.ndarray, length: int, to: int) -> np.ndarray:
         """Hashes of the spans of one length, each shifted to the power ``to`` (at least every start) to be comparable."""
-        diff = _mod(self.at[starts + length] + U(P) - self.at[starts])
-        return _mod(diff * powers(self.base, to + 1)[to - starts])
+        diff = fold(self.at[starts + length] + U(P) - self.at[starts])
+        return fold(diff * powers(self.base, to + 1)[to - starts])
 
 
 def equal_spans(a: list[Prefixes], i: int, b: list[Prefixes], j: int, length: int) -> bool:
@@ -103,7 +82,7 @@ class Fingerprint:
         marks = mix(arrays[0].at[places] << U(31) | arrays[1].at[places]).astype(np.uint32)
         if n >= SPAN:
             starts = np.arange(n - SPAN + 1)
-            spans = mix(_mod(arrays[0].spans(starts, SPAN, n - SPAN) * U(pow(BASES[0], SPAN - n, P))))
+            spans = mix(fold(arrays[0].spans(starts, SPAN, n - SPAN) * U(pow(BASES[0], SPAN - n, P))))
         elif n:
             spans = mix(np.array([whole[0]], U))
         else:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from concordat.llm.text import LETTER, NUMBER, OTHER, SPACE, U, classes, rows_of, span_hashes
+from concordat.llm.text import LETTER, NUMBER, SPACE, U, classes, places_of, quick_hashes
 
 #: What follows an apostrophe in the contractions that both public patterns cut off.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -80,10 +80,12 @@ def word_bpe_spans(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 
 
 class PieceTable:
-    """Token ids of pieces by 64-bit hash, in an open-addressing table that array operations probe.
+    """Token ids of pieces, in an open-addressing table by 64-bit hash that array operations probe.
 
-    ``encode`` turns a list of pieces into their id lists; it is called once for each piece that is
-    new to this worker. The table empties itself at ``limit`` pieces, so its memory is bounded.
+    A hit counts only if the piece's code points are those of the entry, so pieces with one hash are
+    entries of their own. ``encode`` turns a list of pieces into their id lists; it is called once for
+    each piece that is new to this worker. The table empties itself at ``limit`` pieces, or at 16 times
+    as many code points of them, so its memory is bounded.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1 << 20):
@@ -96,14 +98,32 @@ class PieceTable:
         self.keys = np.zeros(1 << 14, U)
         self.off, self.len = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
+        self.code_off, self.code_len = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.codes, self.written = np.zeros(1 << 16, np.uint32), 0
+
+    def _same(self, entry: np.ndarray, codes: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Whether each entry's code points are those of its span."""
+        same = self.code_len[entry] == lens
+        if not same.all():
+            at = np.flatnonzero(same)
+            same[at] = self._same(entry[at], codes, starts[at], lens[at])
+        elif len(entry):
+            before = np.cumsum(lens) - lens
+            place = np.arange(int(lens.sum()), dtype=np.int64)
+            equal = codes[place + np.repeat(starts - before, lens)] == self.codes[place + np.repeat(self.code_off[entry] - before, lens)]
+            if not equal.all():
+                same = np.logical_and.reduceat(equal, before)
+        return same
+
+    def _find(self, h: np.ndarray, codes: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
         open_, slot = np.arange(len(h)), (h & U(self.size - 1)).astype(np.int64)
         while len(open_):
             got = self.slots[slot]
             filled = got >= 0
             hit = filled & (self.keys[got] == h[open_])
+            at = np.flatnonzero(hit)
+            hit[at] = self._same(got[at], codes, starts[open_[at]], lens[open_[at]])
             out[open_[hit]] = got[hit]
             go = filled & ~hit
             open_, slot = open_[go], (slot[go] + 1) & (self.size - 1)
@@ -116,19 +136,27 @@ class PieceTable:
                 s = (s + 1) & mask
             self.slots[s] = i
 
-    def _add(self, h: np.ndarray, pieces: list[str]) -> None:
+    def _add(self, h: np.ndarray, pieces: list[str], codes: np.ndarray, starts: np.ndarray, code_lens: np.ndarray) -> None:
         lists = self.encode(pieces)
         lens = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter((x for y in lists for x in y), np.uint32, int(lens.sum()))
+        letters = codes[places_of(starts, code_lens)]
         new = self.n + len(h)
         while new > len(self.keys):
-            self.keys, self.off, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.off, self.len))
+            for name in ("keys", "off", "len", "code_off", "code_len"):
+                own = getattr(self, name)
+                setattr(self, name, np.concatenate([own, np.zeros_like(own)]))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.keys[self.n : new], self.len[self.n : new] = h, lens
+        while self.written + len(letters) > len(self.codes):
+            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
+        self.keys[self.n : new], self.len[self.n : new], self.code_len[self.n : new] = h, lens, code_lens
         self.off[self.n : new] = self.used + np.cumsum(lens) - lens
+        self.code_off[self.n : new] = self.written + np.cumsum(code_lens) - code_lens
         self.flat[self.used : self.used + len(flat)] = flat
+        self.codes[self.written : self.written + len(letters)] = letters
         self.used += len(flat)
+        self.written += len(letters)
         fresh = np.arange(self.n, new)
         self.n = new
         if 2 * self.n > self.size:
@@ -141,17 +169,19 @@ class PieceTable:
     def tokens(self, text: str, codes: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in order, first id of each row and the end)."""
         starts, ends, bounds = spans
-        if self.n > self.limit:
+        if self.n > self.limit or self.written > 16 * self.limit:
             self.clear()
-        h = span_hashes(codes, starts, ends)
-        at = self._find(h)
+        h, code_lens = quick_hashes(codes, starts, ends), ends - starts
+        at = self._find(h, codes, starts, code_lens)
         missing = np.flatnonzero(at < 0)
-        if len(missing):
+        while len(missing):
+            # One piece of each new hash; others with that hash, if they differ, stay missing and come next.
             fresh, first = np.unique(h[missing], return_index=True)
             where = missing[first]
-            self._add(fresh, [text[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist())])
-            at[missing] = self._find(h[missing])
+            pieces = [text[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist())]
+            self._add(fresh, pieces, codes, starts[where], code_lens[where])
+            at[missing] = self._find(h[missing], codes, starts[missing], code_lens[missing])
+            missing = missing[at[missing] < 0]
         lens = self.len[at]
-        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(lens)])
-        ids = self.flat[np.repeat(self.off[at] - total[:-1], lens) + np.arange(total[-1])]
-        return ids, total[bounds]
+        ids = self.flat[places_of(self.off[at], lens)]
+        return ids, np.concatenate([np.zeros(1, np.int64), np.cumsum(lens)])[bounds]

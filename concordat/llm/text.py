@@ -18,8 +18,12 @@ import pyarrow as pa
 BLOCK = 1 << 19
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15)
-_powers = [np.ones(1, U), np.ones(1, U)]
+#: The prime modulus of polynomial hashes, and a base for each of two of them.
+P = (1 << 31) - 1
+_BASES = (1_768_517_381, 926_388_673)
+_powers: dict[int, np.ndarray] = {}
+_ODD = U(0x9E3779B97F4A7C15)
+_wide = [np.ones(1, U), np.ones(1, U)]
 
 #: The ASCII white space that bounds words: space, tab, line feed, vertical tab, form feed, return.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -37,21 +41,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), BLOCK)
-        for k, base in enumerate((_BASE, U(pow(int(_BASE), -1, 1 << 64)))):
+def fold(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1."""
+    x = (x & U(P)) + (x >> U(31))
+    x = (x & U(P)) + (x >> U(31))
+    return np.where(x >= U(P), x - U(P), x)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo P for i < n, by doubling."""
+    have = _powers.get(base, np.ones(1, U))
+    while len(have) < n:
+        have = np.concatenate([have, fold(have * U(pow(base, len(have), P)))])
+    _powers[base] = have
+    return have[:n]
+
+
+def _wide_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
+    if len(_wide[0]) < n:
+        size = max(n, 2 * len(_wide[0]), BLOCK)
+        for k, base in enumerate((_ODD, U(pow(int(_ODD), -1, 1 << 64)))):
             steps = np.full(size, base, U)
             steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+            _wide[k] = np.cumprod(steps)
+    return _wide[0], _wide[1]
 
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of codes[s:e] for each span, from one prefix array of a polynomial modulo 2**64."""
+    """Hashes of codes[s:e] for each span, from prefix arrays of two polynomials modulo 2**31 - 1.
+
+    Together they are 62 bits, and a prime modulus has no family of texts that collide for every base,
+    as a power of two has.
+    """
+    n = len(codes)
+    out = np.zeros(len(starts), U)
+    wide = codes.astype(U)
+    wide += U(1)
+    # Terms of bytes are below 2**40, those of code points below 2**52, folded ones below 2**31: sums stay below 2**63.
+    small = n <= 1 << (23 if codes.itemsize == 1 else 11)
+    for base in _BASES:
+        up, down = powers(base, max(n, 1)), powers(pow(base, -1, P), n + 1)
+        prefix = np.zeros(n + 1, U)
+        terms = wide * up[:n]
+        np.cumsum(terms if small else fold(terms), out=prefix[1:])
+        own = prefix[ends] - prefix[starts]
+        own = ((own & U(P)) + (own >> U(31))) * down[starts]
+        out = (out << U(31)) | fold(own)
+    return mix(out ^ (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def quick_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of codes[s:e] from one polynomial modulo 2**64: faster, for tables that compare what they find."""
     n = len(codes)
-    up, down = _grown(n + 1)
+    up, down = _wide_powers(n + 1)
     prefix = np.zeros(n + 1, U)
     np.cumsum((codes.astype(U) + U(1)) * up[:n], out=prefix[1:])
     h = (prefix[ends] - prefix[starts]) * down[starts]
@@ -95,6 +138,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def places_of(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all spans' items, one span after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
 def rows_of(bounds: np.ndarray) -> np.ndarray:
     """The row of each item, from the first item of each row and the end."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -121,10 +170,6 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def binary_column(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
-
-
 #: Byte classes of tokens: 1 for ASCII letters, digits and all bytes of other characters, 2 for punctuation.
 _TOKEN = np.full(256, 2, np.uint8)
 _TOKEN[list(range(0x30, 0x3A)) + list(range(0x41, 0x5B)) + list(range(0x61, 0x7B)) + list(range(0x80, 0x100))] = 1
@@ -149,6 +194,12 @@ def token_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def sums_by_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of the items of each row, from the first item of each row and the end."""
-    total = np.concatenate([np.zeros(1, np.result_type(values.dtype, np.int64)), np.cumsum(values)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    """Sums of the items of each row, from the first item of each row and the end.
+
+    Each row is summed for itself, so that a sum of floats doesn't depend on the rows beside it.
+    """
+    out = np.zeros(len(bounds) - 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    some = np.flatnonzero(np.diff(bounds) > 0)
+    if len(some):
+        out[some] = np.add.reduceat(values[: bounds[-1]], bounds[:-1][some], dtype=out.dtype)
+    return out

@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from concordat.llm import langid, lines, private
+from concordat.llm import bpe, langid, lines, pieces, private, text, token_files
+from concordat.llm.queries import vocabulary
 
 from . import cases
 
@@ -116,3 +118,41 @@ def test_many_letters_stay_distinct():
             n, at = n + 1, k if text[k] in learned else k + 1
     codes = langid.code_points(text)
     assert len(text) <= langid.STRETCH and one.phrases(codes, np.array([0, len(codes)]))[0, 0] == n
+
+
+def thue_morse(n, swap):
+    return "".join("ab"[(k.bit_count() + swap) % 2] for k in range(n))
+
+
+def test_pieces_of_one_hash_keep_their_own_ids(monkeypatch):
+    texts = [thue_morse(n, swap) for n in (1024, 2048) for swap in (0, 1)] + ["one two six ten", "the cat", "12 345"]
+    for module, file in ((bpe, "word_bpe_49k.json"), (token_files, "byte_bpe_50k.json")):
+        library = Tokenizer.from_file(vocabulary(file))
+        expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in module.load(vocabulary(file)).encode(texts)] == expected
+        with monkeypatch.context() as m:  # every piece of one length has one hash
+            m.setattr(pieces, "quick_hashes", lambda codes, starts, ends: (ends - starts).astype(np.uint64))
+            module.load.cache_clear()
+            assert [x.tolist() for x in module.load(vocabulary(file)).encode(texts)] == expected
+            module.load.cache_clear()
+
+
+def test_span_hashes_of_colliding_families_differ():
+    for n in (1024, 2048):
+        codes = langid.code_points(thue_morse(n, 0) + thue_morse(n, 1))
+        for c in (codes, codes.astype(np.uint8)):
+            one, two = text.span_hashes(c, np.array([0, n]), np.array([n, 2 * n]))
+            assert one != two
+    long = np.arange(1 << 13, dtype=np.uint32) % 977
+    whole = text.span_hashes(long, np.array([977, 5, 9]), np.array([1977, 1005, 1009]))
+    moved = text.span_hashes(long[5:2000], np.array([0, 4]), np.array([1000, 1004]))
+    assert whole[1:].tolist() == moved.tolist() and whole[0] != whole[1]
+
+
+def test_row_sums_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(1)
+    values = rng.normal(0, 1, 5000)
+    bounds = np.array([0, 0, 1000, 1000, 3000, 5000])
+    got = text.sums_by_row(values, bounds)
+    assert got[0] == got[2] == 0
+    assert [text.sums_by_row(values[a:b], np.array([0, b - a]))[0] for a, b in zip(bounds, bounds[1:])] == got.tolist()
