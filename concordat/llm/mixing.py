@@ -16,6 +16,8 @@ from concordat.llm.stage import table, types_of
 from concordat.llm.text import blocks, word_spans
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
+#: Parts, by hash of the id, in which the rows of one source and size are ranked.
+PARTS = 4096
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -58,13 +60,15 @@ def tilts(cells: DataFrame, totals: np.ndarray, wanted: np.ndarray, scale: np.nd
     under the token constraints. The dual is convex, with one multiplier for a source, and gives the
     rates exp(multiplier * size / scale), here at most ``most``. Each Newton step takes the
     constraints' values and slopes from one distributed sum over the cells; a step that leaves the
-    bracket known so far is halved instead.
+    bracket known so far is halved instead. Multipliers that are off by more than 1e-4 of their target
+    after ``rounds`` steps are an error.
     """
     spark, n = cells.sparkSession, len(totals)
     at, low, high = np.zeros(n), np.full(n, -math.inf), np.full(n, math.inf)
     full = wanted >= most * totals * (1 - 1e-12)
     open_ = (totals > 0) & ~full
     at[full] = math.inf
+    off = np.zeros(n)
     for _ in range(rounds):
         if not open_.any():
             break
@@ -77,7 +81,8 @@ def tilts(cells: DataFrame, totals: np.ndarray, wanted: np.ndarray, scale: np.nd
         )
         for r in sums.collect():
             k, gap = r["k"], r["value"] - wanted[r["k"]]
-            if abs(gap) <= 1e-9 * wanted[k]:
+            off[k] = abs(gap) / wanted[k]
+            if off[k] <= 1e-9:
                 open_[k] = False
                 continue
             if gap > 0:
@@ -88,10 +93,34 @@ def tilts(cells: DataFrame, totals: np.ndarray, wanted: np.ndarray, scale: np.nd
             if not low[k] < step < high[k]:
                 step = (low[k] + high[k]) / 2 if math.isfinite(low[k] + high[k]) else at[k] + math.copysign(1 + abs(at[k]), -gap)
             at[k] = step
+    if (off[open_] > 1e-4).any():
+        raise RuntimeError("the multipliers did not settle; raise rounds")
     # Sums of floats depend on the order of tasks in their last digits; eight digits do not.
     return np.array([float(f"{a:.8g}") for a in at])
 
 
+def rounded(size: np.ndarray, n: np.ndarray, rate: np.ndarray, wanted: float, most: int = MOST) -> np.ndarray:
+    """Whole copies of each size of a source, the sizes descending, so that their words come near ``wanted``.
+
+    From the longest size down, each takes the number of copies that best makes up for what the sizes
+    before left over, between the whole numbers about its rate. What is left then, as where the longest
+    text alone is dropped, goes to the longest sizes that it still fills, up to ``most`` copies of a row:
+    less than the shortest size with room is left.
+    """
+    copies, left = np.zeros(len(size), np.int64), 0.0
+    for i in range(len(size)):
+        exact = n[i] * rate[i]
+        best = round(exact + (left / size[i] if size[i] else 0.0))
+        copies[i] = min(max(best, n[i] * math.floor(rate[i])), n[i] * math.ceil(rate[i]))
+        left += (exact - copies[i]) * size[i]
+    left = wanted - float((copies * size).sum())
+    for i in np.flatnonzero(size > 0).tolist():
+        step = min(max(int(left / size[i]), -int(copies[i])), most * int(n[i]) - int(copies[i]))
+        copies[i] += step
+        left -= step * size[i]
+    return copies
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
@@ -104,11 +133,13 @@ def mix_sources(
     """(doc_id, source, size, source_size, target, rate, copies, taken) and the columns ``keep`` of each row.
 
     Sources by code point, null last, have the weights in turn; their targets sum to all words as far as
-    ``most`` times each source's words allow. Rates become whole copies so that each source's sum
-    follows its target: from the longest size down, each size of a source takes the number of copies that
-    best makes up for what the sizes before left over. Within one size, the rows with the least
-    hash of their id get the copy more, rows of equal ids in the order of ``keep``. Rows without words have rate 1 and one copy of nothing.
-    One row for each source reaches the driver; a source's rounding sees one row for each size.
+    ``most`` times each source's words allow. Rates become whole copies as ``rounded`` says. Within one
+    size of a source, the rows with the least hash of their id get the copy more, rows of equal ids in
+    the order of ``keep``; neither partitions nor reruns change the copies.
+
+    Null texts count 0 words; rows without words have rate 1 and one copy of nothing. Null and repeated
+    ids are rows like others. An empty table gives no rows. One row for each source reaches the driver
+    at each step; a source's rounding sees one row for each size.
     """
     counted = table(sizes(docs, id_col, text_col, source_col, keep), "sizes")
     found = counted.groupBy("source").agg(F.sum("size").alias("total"), F.sum(F.col("size").cast("double") * F.col("size")).alias("squares")).collect()
@@ -126,24 +157,21 @@ def mix_sources(
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", ascending=False)
         k = int(pdf["k"].iloc[0])
-        size, n = pdf["size"].to_numpy(float), pdf["n"].to_numpy(float)
+        size, n = pdf["size"].to_numpy(float), pdf["n"].to_numpy(np.int64)
         with np.errstate(over="ignore", invalid="ignore"):
             rate = np.where(size > 0, np.minimum(np.exp(at[k] * size / scale[k]), most), 1.0)
-        base, copies, left = np.floor(rate), np.zeros(len(size)), 0.0
-        for i in range(len(size)):
-            exact = n[i] * rate[i]
-            best = round(exact + (left / size[i] if size[i] else 0.0))
-            copies[i] = min(max(best, n[i] * base[i]), n[i] * math.ceil(rate[i]))
-            left += (exact - copies[i]) * size[i]
-        return pdf.assign(rate=rate, base=base.astype(int), more=(copies - n * base).astype(int))[["k", "size", "n", "rate", "base", "more"]]
+        copies = rounded(size, n, rate, wanted[k], most)
+        return pdf.assign(rate=rate, base=copies // n, more=copies % n)[["k", "size", "n", "rate", "base", "more"]]
 
     settled = cells.groupBy("k").applyInPandas(settle, "k int, size long, n long, rate double, base long, more long")
     # Sub-cells by hash of the id, so that one size with very many rows is ranked in many tasks.
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = known.withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    known = known.withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
     subs = known.groupBy("k", "size", "sub").agg(F.count(F.lit(1)).alias("m")).join(settled, ["k", "size"])
     upto = F.sum("m").over(Window.partitionBy("k", "size").orderBy("sub"))
-    share = F.floor(F.col("more") * upto / F.col("n")) - F.floor(F.col("more") * (upto - F.col("m")) / F.col("n"))
+    subs = subs.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("m"))
+    # Products of two counts of rows go beyond 64 bits in a cell of a few billion rows.
+    upto, before = (f"cast(more as decimal(19, 0)) * cast({c} as decimal(19, 0)) div n" for c in ("upto", "before"))
+    share = F.expr(f"{upto}") - F.expr(f"{before}")
     subs = table(subs.withColumn("here", share).select("k", "size", "sub", "rate", "base", "here"), "sub-cells")
     rank = F.row_number().over(Window.partitionBy("k", "size", "sub").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id", *keep))
     out = known.withColumn("rank", rank).join(subs, ["k", "size", "sub"])
