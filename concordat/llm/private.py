@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.stage import table
+from concordat.llm.stage import numbered, table, types_of
 
-#: Base kinds in their fixed order, then the kind that the method adds.
+#: Base kinds in their fixed order.
 KINDS = ("email", "ip", "card", "phone")
-TERM = "term"
+#: What the method adds: values that are assigned to the name of a secret, and disclosing terms.
+SECRET, TERM = "secret", "term"
 #: Terms on each side of a match or term that count as its context; distinct contexts that a pair of term and
 #: entity needs; share of an entity's information that a term may disclose; most terms to broadcast.
 REACH, CONTEXTS, DISCLOSED, BROADCAST = 4, 3, 0.95, 200_000
@@ -26,6 +28,11 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: A secret: its name, a colon or equals sign, and a value with a letter and a digit, in quotes or not.
+_ASSIGNS = re.compile("[:=]")
+_NAME = re.compile(r"(?:secret|token|password|passwd|pwd|(?:api|access|private)[_-]?key)[\"']?[\x20\t]{0,4}\Z", re.IGNORECASE)
+_VALUE = re.compile(r"[\x20\t]{0,4}[\"']?((?=[^\s\"'<>,;0-9]*[0-9])(?=[^\s\"'<>,;A-Za-z]*[A-Za-z])[^\s\"'<>,;]{8,})")
+_NAMED = 24
 _DIGIT = re.compile(r"[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 _ASIDE = 200
@@ -60,7 +67,7 @@ def matches(text: str) -> list[tuple[int, int, str]]:
     out = [(s, e, 0) for s, e in emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                 out.append((m.start(), m.end(), 1))
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -72,19 +79,39 @@ def matches(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2], x[1]))]
 
 
+def secrets(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of assigned secrets, by start; they may overlap matches of the base kinds."""
+    out, free = [], 0
+    for m in _ASSIGNS.finditer(text):
+        at = m.start()
+        if at >= free and _NAME.search(text, max(free, at - _NAMED), at):
+            value = _VALUE.match(text, at + 1)
+            if value:
+                free = value.end(1)
+                out.append((value.start(1), free, SECRET))
+    return out
+
+
+def protected(text: str) -> list[tuple[int, int, str]]:
+    """All that names a protected entity in a text: matches of the base kinds and secrets, by start."""
+    return sorted(matches(text) + secrets(text), key=lambda x: x[0])
+
+
 def entity(kind: str, value: str) -> str:
     """The protected entity that a match names: lower-case address, or digits only."""
+    if kind == SECRET:
+        return f"{kind}:{value}"
     return f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{''.join(c for c in value if c.isdigit())}"
 
 
-def contexts(text: str, found: list[tuple[int, int, str]]) -> dict[str, dict[str, set[str]]]:
-    """Of each entity matched in the text, the hashes of the contexts of each term near a match, outside all matches."""
+def contexts(text: str, found: list[tuple[int, int, str]], terms: list[tuple[str, int, int]]) -> dict[str, dict[str, set[str]]]:
+    """Of each entity matched in the text, the hashes of the contexts of each of ``terms`` (those outside all matches) near a match."""
     out: dict[str, dict[str, set[str]]] = {}
+    starts = [s for _, s, _ in terms]
     for s, e, kind in found:
-        lo, hi = max(0, s - _ASIDE), min(len(text), e + _ASIDE)
-        before = [m for m in _TERM.finditer(text, lo, s)][-REACH:]
-        after = [m for _, m in zip(range(REACH), _TERM.finditer(text, e, hi))]
-        near = [m[0].lower() for m in before + after if not any(m.start() < y and x < m.end() for x, y, _ in found)]
+        i, j = bisect_left(starts, s), bisect_left(starts, e)
+        before = [t for t, at, _ in terms[max(0, i - REACH) : i] if at >= s - _ASIDE]
+        near = before + [t for t, _, end in terms[j : j + REACH] if end <= e + _ASIDE]
         own = out.setdefault(entity(kind, text[s:e]), {})
         for term in near:
             own.setdefault(term, set()).add(_mark(near))
@@ -112,10 +139,11 @@ def together(text: str, found: list[tuple[int, int, str]], wanted: set[str]) ->
 
     The context of a term that stands near a match is that of the match, of another term its own first one.
     """
-    near = {name: terms for name, terms in contexts(text, found).items() if name in wanted}
+    free = outside(text, found)
+    near = {name: own for name, own in contexts(text, found, free).items() if name in wanted}
     if not near:
         return
-    terms = [t for t, _, _ in outside(text, found)]
+    terms = [t for t, _, _ in free]
     first: dict[str, int] = {}
     for k, t in enumerate(terms):
         first.setdefault(t, k)
@@ -142,7 +170,7 @@ def entities_of(rows: DataFrame) -> DataFrame:
         for batch in batches:
             got: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
-                own = Counter(entity(kind, text[s:e]) for s, e, kind in matches(text)) if text else {}
+                own = Counter(entity(kind, text[s:e]) for s, e, kind in protected(text)) if text else {}
                 for name, n in own.items():
                     got[name] += (1 << 32) + n
             cols = [list(got), [n >> 32 for n in got.values()], [n & 0xFFFFFFFF for n in got.values()]]
@@ -164,7 +192,7 @@ def pairs_of(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found = matches(text) if text else []
+                found = protected(text) if text else []
                 names = {entity(kind, text[s:e]) for s, e, kind in found}
                 for x in together(text, found, names if wanted is None else names & wanted) if names else ():
                     out.append(x)
@@ -184,7 +212,7 @@ def occurrences(rows: DataFrame, telling: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = outside(text, matches(text)) if text else []
+                own = outside(text, protected(text)) if text else []
                 cols = [pa.array([row] * len(own), pa.int64()), pa.array([x[0] for x in own], pa.string())]
                 cols += [pa.array([x[k] for x in own], pa.int32()) for k in (1, 2)]
                 yield pa.RecordBatch.from_arrays(cols, ["row", "term", "s", "e"])
@@ -193,25 +221,29 @@ def occurrences(rows: DataFrame, telling: DataFrame) -> DataFrame:
     return places.groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("more"))
 
 
-def spans_of(rows: DataFrame, terms: frozenset[str]) -> DataFrame:
-    """The columns of private_spans of ``rows(doc_id, text, more)``; ``more`` holds places of terms beside those in ``terms``."""
+def spans_of(rows: DataFrame, terms: frozenset[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of private_spans of ``rows(doc_id, text, more)`` and ``keep``; ``more`` holds places of terms beside those in ``terms``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, base, spans = [], [], []
             for text, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 found = matches(text or "")
-                counts.append([sum(k == kind for _, _, k in found) for kind in KINDS])
                 base.append(hashlib.sha256(written(found).encode()).hexdigest())
+                found += secrets(text or "")
+                found.sort(key=lambda x: x[0])
                 own = [(s, e, TERM) for t, s, e in outside(text, found) if t in terms] if text and terms else []
                 own += [(x["s"], x["e"], TERM) for x in more or ()]
+                counts.append([sum(k == kind for _, _, k in found) for kind in counted[:-1]] + [len(own)])
                 spans.append(written(sorted(found + own, key=lambda x: x[0])))
-            cols = [batch.column(0)] + [pa.array([c[k] for c in counts], pa.int64()) for k in range(len(KINDS))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(base, pa.string()), pa.array(spans, pa.string())], names)
+            cols = [batch.column(0)] + [pa.array([c[k] for c in counts], pa.int64()) for k in range(len(counted))]
+            cols += [pa.array(base, pa.string()), pa.array(spans, pa.string())]
+            yield pa.RecordBatch.from_arrays([*cols, *(batch.column(3 + k) for k in range(len(keep)))], names)
 
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
-    return rows.select("doc_id", "text", "more").mapInArrow(run, schema)
+    counted = [*KINDS, SECRET, TERM]
+    names = ["doc_id", *(f"n_{k}" for k in counted), "base_sha256", "spans", *keep]
+    schema = ["doc_id long", *(f"n_{k} long" for k in counted), "base_sha256 string, spans string", *types_of(rows, keep)]
+    return rows.select("doc_id", "text", "more", *keep).mapInArrow(run, ", ".join(schema))
 
 
 def term_counts(rows: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
@@ -238,18 +270,20 @@ def term_counts(rows: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
     return counted.join(wanted, "term", "left_semi")
 
 
-def private_spans(docs: DataFrame, disclosed: float = DISCLOSED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row of ``docs``.
+def private_spans(docs: DataFrame, disclosed: float = DISCLOSED, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_term, base_sha256, spans) and the columns ``keep`` of each row.
 
-    A protected entity is the value of a match. Over all documents, the pointwise mutual information of
-    a term and an entity, log2(n(term, entity) * N / (n(term) * n(entity))), is how much the term tells of
+    A protected entity is the value of a match of the base kinds, or of a secret: what stands behind a name
+    like token or password and a colon or equals sign. Over all documents, the pointwise mutual information
+    of a term and an entity, log2(n(term, entity) * N / (n(term) * n(entity))), is how much the term tells of
     the entity; a term that tells more than ``disclosed`` of the entity's own information, log2(N / n(entity)),
     is a span too, wherever it stands outside the matches, in any document. Documents count whole, whatever
     the distance of term and match. Copies of one passage are one piece of evidence: a pair needs CONTEXTS
     different contexts, of a match for terms within REACH terms of it, else of the term. Null texts count as
-    empty; ids, null ones too, are returned as they are; rows of one id are judged each for itself.
+    empty; ids, null ones too, are returned as they are; rows of one id are judged each for itself. Texts of
+    any length are searched whole. An empty table gives no rows.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[docs[c] for c in keep])
     total = max(1, rows.count())
     entities = table(entities_of(rows), "entities")
     # An entity of fewer matches has no pair with enough contexts.
@@ -257,21 +291,21 @@ def private_spans(docs: DataFrame, disclosed: float = DISCLOSED, id_col: str = "
     n_often = often.count()
     none = rows.withColumn("more", F.lit(None).cast("array<struct<s: int, e: int>>"))
     if not n_often:
-        return spans_of(none, frozenset())
+        return spans_of(none, frozenset(), keep)
     names = frozenset(r["entity"] for r in often.select("entity").collect()) if n_often <= BROADCAST else None
     pairs = table(pairs_of(rows, names).where(F.col("n_marks") >= CONTEXTS).drop("n_marks"), "pairs")
     wanted = pairs.select("term").distinct()
     n_wanted = wanted.count()
     if not n_wanted:
-        return spans_of(none, frozenset())
+        return spans_of(none, frozenset(), keep)
     known = pairs.join(often, "entity").join(term_counts(rows, wanted, n_wanted), "term")
     pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     own = F.log2(F.lit(float(total)) / F.col("n_entity"))
     telling = table(known.where((own > 0) & (pmi >= disclosed * own)).select("term").distinct(), "telling")
     if telling.count() <= BROADCAST:
-        return spans_of(none, frozenset(r["term"] for r in telling.collect()))
+        return spans_of(none, frozenset(r["term"] for r in telling.collect()), keep)
     marked = table(rows.withColumn("row", F.monotonically_increasing_id()), "private-rows")
-    return spans_of(marked.join(occurrences(marked, telling), "row", "left"), frozenset())
+    return spans_of(marked.join(occurrences(marked, telling), "row", "left"), frozenset(), keep)
 
 
 def redact(text: str, spans: str) -> str:
@@ -285,12 +319,12 @@ def redact(text: str, spans: str) -> str:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with all spans generalised; ids must be unique. Null texts stay null."""
-    spans = private_spans(docs, id_col=id_col, text_col=text_col).select("doc_id", "spans").where("spans <> ''")
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(spans, "doc_id", "left")
+    """(doc_id, text) of each row with all spans generalised. Null texts stay null; ids may be null or repeat."""
+    rows = numbered(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")))
+    spans = private_spans(rows, keep=("__row",)).select("__row", "spans").where("spans <> ''")
 
     @F.pandas_udf("string")
     def clean(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or s is None else redact(t, s) for t, s in zip(text, spans)], dtype=object)
 
-    return rows.select("doc_id", clean("text", "spans").alias("text"))
+    return rows.join(spans, "__row", "left").select("doc_id", clean("text", "spans").alias("text"))

@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -156,3 +157,53 @@ def test_row_sums_do_not_depend_on_neighbours():
     got = text.sums_by_row(values, bounds)
     assert got[0] == got[2] == 0
     assert [text.sums_by_row(values[a:b], np.array([0, b - a]))[0] for a, b in zip(bounds, bounds[1:])] == got.tolist()
+
+
+def test_long_runs_of_digits_and_many_matches():
+    zeros = "0" * 5000
+    assert private.written(private.matches(f"{zeros}.1.1.1 x {zeros}255.0.0.1 9{zeros}.1.1.1")) == f"ip:0:5006,ip:5009:{5009 + 5009}"
+    text = " ".join(f"a{k}@example.org near{'abcdefgh'[k % 8]}" for k in range(20_000))
+    found = private.protected(text)
+    assert len(found) == 20_000 and sum(1 for _ in private.together(text, found, {"email:a5@example.org"})) == 8
+
+
+def test_secrets_are_spans_of_their_own_kind(spark):
+    value = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [(1, f'x token = "{value}" y'), (2, "the token: something password = required, key=abc12345"), (3, "API_KEY:'k3y-k3y-k3y' tokens = 12 at 1.2.3.4"), (None, None)]
+    got = {r["doc_id"]: r for r in private.private_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["spans"] == f"secret:11:{11 + len(value)}" and got[1]["n_secret"] == 1
+    assert got[2]["spans"] == "" and got[None]["spans"] == ""
+    assert got[3]["spans"] == "secret:9:20,ip:37:44" and (got[3]["n_secret"], got[3]["n_ip"], got[3]["n_term"]) == (1, 1, 0)
+    clean = private.sanitise(spark.createDataFrame(rows + [(1, "plain")], "doc_id long, text string")).collect()
+    assert sorted(str(r["text"]) for r in clean) == sorted(['x token = "[secret]" y', "plain", rows[1][1], "API_KEY:'[secret]' tokens = 12 at [ip]", "None"])
+
+
+def test_disclosure_by_force(spark):
+    """Terms, entities and their information counted plainly over all documents."""
+    rng = random.Random(12)
+    words = [a + b + c for a in "bdgkl" for b in "aeiou" for c in ("mor", "tan", "vel", "xis")]
+    rows = []
+    for k in range(120):
+        own = rng.sample(words, 6)
+        if k % 6 == 0:
+            own.insert(rng.randrange(6), "quorthan")
+            own.insert(rng.randrange(6), "mail q@example.org now")
+        if k % 6 == 1:
+            own.insert(3, f"mail r{k % 4}@example.org now")
+        rows.append((k, " ".join(own)))
+    terms = {k: {m.lower() for m in re.findall(r"[^\W\d_]{3,}", re.sub(r"\S+@\S+", " ", t))} for k, t in rows}
+    names = {k: set(re.findall(r"\S+@\S+", t)) for k, t in rows}
+    telling = set()
+    for name in {n for x in names.values() for n in x}:
+        own = [k for k in names if name in names[k]]
+        for term in {t for k in own for t in terms[k]}:
+            both = [k for k in own if term in terms[k]]
+            n_term = sum(term in x for x in terms.values())
+            informs, whole = np.log2(len(both) * len(rows) / (n_term * len(own))), np.log2(len(rows) / len(own))
+            if len(both) >= private.CONTEXTS and informs >= private.DISCLOSED * whole:
+                telling.add(term)
+    assert "quorthan" in telling and "mail" not in telling
+    for r in private.private_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        t = rows[r["doc_id"]][1]
+        marked = {t[int(a) : int(b)] for kind, a, b in (x.split(":") for x in r["spans"].split(",") if x) if kind == "term"}
+        assert marked == terms[r["doc_id"]] & telling
