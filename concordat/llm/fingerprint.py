@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.order import splits
+from concordat.llm.order import LOWEST, ranges
 from concordat.llm.text import P, U, code_points, fold, mix, powers
 
 #: The bases, one for each of three independent hashes of 31 bits modulo P.
@@ -36,12 +36,25 @@ class Prefixes:
         return fold(diff * powers(self.base, to + 1)[to - starts])
 
 
+    @classmethod
+    def marked(cls, at: np.ndarray, base: int) -> Prefixes:
+        """The array known at marks only: for spans between marks it is one of larger steps, with a power of the base."""
+        out = cls.__new__(cls)
+        out.n, out.base, out.at = len(at) - 1, base, at
+        return out
+
+
 def equal_spans(a: list[Prefixes], i: int, b: list[Prefixes], j: int, length: int) -> bool:
     """Whether a[i:i+length] and b[j:j+length] are the same text, by all bases."""
     if i + length > a[0].n or j + length > b[0].n:
         return False
     to = max(i, j)
-    return all(x.spans(np.array([i]), length, to)[0] == y.spans(np.array([j]), length, to)[0] for x, y in zip(a, b))
+    for x, y in zip(a, b):
+        up = powers(x.base, to + 1)
+        one = (int(x.at[i + length]) - int(x.at[i])) * int(up[to - i])
+        if (one - (int(y.at[j + length]) - int(y.at[j])) * int(up[to - j])) % P:
+            return False
+    return True
 
 
 def common_extension(a: list[Prefixes], i: int, b: list[Prefixes], j: int) -> int:
@@ -56,6 +69,24 @@ def common_extension(a: list[Prefixes], i: int, b: list[Prefixes], j: int) -> in
     return lo
 
 
+def shared_length(a: list[Prefixes], b: list[Prefixes]) -> int:
+    """How much of ``a`` lies in common extensions with ``b``: from the left, each place takes its longest, and the next follows it."""
+    n, m = a[0].n, b[0].n
+    if not n or not m:
+        return 0
+    to = max(n, m) - 1
+    where: dict[tuple[int, ...], list[int]] = {}
+    for j, key in enumerate(zip(*(x.spans(np.arange(m), 1, to).tolist() for x in b))):
+        where.setdefault(key, []).append(j)
+    keys = list(zip(*(x.spans(np.arange(n), 1, to).tolist() for x in a)))
+    i = total = 0
+    while i < n:
+        longest = max((common_extension(a, i, b, j) for j in where.get(keys[i], ())), default=0)
+        total += longest
+        i += max(1, longest)
+    return total
+
+
 def _step(n: int) -> int:
     """Code points between prefix marks: the least power of two that needs at most MARKS of them."""
     return 1 << max(0, ((n - 1) // MARKS).bit_length())
@@ -64,9 +95,9 @@ def _step(n: int) -> int:
 class Fingerprint:
     """What a text's prefix arrays are reduced to.
 
-    whole: length and the three hashes of the whole text, equal for equal texts. marks: prefix hashes
-    at multiples of a power-of-two step, with which two fingerprints find their longest common
-    prefix, to a step, by binary search. sketch: the least hashes of all spans of 16 code points.
+    whole: length and the three hashes of the whole text, equal for equal texts. marks: the prefix arrays
+    of two bases at multiples of a power-of-two step, with which two fingerprints compare any spans
+    between marks and extend them by binary search. sketch: the least hashes of all spans of 16 code points.
     """
 
     def __init__(self, n: int, whole: tuple[int, ...], marks: np.ndarray, sketch: np.ndarray):
@@ -77,9 +108,7 @@ class Fingerprint:
         n = len(codes)
         arrays = [Prefixes(codes, b) for b in BASES]
         whole = tuple(int(p.at[n]) for p in arrays)
-        step = _step(n)
-        places = np.arange(step, n + 1, step)
-        marks = mix(arrays[0].at[places] << U(31) | arrays[1].at[places]).astype(np.uint32)
+        marks = np.stack([p.at[:: _step(n)] for p in arrays[:2]])
         if n >= SPAN:
             starts = np.arange(n - SPAN + 1)
             spans = mix(fold(arrays[0].spans(starts, SPAN, n - SPAN) * U(pow(BASES[0], SPAN - n, P))))
@@ -95,26 +124,15 @@ class Fingerprint:
 
     def text(self) -> str:
         head = f"{self.n:x}-" + "".join(f"{h:08x}" for h in self.whole)
-        return "-".join([head, self.marks.astype(">u4").tobytes().hex(), self.sketch.astype(">u4").tobytes().hex()])
-
-    def common_prefix(self, other: Fingerprint) -> int:
-        """Code points that the two texts share from their start, rounded down to a mark."""
-        a, b = (self, other) if _step(self.n) <= _step(other.n) else (other, self)
-        step = _step(b.n)
-        ratio = step // _step(a.n)
-        mine = a.marks[ratio - 1 :: ratio]
-        n = min(len(mine), len(b.marks))
-        lo, hi = 0, n
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            if mine[mid - 1] == b.marks[mid - 1]:
-                lo = mid
-            else:
-                hi = mid - 1
-        return lo * step
+        return "-".join([head, self.marks[:, 1:].T.astype(">u4").tobytes().hex(), self.sketch.astype(">u4").tobytes().hex()])
+
+    def arrays(self, step: int) -> list[Prefixes]:
+        """The prefix arrays at multiples of ``step``, itself a multiple of the fingerprint's own."""
+        own = self.marks[:, :: step // _step(self.n)]
+        return [Prefixes.marked(at, pow(base, step, P)) for at, base in zip(own, BASES)]
 
     def likeness(self, other: Fingerprint) -> float:
-        """1 for equal texts; else the larger of the shared prefix's share and the share of common spans.
+        """1 for equal texts; else the larger of the share in common extensions between marks and the share of common spans.
 
         The latter is the Dice coefficient that the two sketches estimate.
         """
@@ -122,53 +140,41 @@ class Fingerprint:
             return 1.0
         if not self.n or not other.n:
             return 0.0
+        step = max(_step(self.n), _step(other.n))
+        shared = step * shared_length(self.arrays(step), other.arrays(step)) / max(self.n, other.n)
         both = np.union1d(self.sketch, other.sketch)[: max(len(self.sketch), len(other.sketch))]
-        shared = np.isin(both, self.sketch) & np.isin(both, other.sketch)
-        jaccard = float(shared.sum()) / max(1, len(both))
-        return min(1.0, max(self.common_prefix(other) / max(self.n, other.n), 2 * jaccard / (1 + jaccard)))
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_chars, fingerprint) of each row; a null text counts as empty. No shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            found = [Fingerprint.of(code_points(t)) for t in texts]
-            cols = [batch.column(0), pa.array([f.n for f in found], pa.int64()), pa.array([f.text() for f in found], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_chars", "fingerprint"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_chars long, fingerprint string")
+        common = np.isin(both, self.sketch) & np.isin(both, other.sketch)
+        jaccard = float(common.sum()) / max(1, len(both))
+        return min(1.0, max(shared, 2 * jaccard / (1 + jaccard)))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text, and of the text whose last quarter gives way to the start of the next one.
 
-    The next row is the one with the next larger id (rows of the same id: by text), after the last the
-    first; null ids come first. Returns (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next). Texts move once, to ranges of ids; the first row of each range also goes to
-    the range before, so no range needs another. A table of one row has itself as the next.
+    The next row is the one with the next larger id (rows of the same id: by hash of the text), after the
+    last the first; null ids come first. Returns (doc_id, n_chars, edited_sha256, fingerprint,
+    edited_fingerprint, near_edited, near_next). Texts move once, to ranges of that order, rows of one id
+    to several if they are many; the first row of each range also goes to the range before, so no range
+    needs another. Null texts count as empty, texts of any length count whole, a table of one row has
+    itself as the next, an empty table gives no rows, and other columns of ``docs`` are not read.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    cuts = np.array(splits(rows, "doc_id"), np.int64)
+    parts = ranges(rows, "doc_id")
 
     @F.pandas_udf("int")
-    def part(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), "right").astype(np.int32))
-
-    lowest = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    placed = rows.withColumn("part", part(lowest))
-    heads = sorted((r["part"], r["low"]) for r in placed.groupBy("part").agg(F.min(lowest).alias("low")).collect())
-    before = {low: heads[k - 1][0] for k, (_, low) in enumerate(heads)}
-
-    lent = placed.where(lowest.isin(list(before))) if before else placed.limit(0)
-    if before:
-        pairs = F.create_map(*[F.lit(x) for low, p in before.items() for x in (low, p)])
-        lent = lent.withColumn("part", F.element_at(pairs, lowest).cast("int"))
-    both = placed.withColumn("lent", F.lit(False)).unionByName(lent.withColumn("lent", F.lit(True)))
-    dealt = both.repartition("part").sortWithinPartitions("part", "lent", F.col("doc_id").asc_nulls_first(), "text")
+    def part(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(parts.of(ids.to_numpy(np.int64), hashes.to_numpy(np.int64)))
+
+    order = rows.withColumn("low", F.coalesce("doc_id", F.lit(LOWEST))).withColumn("h", F.xxhash64("text"))
+    placed = order.withColumn("part", part("low", "h"))
+    heads = sorted(tuple(r) for r in placed.groupBy("part").agg(F.min(F.struct("low", "h")).alias("x")).select("part", "x.low", "x.h").collect())
+    # One row for each range: a fixed number, so this side can be broadcast.
+    to = [(low, h, heads[k - 1][0]) for k, (_, low, h) in enumerate(heads)]
+    to = F.broadcast(docs.sparkSession.createDataFrame(to, "low long, h long, part int"))
+    lent = order.join(to, ["low", "h"])
+    cols = ["part", "doc_id", "h", "text"]
+    both = placed.select(*cols, F.lit(False).alias("lent")).unionByName(lent.select(*cols, F.lit(True).alias("lent")))
+    dealt = both.repartition("part").sortWithinPartitions("part", "lent", F.col("doc_id").asc_nulls_first(), "h", "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from concordat.llm.stage import table, types_of
+from concordat.llm.stage import discard, table, types_of
 from concordat.llm.text import blocks, word_spans
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
@@ -173,6 +173,7 @@ def mix_sources(
     upto, before = (f"cast(more as decimal(19, 0)) * cast({c} as decimal(19, 0)) div n" for c in ("upto", "before"))
     share = F.expr(f"{upto}") - F.expr(f"{before}")
     subs = table(subs.withColumn("here", share).select("k", "size", "sub", "rate", "base", "here"), "sub-cells")
+    discard(cells)
     rank = F.row_number().over(Window.partitionBy("k", "size", "sub").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id", *keep))
     out = known.withColumn("rank", rank).join(subs, ["k", "size", "sub"])
     copies = F.col("base") + (F.col("rank") <= F.col("here")).cast("long")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.stage import numbered, table, types_of
+from concordat.llm.stage import discard, numbered, table, types_of
 
 #: Base kinds in their fixed order.
 KINDS = ("email", "ip", "card", "phone")
@@ -302,6 +302,7 @@ def private_spans(docs: DataFrame, disclosed: float = DISCLOSED, id_col: str = "
     pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     own = F.log2(F.lit(float(total)) / F.col("n_entity"))
     telling = table(known.where((own > 0) & (pmi >= disclosed * own)).select("term").distinct(), "telling")
+    discard(entities, pairs)
     if telling.count() <= BROADCAST:
         return spans_of(none, frozenset(r["term"] for r in telling.collect()), keep)
     marked = table(rows.withColumn("row", F.monotonically_increasing_id()), "private-rows")

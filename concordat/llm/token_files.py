@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 
 from concordat.llm.bpe import text_groups
 from concordat.llm.huffman import Codec, code_lengths
-from concordat.llm.order import splits
+from concordat.llm.order import LOWEST, ranges
 from concordat.llm.pieces import PieceTable, byte_bpe_spans
-from concordat.llm.stage import shared_dir, table
+from concordat.llm.stage import discard, shared_dir, table
 from concordat.llm.text import code_points
 
 #: Tokens between bit-offset checkpoints, and of a block (a longer document has a block of its own).
@@ -57,6 +58,8 @@ def load(path: str) -> ByteBpe:
 
 def _planes(ids: np.ndarray) -> bytes:
     """Ids as their low bytes, then the next ones and so on: these planes compress better than mixed bytes."""
+    if len(ids) and int(ids.max()) >= 1 << 24:
+        raise ValueError("ids of 24 bits and more are not supported")
     return ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
 
 
@@ -65,9 +68,12 @@ def _ids(planes: bytes) -> np.ndarray:
     return raw[0] | raw[1] << np.uint32(8) | raw[2] << np.uint32(16)
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(part, doc_id, n_tokens, planes) of each row; part is the row's range of ids. Null texts count as empty."""
-    cuts = np.array(splits(docs, id_col), np.int64)
+def tokenize(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(part, doc_id, h, n_tokens, planes) of each row, and the number of parts.
+
+    part is the row's range in the order by id and h, a hash of its tokens. Null texts count as empty.
+    """
+    parts = ranges(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -76,21 +82,16 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_
             at = 0
             for group in text_groups(batch.column(1).to_pylist()):
                 ids = batch.column(0).slice(at, len(group)).cast(pa.int64())
-                part = np.searchsorted(cuts, ids.fill_null(-(1 << 63)).to_numpy(), "right")
                 found = [np.concatenate([x, tail]) for x in bpe.encode(group)]
+                planes = [_planes(x) for x in found]
+                h = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in planes), "<i8")
+                part = parts.of(ids.fill_null(LOWEST).to_numpy(), h)
                 at += len(group)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(part, pa.int32()),
-                        ids,
-                        pa.array([len(x) for x in found], pa.int64()),
-                        pa.array([_planes(x) for x in found], pa.binary()),
-                    ],
-                    ["part", "doc_id", "n_tokens", "planes"],
-                )
+                cols = [pa.array(part, pa.int32()), ids, pa.array(h, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(planes, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "h", "n_tokens", "planes"])
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, "part int, doc_id long, n_tokens long, planes binary")
+    return rows.mapInArrow(run, "part int, doc_id long, h long, n_tokens long, planes binary"), parts.count
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
@@ -123,10 +124,12 @@ def write_files(docs: DataFrame, path: str, to: str, end_id: int | None = None,
     ``to``/header holds the code length of each id, from the counts of the whole corpus;
     ``to``/blocks holds independent blocks in the order (start): the documents' ids and lengths, the
     bit streams, and the bit offset of every 64th token of a document. Documents ascend by id, null
-    ids first; rows of the same id follow their tokens' order.
+    ids first, through blocks and files alike; rows of the same id follow the hash of their tokens.
+    Null and empty texts have the end id alone, if there is one. An empty table gives files without rows.
     """
     spark = docs.sparkSession
-    tokens = table(tokenize(docs, path, end_id, id_col, text_col), "tokens")
+    tokens, n_parts = tokenize(docs, path, end_id, id_col, text_col)
+    tokens = table(tokens, "tokens")
     lengths = code_lengths(id_counts(tokens), max_bits)
     totals = {r["part"]: r["n"] for r in tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     starts, at = {}, 0
@@ -138,7 +141,7 @@ def write_files(docs: DataFrame, path: str, to: str, end_id: int | None = None,
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(lengths, EVERY)
         for batch in batches:
-            planes, lo = batch.column(3).to_pylist(), 0
+            planes, lo = batch.column(4).to_pylist(), 0
             while lo < len(planes):
                 hi, size = lo, 0
                 while hi < len(planes) and (hi == lo or size < 8 * BLOCK_TOKENS):
@@ -150,8 +153,8 @@ def write_files(docs: DataFrame, path: str, to: str, end_id: int | None = None,
                 marks = [(bits[a:b:EVERY] - 8 * f).astype("<u4").tobytes() for a, b, f in zip(bounds[:-1], bounds[1:], first[:-1])]
                 coded = [data[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(k).slice(lo, hi - lo) for k in range(3)] + [pa.array(marks, pa.binary()), pa.array(coded, pa.binary())],
-                    ["part", "doc_id", "n_tokens", "marks", "coded"],
+                    [batch.column(k).slice(lo, hi - lo) for k in range(4)] + [pa.array(marks, pa.binary()), pa.array(coded, pa.binary())],
+                    ["part", "doc_id", "h", "n_tokens", "marks", "coded"],
                 )
                 lo = hi
 
@@ -168,7 +171,7 @@ def write_files(docs: DataFrame, path: str, to: str, end_id: int | None = None,
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         schema = pa.schema(list(zip(names, kinds)))
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for row in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5))):
                 if docs_in and (row[0] != part or n >= BLOCK_TOKENS):
                     yield block()
                     seq, start = seq + 1, start + n
@@ -183,9 +186,13 @@ def write_files(docs: DataFrame, path: str, to: str, end_id: int | None = None,
         if docs_in:
             yield block()
 
-    coded = tokens.mapInArrow(code, "part int, doc_id long, n_tokens long, marks binary, coded binary")
-    ordered = coded.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "coded")
+    coded = tokens.mapInArrow(code, "part int, doc_id long, h long, n_tokens long, marks binary, coded binary")
+    # File k holds the k-th stretch of parts, so that the files' order is that of the ids.
+    n_files = min(n_parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    file = F.floor(F.col("part").cast("long") * n_files / n_parts).cast("int")
+    ordered = coded.repartitionById(n_files, file).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "h", "coded")
     ordered.mapInArrow(pack, _BLOCK_SCHEMA).write.parquet(f"{to}/blocks")
+    discard(tokens)
 
 
 def read_files(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:

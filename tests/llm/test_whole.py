@@ -1,14 +1,17 @@
 """Cases in which an operator once did less than its whole job."""
 
+import hashlib
 import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from concordat.llm import bpe, langid, lines, pieces, private, text, token_files
+from concordat.llm import bpe, fingerprint, langid, lines, order, pieces, private, text, token_files
 from concordat.llm.queries import vocabulary
 
 from . import cases
@@ -207,3 +210,73 @@ def test_disclosure_by_force(spark):
         t = rows[r["doc_id"]][1]
         marked = {t[int(a) : int(b)] for kind, a, b in (x.split(":") for x in r["spans"].split(",") if x) if kind == "term"}
         assert marked == terms[r["doc_id"]] & telling
+
+
+def test_ranges_split_an_id_that_many_rows_have(spark):
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([np.full(5000, order.LOWEST), np.full(3000, 40), rng.integers(0, 100, 2000)])
+    h = rng.integers(-(1 << 63), (1 << 63) - 1, len(ids))
+    docs = spark.createDataFrame([(None if i == order.LOWEST else int(i),) for i in ids.tolist()], "doc_id long")
+    found = order.ranges(docs, "doc_id", 8)
+    part = found.of(ids, h)
+    ranked = np.lexsort((h, ids))
+    assert (np.diff(part[ranked]) >= 0).all() and part.max() < found.count
+    assert np.bincount(part).max() < 3 * len(ids) / found.count
+
+
+def test_likeness_by_force():
+    """The common extensions between marks, found by comparing the texts themselves."""
+    rng = random.Random(8)
+    block = lambda: "".join(rng.choices("abcdefgh ", k=32))
+    for _ in range(20):
+        a = [block() for _ in range(40)]
+        b = a[10:25] + [block() for _ in range(15)] + a[30:40]
+        one, two = ("".join(x) for x in (a, b))
+        f, g = (fingerprint.Fingerprint.of(fingerprint.code_points(t)) for t in (one, two))
+        i = total = 0
+        while i < len(a):
+            best = 0
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                best = max(best, n)
+            total, i = total + best, i + max(1, best)
+        assert total == 25
+        assert fingerprint.shared_length(f.arrays(32), g.arrays(32)) == total
+        assert f.likeness(g) >= 32 * total / len(one)
+        assert f.likeness(f) == 1 and f.likeness(fingerprint.Fingerprint.of(fingerprint.code_points(""))) == 0
+    off = []
+    for k in range(1, 9):
+        whole = "".join(block() for _ in range(9))
+        one, two = "x" + whole, whole[: 32 * k] + block() * 3
+        s, t = ({x[i : i + 16] for i in range(len(x) - 15)} for x in (one, two))
+        f, g = (fingerprint.Fingerprint.of(fingerprint.code_points(x)) for x in (one, two))
+        off.append(abs(f.likeness(g) - 2 * len(s & t) / (len(s) + len(t))))
+    assert max(off) < 0.35 and sum(off) / len(off) < 0.12
+
+
+def test_edits_of_rows_without_an_own_id(spark):
+    rows = [(None, "b" * 40), (None, "a" * 40), (3, "c" * 40), (3, "d" * 40), (9, ""), (9, None), (12, "e" * 40)]
+    got = fingerprint.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    firsts = {digest("e" * 30 + x * 10) for x in "ab"}
+    assert [r["edited_sha256"] for r in got if r["doc_id"] == 12][0] in firsts
+    assert {r["edited_sha256"] for r in got if r["doc_id"] == 9} == {digest("")}
+    assert sum(r["edited_sha256"] in {digest("a" * 30 + "b" * 10), digest("b" * 30 + "a" * 10)} for r in got) == 1
+
+
+def test_token_files_lie_in_the_order_of_ids(spark, tmp_path):
+    rows = [(k * 7 % 1000, f"text number {k}") for k in range(1000)] + [(None, "none"), (None, "null"), (5, "again")]
+    to = f"file://{tmp_path}/tokens"
+    token_files.write_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), vocabulary("byte_bpe_50k.json"), to, 2)
+    seen = [i for f in sorted((tmp_path / "tokens/blocks").glob("*.parquet")) for r in pq.read_table(f).to_pylist() for i in r["doc_ids"]]
+    assert len(seen) == len(rows) and seen == [None, None, *sorted(i for i, _ in rows if i is not None)]
+    back = token_files.read_files(spark, to).orderBy("start").collect()
+    at = 0
+    for r in back:
+        assert (r["start"], len(r["ids"])) == (at, r["n_tokens"])
+        at += r["n_tokens"]
+    with pytest.raises(ValueError):
+        token_files._planes(np.array([1 << 24]))
