@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordat.llm.samples import least_hashed, remainder
-from concordat.llm.stage import table, types_of
+from concordat.llm.stage import fewer_tasks, table, types_of
 from concordat.llm.text import U, blocks, mix, rows_of, span_hashes, sums_by_row, token_spans
 
 #: Hashed words, dimensions and non-zero entries of an index vector, neighbours on each side.
@@ -60,7 +60,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays(cols, ["word", *(f"v{d}" for d in range(DIMS))])
 
     schema = "word int, " + ", ".join(f"v{d} long" for d in range(DIMS))
-    rows = docs.select("text").mapInArrow(run, schema).groupBy("word").agg(*[F.sum(f"v{d}").alias(f"v{d}") for d in range(DIMS)]).collect()
+    rows = fewer_tasks(docs.select("text")).mapInArrow(run, schema).groupBy("word").agg(*[F.sum(f"v{d}").alias(f"v{d}") for d in range(DIMS)]).collect()
     out = np.zeros((WORDS, DIMS))
     for r in rows:
         out[r["word"]] = r[1:]
@@ -159,7 +159,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learned: int = LEARNED, c
     ``labels.quality`` and whose crc32(doc_id as text) mod 4 is not 2: those of least hash of the id. Only
     the text enters a score. Null and empty texts have features of zero and a score like the others;
     rows with a null id are never learned from. If the labels have one class or none, every score is
-    the share of label 1 there, or 1 without any.
+    the share of label 1 there, or 1 without any. Equal texts have equal scores, whatever their rows and
+    neighbours. An empty table gives no rows.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[docs[c] for c in keep])
     found = table(pooled(rows, word_vectors(context_vectors(rows)), keep), "pooled")

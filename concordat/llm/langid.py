@@ -175,11 +175,13 @@ def learned_texts(docs: DataFrame, rows: int = ROWS, longest: int = LONGEST) ->
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row of ``docs``.
 
-    A suffix automaton of each language's learned text gives, at every place of a text, the longest
-    match; the text is parsed greedily into such phrases (every learned letter is a symbol of its own), and the language with the fewest for a code
-    point wins (ties: the first by name). Learned from are at most ROWS rows of a language, LONGEST
-    code points in a stretch of each and CHARS in all, with a text and language and crc32(doc_id as text) mod 5 other than 0. Texts without
-    a letter, empty and null ones are ``und`` with score 0; without learned rows, all are.
+    A suffix automaton of each language's learned text gives, at every place of a text, the longest match;
+    the whole text is parsed greedily into such phrases (every learned letter is a symbol of its own), and
+    the language with the fewest for a code point wins (ties: the first by name). Learned from are at most
+    ROWS rows of a language, LONGEST code points in a stretch of each and CHARS in all, with a text and
+    language and crc32(doc_id as text) mod 5 other than 0; rows with a null id are never learned from.
+    Texts without a letter, empty and null ones are ``und`` with score 0; without learned rows, all are.
+    Null and repeated ids are returned as they are. An empty table gives no rows.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     held = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))

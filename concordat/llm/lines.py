@@ -29,7 +29,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     overlapping windows. Each line that goes has an equal line at an earlier place, so one always
     stays. Texts with fewer than three such lines stay as they are, null texts too (0 lines).
     Each row is a document of its own: those with a null id come before all others, and rows of one id
-    in the order of their row numbers, which are written once with the rows.
+    in the order of their row numbers, which are written once with the rows. An empty table gives no rows.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[docs[c] for c in keep])
     rows = table(rows.withColumn("__row", F.monotonically_increasing_id()), "lines")
@@ -49,24 +49,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     covered = later.select("__row", F.explode(F.sequence("pos", F.col("pos") + WINDOW - 1)).alias("pos"))
     covered = covered.groupBy("__row").agg(F.collect_set("pos").alias("gone"))
 
-    joined = rows.join(covered, "__row", "left")
-    # Each line with its number among the solid lines; blank lines have the number 0 and stay.
-    numbered = F.aggregate(
-        _lines(F.col("text")),
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")),
-        lambda acc, x: F.when(_solid(x) == "", F.struct(acc["n"].alias("n"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(
-            F.struct(
-                (acc["n"] + 1).alias("n"),
-                F.when(F.array_contains("gone", acc["n"] + 1), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x))).alias("kept"),
-            )
-        ),
-        lambda acc: F.array_join(acc["kept"], "\n"),
-    )
-    return joined.select(
+    # Each line's number among the solid ones leads to its place among all; what isn't gone is put together
+    # again by place. Every step is in proportion to the lines.
+    cut = rows.join(covered, "__row", "left").withColumn("__lines", _lines(F.col("text")))
+    places = F.filter(F.transform("__lines", lambda x, i: F.when(_solid(x) != "", i)), lambda i: i.isNotNull())
+    cut = cut.withColumn("__places", F.when(F.col("gone").isNotNull(), places))
+    gone = F.transform("gone", lambda k: F.get("__places", k - 1))
+    cut = cut.withColumn("__kept", F.when(F.size("__places") > 0, F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone)))
+    left = F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n")
+    return cut.select(
         "doc_id",
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(_lines(F.col("text")))).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(numbered).alias("text"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
         *keep,
     )
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.stage import table
+from concordat.llm.stage import discard, table
 from concordat.llm.text import ASCII_LOWER, U, blocks, mix, pair_hashes, span_hashes, word_spans
 from concordat.llm.union import components
 
@@ -208,16 +208,17 @@ def confirm_groups(rows: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def groups_of(members: DataFrame) -> DataFrame:
+def groups_of(members: DataFrame, spare: list[DataFrame]) -> DataFrame:
     """(grp, node, root): bounded groups in which any two nodes that share a key of ``members`` meet.
 
     Keys with the same members count once. A key of up to BLOCK_NODES members is a group. Larger ones are
     put together with those that they share nodes with, so that a pair of a large group of near copies,
     which share very many keys, is compared once; such a cluster is cut into blocks by hash, and each
-    pair of blocks is a group.
+    pair of blocks is a group. Tables that the result reads are added to ``spare``.
     """
     profile = members.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"), F.min("node").alias("low"))
     profile = table(profile.groupBy("k", "h", "low").agg(F.min("key").alias("key")), "open-profiles")
+    spare.append(profile)
     once = members.join(profile.select("key", "k", "low"), "key")
     small = once.where(F.col("k") <= BLOCK_NODES).select(F.xxhash64(F.lit(0), "key").alias("grp"), "node", "root")
     large = once.where(F.col("k") > BLOCK_NODES)
@@ -225,6 +226,7 @@ def groups_of(members: DataFrame) -> DataFrame:
         return small
     clusters = components(large.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()).withColumnRenamed("root", "cluster")
     clusters = table(clusters, "clusters")
+    spare.append(clusters)
     counts = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("parts"))
     roots = large.select("node", "root").distinct()
     placed = clusters.join(counts, "cluster").join(roots, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -274,12 +276,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         open_keys = members.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
         return table(members.join(open_keys.select("key"), "key").select("key", "node", "n", "root"), "open-keys")
 
-    links = table(confirm(with_first(shared.withColumn("root", F.col("node")), []), sets, percent), "links")
-    members = still_open(table(components(links), "roots"))
-    links = links.unionByName(table(confirm(with_first(members, [F.xxhash64("node", "key")]), sets, percent), "links"))
-    members = still_open(table(components(links), "roots"))
-    links = links.unionByName(table(confirm_groups(groups_of(members).join(sets, "node"), percent), "links"))
+    def kept_until_the_end(df: DataFrame, name: str) -> DataFrame:
+        spare.append(table(df, name))
+        return spare[-1]
+
+    spare = [shared, sets]
+    links = kept_until_the_end(confirm(with_first(shared.withColumn("root", F.col("node")), []), sets, percent), "links")
+    members = still_open(kept_until_the_end(components(links), "roots"))
+    links = links.unionByName(kept_until_the_end(confirm(with_first(members, [F.xxhash64("node", "key")]), sets, percent), "links"))
+    discard(members)
+    members = still_open(kept_until_the_end(components(links), "roots"))
+    links = links.unionByName(kept_until_the_end(confirm_groups(groups_of(members, spare).join(sets, "node"), percent), "links"))
     roots = table(components(links), "roots")
+    discard(members, *spare)
 
     out = signed.join(classes.select(*same, "node"), same, "left")
     out = out.join(roots.select(F.col("node"), "root"), "node", "left")

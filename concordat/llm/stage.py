@@ -49,6 +49,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fewer_tasks(df: DataFrame) -> DataFrame:
+    """``df`` in at most twice as many tasks as a shuffle has partitions, without a shuffle.
+
+    For tasks that each give a table of fixed size: what they give must not grow with the number of files.
+    """
+    return df.coalesce(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a number of each row (``__row``), written once, so that all that reads it sees the same numbers."""
     return table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")

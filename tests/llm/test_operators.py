@@ -132,11 +132,13 @@ def test_op2_against_sql(spark):
         assert (got[c] == expected[c]).all()
 
 
+def shingles_of(text, words):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return set(zip(*(w[k:] for k in range(words)))) if len(w) >= words else {tuple(w)} if w else set()
+
+
 def components_by_force(texts, ids, words, percent):
-    sets = []
-    for t in texts:
-        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-        sets.append(set(zip(*(w[k:] for k in range(words)))) if len(w) >= words else {tuple(w)} if w else set())
+    sets = [shingles_of(t, words) for t in texts]
     root = {i: i for i in ids}
 
     def find(x):

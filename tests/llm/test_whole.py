@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from concordat.llm import bpe, fingerprint, langid, lines, order, pieces, private, text, token_files
+from concordat.llm import bpe, classifier, fingerprint, langid, lines, minhash, mixing, order, pieces, private, rules, stage, text, token_files
+from concordat.llm import queries as q
 from concordat.llm.queries import vocabulary
 
 from . import cases
+from .test_operators import SF, components_by_force, shingles_of
 
 
 def texts_by(frame, *keys):
@@ -280,3 +283,133 @@ def test_token_files_lie_in_the_order_of_ids(spark, tmp_path):
         at += r["n_tokens"]
     with pytest.raises(ValueError):
         token_files._planes(np.array([1 << 24]))
+
+
+def test_lines_of_a_long_text(spark):
+    """Repeats, blank lines and overlapping windows in one text of many lines, against the rule applied plainly."""
+    rng = random.Random(2)
+    drawn = [rng.choice(["", " "] + [f"l{k}" for k in range(9)]) for _ in range(3000)] + [f"own {k % 20000}" for k in range(40_000)]
+    rows = [(1, "\n".join(drawn)), (2, "\n".join(drawn[100:140])), (3, None), (4, "")]
+    seen, expected = set(), {}
+    for i, t in rows[:2]:
+        all_ = t.split("\n")
+        solid = [k for k, x in enumerate(all_) if x.strip()]
+        gone = set()
+        for p in range(len(solid) - 2):
+            w = tuple(all_[k].strip() for k in solid[p : p + 3])
+            if w in seen:
+                gone |= set(solid[p : p + 3])
+            seen.add(w)
+        expected[i] = (len(all_), len(gone), "\n".join(x for k, x in enumerate(all_) if k not in gone))
+    expected |= {3: (0, 0, None), 4: (1, 0, "")}
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in lines.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected
+
+
+def test_buckets_of_more_members_than_a_block(spark):
+    """A group of near copies beyond BLOCK_NODES, and alike texts in it that no link joins, against all pairs."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, far = [word() for _ in range(60)], [word() for _ in range(100)]
+    rows = []
+    for k in range(600):
+        t = list(base)
+        t[rng.randrange(60)] = word()
+        rows.append((k, " ".join(t)))
+    for k in range(600, 900):  # two thirds in common: they meet in buckets, and few are linked
+        t = list(far)
+        for _ in range(rng.choice([3, 9, 12])):
+            t[rng.randrange(100)] = word()
+        rows.append((k, " ".join(t)))
+    rng.shuffle(rows)
+    expected, _ = components_by_force([t for _, t in rows], [i for i, _ in rows], 2, 80)
+    assert len(set(expected)) > 20
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
+    assert got == {i: c for (i, _), c in zip(rows, expected)}
+
+
+def test_every_link_of_the_query_set_is_found(spark):
+    """Recall of links between ids divisible by 20 and all rows, on the middle tables."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in q.documents(spark, sf).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in q.op4_near_duplicates(spark, sf).collect()}
+    sets = {i: shingles_of(t, 2) for i, t in texts.items()}
+    links = 0
+    for i in (x for x in texts if x % 20 == 0):
+        for j, own in sets.items():
+            both = len(sets[i] & own)
+            if i != j and both and 100 * both >= 80 * (len(sets[i]) + len(own) - both):
+                links += 1
+                assert got[i] == got[j]
+    assert links > 5
+
+
+def test_quality_verdict_by_force(spark):
+    """The ratio of hashed n-grams, its threshold and the verdict, computed plainly."""
+    docs = q.documents(spark, SF)
+    held = {r["doc_id"]: r["k"] == 0 for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("k")).collect()}
+    good = {r["doc_id"] for r in q.labels(spark, SF).where("quality = 1").collect()}
+    got = {r["doc_id"]: r for r in rules.quality_rules(docs, q.labels(spark, SF)).collect()}
+
+    def hashed(t):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        tokens = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~\x00-\x08\x0e-\x1f\x7f]+", raw.tobytes())]
+        own = [int(text.span_hashes(raw, np.array([a]), np.array([b]))[0]) for a, b in tokens]
+        pairs = [int(text.pair_hashes(np.array([a], np.uint64), np.array([b], np.uint64))[0]) for a, b in zip(own, own[1:])]
+        return [x % rules.BUCKETS for x in own + pairs]
+
+    found = {r["doc_id"]: hashed(r["text"]) for r in docs.collect()}
+    raw, trusted = np.zeros(rules.BUCKETS), np.zeros(rules.BUCKETS)
+    for i, x in found.items():
+        np.add.at(raw, x, 1)
+        if i in good and held[i]:
+            np.add.at(trusted, x, 1)
+    p = (raw + 1) / (raw.sum() + rules.BUCKETS)
+    ratio = np.log((trusted + rules.BUCKETS * p) / (trusted.sum() + rules.BUCKETS) / p)
+    llr = {i: float(np.mean(ratio[x])) if x else 0.0 for i, x in found.items()}
+    assert all(abs(got[i]["llr"] - v) < 1e-9 for i, v in llr.items())
+    known = sorted(got[i]["llr"] for i in got if i in good and not held[i] and not got[i]["base_failed"])
+    cut = np.quantile(known, rules.LOSS)
+    assert abs(got[0]["threshold"] - cut) < 1e-12
+    assert all(r["kept"] == (not r["base_failed"] and r["llr"] >= r["threshold"]) for r in got.values())
+
+
+def test_classifier_by_force(spark):
+    """Context sums, pooled features and the network's forward pass, computed word by word."""
+    docs = q.documents(spark, SF)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    places, signs = classifier.index_vectors()
+    words = {}
+    for i, t in rows.items():
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        words[i] = classifier.hashed_words(raw, np.array([0, len(raw)]))[0].tolist()
+    sums = np.zeros((classifier.WORDS, classifier.DIMS))
+    for own in words.values():
+        for k, w in enumerate(own):
+            for j in range(max(0, k - classifier.REACH), min(len(own), k + classifier.REACH + 1)):
+                if j != k:
+                    np.add.at(sums[w], places[own[j]], signs[own[j]])
+    assert (classifier.context_vectors(docs) == sums).all()
+    vectors = classifier.word_vectors(sums)
+    got = {r["doc_id"]: np.frombuffer(r["features"], np.float32) for r in classifier.pooled(docs, vectors).collect()}
+    for i in list(rows)[:60]:
+        x = vectors[words[i]].astype(float)
+        beside = (x[1:] * x[:-1]).sum(1).mean() if len(x) > 1 else 0.0
+        expected = [*x.mean(0), *x.std(0), beside, np.linalg.norm(x.mean(0)), np.log1p(len(x))] if len(x) else [0.0] * classifier.FEATURES
+        assert np.allclose(got[i], expected, atol=2e-4)
+    x = np.stack(list(got.values())).astype(float)
+    net = classifier.Network(x, (x[:, 0] > np.median(x[:, 0])).astype(float), rounds=30)
+    z = (x[5] - net.centre) / net.spread
+    h = [np.tanh(sum(z[i] * net.w[0][i, j] for i in range(len(z))) + net.w[1][j]) for j in range(classifier.HIDDEN)]
+    logit = sum(a * b for a, b in zip(h, net.w[2])) + net.w[3][0]
+    assert abs(net.probabilities(x)[5] - 1 / (1 + np.exp(-logit / net.temperature))) < 1e-9
+
+
+def test_intermediate_tables_are_deleted(spark):
+    root = stage.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    docs = q.documents(spark, SF)
+    for name, run in (("op4", lambda: minhash.near_duplicates(docs, 2)), ("op10", lambda: token_files.round_trip(docs, vocabulary("byte_bpe_50k.json"))), ("op8", lambda: mixing.mix_sources(docs))):
+        assert run().count() == docs.count()
+        left = {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before}
+        assert not left & {"shared-keys", "sets", "links", "open-keys", "open-profiles", "clusters", "tokens", "cells"}, name
