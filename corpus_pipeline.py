@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from concordat.llm import bpe, classifier, lines, minhash, mixing
 from concordat.llm.queries import labels, vocabulary
-from concordat.llm.stage import numbered, table
+from concordat.llm.stage import discard, numbered, table
 
 #: A document goes if its calibrated probability of good quality is below this: only where the classifier is sure.
 REJECTED_BELOW = 0.5
@@ -20,7 +20,10 @@ WORDS, PERCENT = 5, 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject, each row by its own score."""
+    """Documents that the classifier doesn't reject, each row by its own score.
+
+    Null, empty and repeated texts and ids are judged like others; an empty table gives no rows.
+    """
     rows = numbered(docs)
     scores = classifier.quality_scores(rows, labels(spark, sf_dir), keep=("__row",))
     bad = scores.where(F.col("score") < REJECTED_BELOW).select("__row")
@@ -28,7 +31,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of passages; those of which no word is left go, if words went."""
+    """Documents without later copies of passages; those of which no word is left go, if lines went.
+
+    Null texts stay null; each row is a document of its own. An empty table gives no rows.
+    """
     clean = lines.remove_repeats(docs, keep=("lang", "source"))
     clean = clean.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return clean.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
@@ -38,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: the one of smallest id, null after all others.
 
     Each row is a document of its own: rows of one id, or with none, are compared by their texts like any
-    others, so that only copies go.
+    others, so that only copies go. Texts without words stay. An empty table gives no rows.
     """
     rows = numbered(docs)
     found = minhash.near_duplicates(rows, WORDS, PERCENT, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
@@ -48,7 +54,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; those with no copies go."""
+    """Each document as often as the mix takes it; those with no copies go.
+
+    Rows without words stay once; null and repeated ids are rows like others. An empty table gives no rows.
+    """
     rows = numbered(docs)
     copies = mixing.mix_sources(rows, keep=("__row",)).select("__row", "copies")
     both = rows.join(copies, "__row").where("copies > 0")
@@ -56,7 +65,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each copy: count and digests, as the operator gives them."""
+    """Token ids of each copy: count and digests, as the operator gives them; null texts have none."""
     return bpe.encode_decode(docs, vocabulary("word_bpe_49k.json"))
 
 
@@ -73,10 +82,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the table of documents, each written and read again."""
+    """All stages on the table of documents, each written and read again; what the next stage has read is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = table(docs, f"stage-{k}")
+            if k:
+                discard(before)
     return docs
