@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 
 import pandas as pd
@@ -37,10 +36,39 @@ def _indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_indel(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def matched(a: str, b: str) -> int:
+    """Characters in matching blocks: the longest common substring (the first in ``a``, then in ``b``), then those on either side of it."""
+    where: dict[str, list[int]] = {}
+    for j, c in enumerate(b):
+        where.setdefault(c, []).append(j)
+    total, open_ = 0, [(0, len(a), 0, len(b))]
+    while open_:
+        a_lo, a_hi, b_lo, b_hi = open_.pop()
+        size, a_at, b_at = 0, a_lo, b_lo
+        runs: dict[int, int] = {}
+        for i in range(a_lo, a_hi):
+            here = {}
+            for j in where.get(a[i], ()):
+                if b_lo <= j < b_hi:
+                    here[j] = n = runs.get(j - 1, 0) + 1
+                    if n > size:
+                        size, a_at, b_at = n, i - n + 1, j - n + 1
+            runs = here
+        if size:
+            total += size
+            open_ += [(a_lo, a_at, b_lo, b_at), (a_at + size, a_hi, b_at + size, b_hi)]
+    return total
+
+
+def _blocks(a: str | None, b: str | None) -> float | None:
+    if a is None or b is None:
+        return None
+    return 2.0 * matched(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
 @F.pandas_udf(DoubleType())
 def _block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    found = [None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)]
-    return pd.Series(found, dtype="float64")
+    return pd.Series([_blocks(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 @F.pandas_udf(StringType())

@@ -129,6 +129,16 @@ def file_safe(name: Column) -> Column:
     return F.when(F.contains(name, F.lit(" ")), spaced).otherwise(tight)
 
 
+def file_safe_spaced(name: Column) -> Column:
+    """A name for files that keeps its spaces: reserved characters become underscores."""
+    return F.regexp_replace(name, r'[<>:"/\\|?*]', "_")
+
+
+def percent(share: Column) -> Column:
+    """A share in percent, to one decimal, halves to even."""
+    return F.bround(100 * share, 1)
+
+
 def markdown_safe(name: Column) -> Column:
     return F.regexp_replace(name, r"(?U)[^\w ]", "")
 

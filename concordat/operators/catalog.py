@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions import text as T
+from concordat.operators.postings import contained
 
 
 def by_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -78,8 +79,9 @@ def find_by_name(wanted: DataFrame, playlists: DataFrame) -> DataFrame:
     w = wanted.select("wanted", F.lower("wanted").alias("low")).distinct()
     first = w.join(exact, "wanted", "left").join(folded, "low", "left")
     rest = first.where("id1 is null and id2 is null").select("wanted", "low")
-    names = playlists.select(F.lower("name").alias("name_low"), "playlist_id")
-    part = rest.join(names, F.contains(F.col("name_low"), F.col("low"))).groupBy("wanted").agg(F.count(F.lit(1)).alias("n"), F.min("playlist_id").alias("id3")).where("n = 1")
+    names = playlists.select(F.lower("name").alias("text"), "playlist_id")
+    held = contained(rest.select(F.col("low").alias("needle")), names.select("text"))
+    part = rest.join(held, rest.low == held.needle).join(names, "text").groupBy("wanted").agg(F.count(F.lit(1)).alias("n"), F.min("playlist_id").alias("id3")).where("n = 1")
     out = first.join(part, "wanted", "left")
     rule = F.when(F.col("id1").isNotNull(), "exact").when(F.col("id2").isNotNull(), "case").when(F.col("id3").isNotNull(), "contains").otherwise("none")
     return out.select("wanted", F.coalesce("id1", "id2", "id3").alias("playlist_id"), rule.alias("rule"))
@@ -107,3 +109,30 @@ def unmapped_files(inventory: DataFrame, mappings: DataFrame) -> DataFrame:
     """Files without an active mapping, paths compared without case and kind of slash."""
     keys = mappings.where("is_active").select(T.path_key(F.col("file_path")).alias("__key")).distinct()
     return inventory.withColumn("__key", T.path_key(F.col("file_path"))).join(keys, "__key", "left_anti").drop("__key")
+
+
+def with_prefix(playlists: DataFrame, prefix: str) -> DataFrame:
+    """Playlists whose name starts with the prefix, case and white space around the name aside."""
+    return playlists.where(F.startswith(F.upper(T.strip(F.col("name"))), F.lit(prefix.upper())))
+
+
+def names_containing(playlists: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(wanted, playlist_id, name): the playlists whose name holds each wanted text, case aside; null without any."""
+    w = wanted.select("wanted", F.lower("wanted").alias("needle")).distinct()
+    p = playlists.select("playlist_id", "name", F.lower("name").alias("text"))
+    held = w.join(contained(w.select("needle"), p.select("text")), "needle").join(p, "text")
+    return w.select("wanted").join(held.select("wanted", "playlist_id", "name"), "wanted", "left")
+
+
+def overview(playlists: DataFrame, pairs: DataFrame, structure: DataFrame, out: Column) -> DataFrame:
+    """(playlist_id, name, folder, n): playlists that aren't excluded by ``out`` and aren't the master one, with their folder and size."""
+    kept = playlists.where(~out & (F.upper("name") != "MASTER"))
+    placed = structure.groupBy("name").agg(F.min("folder").alias("folder"))
+    kept = kept.join(placed, "name", "left").select("playlist_id", "name", F.coalesce("folder", F.lit("")).alias("folder"))
+    return count_per(kept, pairs, "playlist_id", "uri", "n")
+
+
+def outcome_totals(rows: DataFrame, ok: Column) -> DataFrame:
+    """One row: how many rows of batch work succeeded and failed, and all."""
+    good = F.coalesce(ok, F.lit(False))
+    return rows.agg(F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed"), F.count(F.lit(1)).alias("total"))

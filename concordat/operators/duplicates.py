@@ -20,7 +20,7 @@ def duplicate_blocks(tracks: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(tracks: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """(group_id, uri, primary, manual, n) of each member of a group of two or more.
+    """(group_id, leader, uri, primary, manual, n) of each member of a group of two or more.
 
     Within a block, rows with equal comparison forms are one form; forms are clustered around leaders, in
     order of their smallest uri: a form joins the first leader to whose title and artists both ratios are
@@ -46,7 +46,12 @@ def duplicate_groups(tracks: DataFrame, threshold: float = 0.95) -> DataFrame:
             out.append((r.block, r[1], r[2], found[2]))
         return pd.DataFrame(out, columns=["block", "__title", "__artists", "leader"])
 
-    clusters = forms.groupBy("block").applyInPandas(lead, "block string, __title string, __artists string, leader string")
+    # Only blocks of several forms meet in Python; a form that is alone leads itself.
+    several = F.count(F.lit(1)).over(Window.partitionBy("block"))
+    forms = forms.withColumn("__forms", several)
+    alone = forms.where("__forms = 1").select("block", "__title", "__artists", F.col("first").alias("leader"))
+    clusters = forms.where("__forms > 1").drop("__forms").groupBy("block").applyInPandas(lead, "block string, __title string, __artists string, leader string")
+    clusters = alone.unionByName(clusters)
     members = rows.join(clusters, ["block", "__title", "__artists"])
     by = Window.partitionBy("leader")
     members = members.withColumn("n", F.count(F.lit(1)).over(by)).where("n > 1")
@@ -56,27 +61,28 @@ def duplicate_groups(tracks: DataFrame, threshold: float = 0.95) -> DataFrame:
     members = members.withColumn("manual", same)
     rank = F.when(F.col("manual"), F.row_number().over(by.orderBy("uri"))).otherwise(F.row_number().over(by.orderBy(*order)))
     members = members.withColumn("primary", rank == 1)
-    # The smallest uri of a group names it; a hash over all uris would gather the whole group.
-    return members.select(T.short_hash(F.col("leader")).alias("group_id"), "uri", "primary", "manual", "n")
+    # The smallest uri of a group is its key; its short hash is for show, as two groups may share it. A hash over
+    # all uris would gather the whole group.
+    return members.select(T.short_hash(F.col("leader")).alias("group_id"), "leader", "uri", "primary", "manual", "n")
 
 
 def duplicate_report(groups: DataFrame) -> DataFrame:
     """One row: groups, manual groups, rows in groups, rows to remove."""
     return groups.agg(
-        F.countDistinct("group_id").alias("groups"),
-        F.countDistinct(F.when(F.col("manual"), F.col("group_id"))).alias("manual_groups"),
+        F.countDistinct("leader").alias("groups"),
+        F.countDistinct(F.when(F.col("manual"), F.col("leader"))).alias("manual_groups"),
         F.count(F.lit(1)).alias("rows"),
         F.count_if(~F.col("primary")).alias("removals"),
     )
 
 
 def survivors(groups: DataFrame, selections: DataFrame | None = None) -> DataFrame:
-    """(uri, survivor) of every member; a selection (group_id, uri) of a member overrides the primary."""
-    keep = groups.where("primary").select("group_id", F.col("uri").alias("survivor"))
+    """(uri, survivor) of every member; a selection (group_id, uri) of a member overrides the primary of the member's group."""
+    keep = groups.where("primary").select("leader", F.col("uri").alias("survivor"))
     if selections is not None:
-        chosen = groups.join(selections.select("group_id", "uri"), ["group_id", "uri"]).select("group_id", F.col("uri").alias("__choice"))
-        keep = keep.join(chosen, "group_id", "left").select("group_id", F.coalesce("__choice", "survivor").alias("survivor"))
-    return groups.join(keep, "group_id").select("uri", "survivor")
+        chosen = groups.join(selections.select("group_id", "uri"), ["group_id", "uri"]).groupBy("leader").agg(F.min("uri").alias("__choice"))
+        keep = keep.join(chosen, "leader", "left").select("leader", F.coalesce("__choice", "survivor").alias("survivor"))
+    return groups.join(keep, "leader").select("uri", "survivor")
 
 
 def merge_duplicates(tracks: DataFrame, pairs: DataFrame, to: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from concordat.functions import text as T
 from concordat.operators.catalog import latest_file, live_mappings
+from concordat.operators.hierarchy import child_counts, folder_of_playlists
+from concordat.operators.postings import contained
 
 HEADER = "#EXTM3U"
 
@@ -81,8 +83,9 @@ def playlists_of_paths(parsed: DataFrame, wanted: DataFrame) -> DataFrame:
 def playlists_of_titles(parsed: DataFrame, wanted: DataFrame) -> DataFrame:
     """(wanted, n_files, n_entries) of entries whose note holds a wanted text, case aside; distinct notes are searched."""
     notes = parsed.groupBy(F.lower("info").alias("note"), "file").agg(F.count(F.lit(1)).alias("n"))
-    texts = notes.select("note").distinct()
-    hits = wanted.select("wanted").distinct().join(texts, F.contains(F.col("note"), F.lower("wanted")))
+    w = wanted.select("wanted", F.lower("wanted").alias("needle")).distinct()
+    held = contained(w.select("needle"), notes.select(F.col("note").alias("text")))
+    hits = w.join(held, "needle").select("wanted", F.col("text").alias("note"))
     both = hits.join(notes, "note").groupBy("wanted").agg(F.countDistinct("file").alias("n_files"), F.sum("n").alias("n_entries"))
     out = wanted.select("wanted").distinct().join(both, "wanted", "left")
     return out.select("wanted", F.coalesce("n_files", F.lit(0)).cast("long").alias("n_files"), F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries"))
@@ -93,7 +96,8 @@ def validate_playlists(playlists: DataFrame, pairs: DataFrame, mappings: DataFra
 
     ``parsed`` has the playlist_id as its file. A member is local if a live mapping of it leads to a file that
     exists; it is missing if local but not in the playlist's file; an entry is unexpected if its uri is no
-    member. needs_update: the file is missing where members are local, or anything is missing or unexpected.
+    member. discrepancy is listed - local; identified is what is missing or unexpected, unidentified the rest
+    of the discrepancy's size. needs_update: no file, or anything missing or unexpected, or a discrepancy.
     """
     there = inventory.select("file_path", F.lit(1).alias("__there")).distinct()
     state = live_mappings(mappings).join(there, "file_path", "left").groupBy("uri").agg(F.max("__there").alias("local"), F.lit(1).alias("mapped"))
@@ -113,8 +117,62 @@ def validate_playlists(playlists: DataFrame, pairs: DataFrame, mappings: DataFra
     out = playlists.select("playlist_id", "name").join(counts, "playlist_id", "left").join(files, "playlist_id", "left")
     names = ["catalog", "local", "listed", "missing", "unexpected", "file_missing", "no_mapping"]
     out = out.select("playlist_id", "name", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names], F.coalesce("has_file", F.lit(False)).alias("has_file"))
-    need = ((~F.col("has_file")) & (F.col("local") > 0)) | (F.col("missing") > 0) | (F.col("unexpected") > 0)
-    return out.withColumn("discrepancy", F.col("listed") - F.col("local")).withColumn("needs_update", need)
+    out = out.withColumn("discrepancy", F.col("listed") - F.col("local")).withColumn("identified", F.col("missing") + F.col("unexpected"))
+    out = out.withColumn("unidentified", F.abs("discrepancy") - F.col("identified"))
+    return out.withColumn("needs_update", ~F.col("has_file") | (F.col("identified") > 0) | (F.col("discrepancy") != 0))
+
+
+def by_severity(checked: DataFrame) -> DataFrame:
+    """Checked playlists, the worst first: without a file, then by size of the discrepancy, number of identified faults and name."""
+    return checked.orderBy(F.col("has_file").asc(), F.desc(F.abs("discrepancy")), F.desc("identified"), F.desc("name"))
+
+
+def validation_summary(checked: DataFrame) -> DataFrame:
+    """One row: playlists, those to update, those without a file."""
+    return checked.agg(F.count(F.lit(1)).alias("total"), F.count_if("needs_update").alias("needing_update"), F.count_if(~F.col("has_file")).alias("missing_files"))
+
+
+def plan_files(wanted: DataFrame, playlists: DataFrame, structure: DataFrame, existing: DataFrame, overwrite: bool = True) -> DataFrame:
+    """(playlist_id, name, folder, m3u_path, action): where each wanted playlist's file goes, and whether it is written.
+
+    Folders come from ``structure`` by name or by its safe forms, else the root. action: unknown for an id
+    without a playlist, skip for a file in ``existing(path)`` unless ``overwrite``, else write.
+    """
+    known = wanted.select("playlist_id").distinct().join(playlists.select("playlist_id", "name"), "playlist_id", "left")
+    placed = known.join(folder_of_playlists(known.where("name is not null").select("name"), structure).select("name", "folder"), "name", "left")
+    file = F.concat(T.file_safe_spaced(F.col("name")), F.lit(".m3u"))
+    path = F.when(F.col("folder") == "", file).otherwise(F.concat_ws("/", "folder", file))
+    there = existing.select(F.col("path").alias("m3u_path"), F.lit(True).alias("__there")).distinct()
+    out = placed.withColumn("m3u_path", F.when(F.col("name").isNotNull(), path)).join(there, "m3u_path", "left")
+    action = F.when(F.col("name").isNull(), "unknown").when(F.col("__there") & F.lit(not overwrite), "skip").otherwise("write")
+    return out.select("playlist_id", "name", "folder", "m3u_path", action.alias("action"))
+
+
+def ordered_nodes(files: DataFrame, structure: DataFrame, folders: DataFrame) -> DataFrame:
+    """(folder, name, folder_index, index) of ``files(folder, name)`` in the order of the saved structure.
+
+    The root comes first, then folders by their place in ``folders(folder, pos)``, 999 if unlisted; within one by
+    the place in ``structure(folder, name, pos)``, 999 if unlisted, then by name.
+    """
+    own = structure.groupBy("folder", "name").agg(F.min("pos").alias("__pos"))
+    out = files.select("folder", "name").distinct().join(folders.select("folder", F.col("pos").alias("__folder")), "folder", "left").join(own, ["folder", "name"], "left")
+    at = F.when(F.col("folder") == "", F.lit(-1)).otherwise(F.coalesce("__folder", F.lit(999))).cast("int")
+    out = out.select("folder", "name", at.alias("folder_index"), F.coalesce("__pos", F.lit(999)).cast("int").alias("index"))
+    return out.orderBy("folder_index", "index", "name")
+
+
+def collection_nodes(files: DataFrame, entries: DataFrame, structure: DataFrame, folders: DataFrame) -> DataFrame:
+    """(kind, folder, name, folder_index, index, n): the folders of the collection with their direct children (index -1), and its playlists with their entries.
+
+    ``files(file, folder, name)`` are the playlist files, ``entries(file, track_no, pos)`` their references.
+    """
+    counts = entries.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    lists = files.join(ordered_nodes(files, structure, folders), ["folder", "name"]).join(counts, "file", "left")
+    lists = lists.select(F.lit("playlist").alias("kind"), "folder", "name", "folder_index", "index", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    tree = child_counts(files).join(folders.select("folder", F.col("pos").alias("__pos")), "folder", "left")
+    at = F.when(F.col("folder") == "", F.lit(-1)).otherwise(F.coalesce("__pos", F.lit(999))).cast("int")
+    tree = tree.select(F.lit("folder").alias("kind"), "folder", T.file_name(F.col("folder")).alias("name"), at.alias("folder_index"), F.lit(-1).alias("index"), (F.col("folders") + F.col("playlists")).alias("n"))
+    return tree.unionByName(lists)
 
 
 def collection_tracks(parsed: DataFrame, mappings: DataFrame, ratings: DataFrame) -> DataFrame:

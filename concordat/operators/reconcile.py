@@ -142,11 +142,40 @@ def sort_out(liked: DataFrame, filed: DataFrame, unsorted: DataFrame, key: str)
 def batches(keys: DataFrame, key: str, size: int = 100, ranges: int = 64) -> DataFrame:
     """(batch_no, key): keys in order, ``size`` at a time.
 
-    Numbers come from ranges of the keys' order: counts of the ranges before, then ranks within one.
+    Numbers come from ranges of the keys' order: counts of the ranges before, then ranks within one. The
+    ranges are cut once, by a reliable checkpoint, as a second sample could cut them elsewhere.
     """
-    ordered = keys.select(key).repartitionByRange(ranges, key).withColumn("__part", F.spark_partition_id())
+    ordered = keys.select(key).repartitionByRange(ranges, key).withColumn("__part", F.spark_partition_id()).checkpoint()
     ranked = ordered.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(key)))
-    counts = ranked.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    upto = counts.alias("x").join(counts.alias("y"), F.col("y.__part") < F.col("x.__part"), "left").groupBy("x.__part").agg(F.coalesce(F.sum("y.__n"), F.lit(0)).alias("__before"))
+    # One row for each range, so a window over all of them is small.
+    counts = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     number = F.col("__before") + F.col("__rank") - 1
-    return ranked.join(upto, "__part").select(F.floor(number / size).alias("batch_no"), key)
+    return ranked.join(before, "__part").select(F.floor(number / size).alias("batch_no"), key)
+
+
+#: A saved plan, nested under details and stats or flat; fields that a file lacks are null.
+_ITEM = "array<map<string, string>>"
+PLAN = (
+    f"items_to_add {_ITEM}, items_to_update {_ITEM}, items_to_delete {_ITEM}, unchanged_count bigint, "
+    f"details struct<items_to_add: {_ITEM}, items_to_update: {_ITEM}, items_to_delete: {_ITEM}>, stats struct<unchanged: bigint>"
+)
+
+
+def plan_items(saved: DataFrame) -> DataFrame:
+    """(plan, action, item) of each item in ``saved(plan, ...)`` with the fields of PLAN, nested or flat."""
+    flat = F.col("items_to_add").isNotNull()
+    nested = ~flat & F.col("details").isNotNull() & F.col("stats").isNotNull()
+
+    def items(name: str, action: str) -> Column:
+        rows = F.coalesce(F.when(nested, F.col(f"details.{name}")).otherwise(F.col(name)), F.array().cast(_ITEM))
+        return F.transform(rows, lambda x: F.struct(F.lit(action).alias("action"), x.alias("item")))
+
+    every = F.concat(items("items_to_add", ADD), items("items_to_update", UPDATE), items("items_to_delete", DELETE))
+    return saved.select("plan", F.explode(every).alias("x")).select("plan", "x.action", "x.item")
+
+
+def plan_unchanged(saved: DataFrame) -> DataFrame:
+    """(plan, unchanged) of each saved plan, 0 if it says nothing."""
+    nested = F.col("items_to_add").isNull() & F.col("details").isNotNull()
+    return saved.select("plan", F.coalesce(F.when(nested, F.col("stats.unchanged")).otherwise(F.col("unchanged_count")), F.lit(0)).cast("long").alias("unchanged"))

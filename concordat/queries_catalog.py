@@ -10,6 +10,7 @@ from concordat.functions import text as T
 from concordat.operators import catalog, duplicates, reconcile
 from concordat.plans import versions
 from concordat.registry import query
+from concordat.streaming.state import use_checkpoints
 
 
 @query(with_roles("playlists", "pairs") + """
@@ -147,9 +148,9 @@ def jn1_tracks_in_playlists(spark, sf):
     return b.pairs(spark, sf).join(b.tracks(spark, sf).select("uri", "title"), "uri").select("playlist_id", "uri", "title")
 
 
-@query(with_roles("tracks", "incoming_pairs") + "select uri from tracks where uri not in (select uri from incoming_pairs where playlist_id < 'pl3')")
+@query(with_roles("tracks", "incoming_pairs") + "select uri from tracks where uri not in (select uri from incoming_pairs)")
 def jn2_tracks_in_no_playlist(spark, sf):
-    return catalog.without_keys(b.tracks(spark, sf), b.incoming_pairs(spark, sf).where("playlist_id < 'pl3'"), "uri").select("uri")
+    return catalog.without_keys(b.tracks(spark, sf), b.incoming_pairs(spark, sf), "uri").select("uri")
 
 
 @query(with_roles("playlists", "pairs") + "select uri, p.playlist_id, name from playlists p join pairs m on p.playlist_id = m.playlist_id")
@@ -320,15 +321,16 @@ def set3_master_delta(spark, sf):
     return reconcile.delta(b.incoming_pairs(spark, sf), b.mappings(spark, sf), "uri")
 
 
-@query(with_roles("tracks", "pairs", "mappings") + """, filed as (select uri from pairs where playlist_id < 'pl4'), unsorted as (select uri from mappings)
+@query(with_roles("tracks", "incoming_pairs", "mappings") + """, filed as (select uri from incoming_pairs), unsorted as (select uri from mappings)
 select distinct uri, 'add' as action from tracks where uri not in (select uri from filed union select uri from unsorted)
 union all select distinct uri, 'delete' from unsorted where uri in (select uri from filed)""")
 def comp19_unsorted_delta(spark, sf):
-    return reconcile.sort_out(b.tracks(spark, sf), b.pairs(spark, sf).where("playlist_id < 'pl4'"), b.mappings(spark, sf), "uri")
+    return reconcile.sort_out(b.tracks(spark, sf), b.incoming_pairs(spark, sf), b.mappings(spark, sf), "uri")
 
 
 @query(with_roles("tracks") + "select cast((row_number() over (order by uri) - 1) // 100 as bigint) as batch_no, uri from tracks")
 def snk15_batches(spark, sf):
+    use_checkpoints(spark)
     return reconcile.batches(b.tracks(spark, sf), "uri", 100)
 
 

@@ -14,20 +14,25 @@ from concordat.operators import catalog, duplicates, hierarchy, linkage, playlis
 from concordat.plans import exports
 from concordat.registry import indel_sql, query
 from concordat.streaming import gates
+from concordat.streaming.state import use_checkpoints
 
 # --- scalar rules -------------------------------------------------------------------------------------------
 
 
-@query(with_roles("tracks") + f""", pairs_ as (select distinct lower(t.title) as a, lower(p_name) as b from tracks t, (select distinct p_name from part) p
-    where substr(lower(t.title), 1, 2) = substr(lower(p_name), 1, 2))
+@query(with_roles("tracks", "mappings") + f""", pairs_ as (
+    select distinct lower(artists || ' - ' || title) as a, lower(regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^.]+$', '')) as b from tracks t join mappings m on m.uri = t.uri)
 select a, b, round({indel_sql('a', 'b')}, 6) as ratio, round(1 - levenshtein(a, b) / greatest(len(a), len(b))::double, 6) as edits from pairs_""")
 def fn1_ratios(spark, sf):
-    a = b.tracks(spark, sf).select(F.lower("title").alias("a")).distinct().withColumn("k", F.substring("a", 1, 2))
-    other = b.read(spark, sf, "part").select(F.lower("p_name").alias("b")).distinct().withColumn("k", F.substring("b", 1, 2))
-    both = a.join(other, "k")
+    both = _names_of_mapped(spark, sf)
     return both.select("a", "b", F.round(indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"), F.round(edit_similarity(F.col("a"), F.col("b")), 6).alias("edits"))
 
 
+def _names_of_mapped(spark, sf):
+    """(a, b): the expected and the real name of each mapped file."""
+    t = b.tracks(spark, sf).select("uri", F.lower(T.display_name(F.col("artists"), F.col("title"))).alias("a"))
+    return b.mappings(spark, sf).join(t, "uri").select("a", F.lower(T.stem(F.col("file_path"))).alias("b")).distinct()
+
+
 @query("select doc_id, md5(strip_accents(text)) as plain from documents")
 def fn2_strip_accents(spark, sf):
     return b.read(spark, sf, "documents").select("doc_id", F.md5(strip_accents(F.col("text"))).alias("plain"))
@@ -35,9 +40,7 @@ def fn2_strip_accents(spark, sf):
 
 @query()
 def fn3_matching_blocks(spark, sf):
-    t = b.tracks(spark, sf)
-    pairs = t.select("title").distinct().join(t.select(F.col("album").alias("other")).distinct(), F.substring("title", 1, 1) == F.lower(F.substring("other", 1, 1)))
-    return pairs.withColumn("ratio", matching_blocks_ratio(F.lower("title"), F.lower("other")))
+    return _names_of_mapped(spark, sf).withColumn("ratio", matching_blocks_ratio(F.col("a"), F.col("b")))
 
 
 @query(with_roles("tracks") + """
@@ -109,7 +112,8 @@ _FILES = """files as (
     select file_path, duration_ms as file_ms, lower(split_part(stem, ' - ', 1)) as artist, lower(substr(stem, instr(stem, ' - ') + 3)) as title from (
         select *, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^.]+$', '') as stem from inventory))"""
 
-_CANDIDATES = with_roles("tracks", "mappings", "inventory") + f""", {_TRACK_FORMS}, {_FILES}, strings as (
+def _candidates_sql(threshold=0.6, k=8):
+    return with_roles("tracks", "mappings", "inventory") + f""", {_TRACK_FORMS}, {_FILES}, strings as (
     select distinct title as a, t_base as b from files join forms on contains(t_artists, artist) and list_contains(regexp_split_to_array(t_artists, '[,;&\\s]+'), artist) where not is_local
 ), ratios as (select a, b, {indel_sql('a', 'b')} as r from strings),
 scored as (
@@ -118,10 +122,13 @@ scored as (
                when abs(file_ms - duration_ms) <= 30000 then 1.1 else 1.0 end) as confidence
     from files join forms on list_contains(regexp_split_to_array(t_artists, '[,;&\\s]+'), artist) join ratios on a = title and b = t_base where not is_local
 ), found as (
-    select * from (select *, row_number() over (partition by file_path order by round(confidence, 9) desc, uri) as rank from scored where confidence >= 0.6) where rank <= 8)
+    select * from (select *, row_number() over (partition by file_path order by round(confidence, 9) desc, uri) as rank from scored where confidence >= {threshold}) where rank <= {k})
 """
 
 
+_CANDIDATES = _candidates_sql()
+
+
 def _candidates(spark, sf, threshold=0.6, k=8):
     m = catalog.live_mappings(b.mappings(spark, sf))
     return linkage.candidates(b.inventory(spark, sf).select("file_path", "duration_ms"), b.tracks(spark, sf), m, threshold, k)
@@ -137,12 +144,20 @@ def win3_best_match(spark, sf):
     return _candidates(spark, sf).where("rank = 1 and confidence >= 0.75").select("file_path", "uri", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+@query(_CANDIDATES.replace("with ", "with recursive ", 1) + """, r as (
+    select file_path, uri, round(confidence, 9) as confidence, false as won from found where confidence >= 0.75
+    union all
+    select * from (
+        with m as (select *, row_number() over (partition by file_path order by confidence desc, uri) = 1 and row_number() over (partition by uri order by confidence desc, file_path) = 1 as best
+                   from r where not won),
+        w as (select * from m where best)
+        select file_path, uri, confidence, true as won from w
+        union all select file_path, uri, confidence, false from m where file_path not in (select file_path from w) and uri not in (select uri from w))
+) select file_path, uri, round(confidence, 6) as confidence from r where won""")
 def comp7_assign_one_to_one(spark, sf):
-    from concordat.streaming.state import shared_dir
-
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return linkage.assign_one_to_one(_candidates(spark, sf).where("confidence >= 0.75"))
+    use_checkpoints(spark)
+    out = linkage.assign_one_to_one(_candidates(spark, sf).where("confidence >= 0.75"))
+    return out.select("file_path", "uri", F.round("confidence", 6).alias("confidence"))
 
 
 @query(with_roles("tracks", "mappings") + f""", {_TRACK_FORMS}, q as (select distinct lower(p_name) as query from part), strings as (
@@ -212,13 +227,14 @@ def jn31_release_versions(spark, sf):
     return linkage.release_versions(b.tracks(spark, sf), releases)
 
 
-@query(with_roles("tracks", "mappings", "inventory") + """
-select i.file_path, m.uri from inventory i left join (select file_path, arg_max(uri, mapping_id) as uri from mappings where is_active group by file_path) m on m.file_path = i.file_path
-where contains(lower(regexp_extract(i.file_path, '([^/]*)$', 1)), 'widget')""")
+@query(_candidates_sql(0.0, 10) + """, h as (
+    select file_path, instr(lower(regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^.]+$', '')), 'widget') as place from inventory
+), o as (select file_path, arg_max(uri, mapping_id) as uri from mappings where is_active group by file_path)
+select h.file_path, o.uri, cast(place as integer) as place, round(case when o.uri is null then 0 when t.uri is null then 0.5 else coalesce(f.confidence, 0.4) end :: double, 6) as confidence
+from h left join o on o.file_path = h.file_path left join tracks t on t.uri = o.uri left join found f on f.file_path = h.file_path and f.uri = o.uri where place > 0""")
 def comp22_file_search(spark, sf):
-    hit = b.inventory(spark, sf).where(F.contains(F.lower(T.file_name(F.col("file_path"))), F.lit("widget")))
-    known = catalog.live_mappings(b.mappings(spark, sf)).groupBy("file_path").agg(F.max_by("uri", "mapping_id").alias("uri"))
-    return hit.select("file_path").join(known, "file_path", "left")
+    out = linkage.file_search(b.inventory(spark, sf), b.tracks(spark, sf), b.mappings(spark, sf), "Widget")
+    return out.withColumn("confidence", F.round("confidence", 6))
 
 
 @query(_CANDIDATES + """, g as (select file_path, max(confidence) as best from found group by file_path)
@@ -246,10 +262,10 @@ def _groups(spark, sf):
 
 @query(_GROUPS + 'select group_id, uri, primary_ as "primary", manual, n from m')
 def comp9_duplicate_groups(spark, sf):
-    return _groups(spark, sf)
+    return _groups(spark, sf).drop("leader")
 
 
-@query(_GROUPS + """select count(distinct group_id) as groups, count(distinct case when manual then group_id end) as manual_groups, count(*) as rows,
+@query(_GROUPS + """select count(distinct leader) as groups, count(distinct case when manual then leader end) as manual_groups, count(*) as rows,
 count(*) filter (where not primary_) as removals from m""")
 def agg18_duplicate_report(spark, sf):
     return duplicates.duplicate_report(_groups(spark, sf))
@@ -360,7 +376,7 @@ def comp26_generation_counts(spark, sf):
     return playlists.m3u_counts(b.playlists(spark, sf), b.pairs(spark, sf), _entries(spark, sf))
 
 
-@query(with_roles("playlists", "pairs", "incoming_pairs", "tracks", "mappings", "inventory") + """, state as (
+_CHECKED = with_roles("playlists", "pairs", "incoming_pairs", "tracks", "mappings", "inventory") + """, state as (
     select uri, max(case when file_path in (select file_path from inventory) then 1 end) as local from mappings where is_active group by uri
 ), latest as (select uri, arg_max(file_path, mapping_id) as path from mappings where is_active group by uri),
 owner as (select file_path, arg_max(uri, mapping_id) as uri from mappings where is_active group by file_path),
@@ -372,15 +388,29 @@ b_ as (
     select playlist_id, count(member) as catalog, count(*) filter (where local = 1) as local, count(listed) as listed, count(*) filter (where local = 1 and listed is null) as missing,
            count(*) filter (where listed is not null and member is null) as unexpected, count(*) filter (where member is not null and mapped is not null and local is null) as file_missing,
            count(*) filter (where member is not null and mapped is null) as no_mapping from b_ group by playlist_id
-) select p.playlist_id, name, coalesce(catalog, 0) as catalog, coalesce(local, 0) as local, coalesce(listed, 0) as listed, coalesce(missing, 0) as missing, coalesce(unexpected, 0) as unexpected,
-         coalesce(file_missing, 0) as file_missing, coalesce(no_mapping, 0) as no_mapping, p.playlist_id in (select playlist_id from listed) as has_file,
-         coalesce(listed, 0) - coalesce(local, 0) as discrepancy,
-         (p.playlist_id not in (select playlist_id from listed) and coalesce(local, 0) > 0) or coalesce(missing, 0) > 0 or coalesce(unexpected, 0) > 0 as needs_update
-from playlists p left join c on c.playlist_id = p.playlist_id""")
-def comp15_validate_playlists(spark, sf):
+), x as (
+    select p.playlist_id, name, coalesce(catalog, 0) as catalog, coalesce(local, 0) as local, coalesce(listed, 0) as listed, coalesce(missing, 0) as missing, coalesce(unexpected, 0) as unexpected,
+           coalesce(file_missing, 0) as file_missing, coalesce(no_mapping, 0) as no_mapping, p.playlist_id in (select playlist_id from listed) as has_file
+    from playlists p left join c on c.playlist_id = p.playlist_id
+), v as (select *, listed - local as discrepancy, missing + unexpected as identified, abs(listed - local) - missing - unexpected as unidentified,
+                not has_file or missing + unexpected > 0 or listed <> local as needs_update from x)
+"""
+
+
+def _checked(spark, sf):
     return playlists.validate_playlists(b.playlists(spark, sf), b.incoming_pairs(spark, sf), b.mappings(spark, sf), b.inventory(spark, sf), _parsed(spark, sf))
 
 
+@query(_CHECKED + "select * from v")
+def comp15_validate_playlists(spark, sf):
+    return playlists.by_severity(_checked(spark, sf))
+
+
+@query(_CHECKED + "select count(*) as total, count(*) filter (where needs_update) as needing_update, count(*) filter (where not has_file) as missing_files from v")
+def agg17_validation_summary(spark, sf):
+    return playlists.validation_summary(_checked(spark, sf))
+
+
 @query(with_roles("playlists", "pairs", "tracks", "mappings", "inventory", "ratings") + _ENTRIES[_ENTRIES.index(", latest as"):].rstrip() + """,
 first_ as (select *, row_number() over (partition by path order by playlist_id, pos) as k from e),
 owner as (select file_path, arg_max(uri, mapping_id) as uri from mappings where is_active group by file_path)
@@ -479,12 +509,14 @@ def snk13_structure_round_trip(spark, sf):
     return hierarchy.structure_rows(hierarchy.structure_json(_now(spark, sf)))
 
 
-@query(with_roles("playlists", "pairs") + """select playlist_id, name, (select count(*) from pairs m where m.playlist_id = p.playlist_id) as n from playlists p
-where not (contains(lower(name), '00007') or name = 'Supplier#000000003') and upper(name) <> 'MASTER'""")
+@query(with_roles("pairs") + "," + _FOLDERS[len("with "):].rstrip() + """, d as (select *, case when token = 'v3' then 'The Set list' when token = 'v4' then 'reset' end as about from playlists)
+select playlist_id, d.name, folder, (select count(*) from pairs m where m.playlist_id = d.playlist_id) as n from d left join now_ on now_.name = d.name
+where not (contains(lower(d.name), '00007') or d.name = 'Supplier#000000003' or coalesce(regexp_matches(lower(about), '\\bset\\b'), false)) and upper(d.name) <> 'MASTER'""")
 def comp25_overview(spark, sf):
-    p = b.playlists(spark, sf)
-    out = catalog.excluded(F.col("name"), F.col("playlist_id"), F.lit(None).cast("string"), ["00007"], ["Supplier#000000003"])
-    return catalog.count_per(p.where(~out & (F.upper("name") != "MASTER")).select("playlist_id", "name"), b.pairs(spark, sf), "playlist_id", "uri", "n")
+    about = F.when(F.col("token") == "v3", "The Set list").when(F.col("token") == "v4", "reset")
+    p = b.playlists(spark, sf).withColumn("about", about)
+    out = catalog.excluded(F.col("name"), F.col("playlist_id"), F.col("about"), ["00007"], ["Supplier#000000003"], [], ["Set"])
+    return catalog.overview(p, b.pairs(spark, sf), _now(spark, sf), out)
 
 
 # --- reports ------------------------------------------------------------------------------------------------

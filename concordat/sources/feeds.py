@@ -51,6 +51,17 @@ def members(pages: DataFrame) -> DataFrame:
     return tracks(pages).where("uri is not null").select("playlist_id", "uri")
 
 
+def liked(pages: DataFrame, since: str = "2021-09-12") -> DataFrame:
+    """The tracks added since a day, newest first."""
+    return tracks(pages).where(F.col("added_at") >= F.lit(since).cast("timestamp")).orderBy(F.desc("added_at"), "uri")
+
+
+def first_artists(pages: DataFrame) -> DataFrame:
+    """(playlist_id, pos, title, artist, album) of each item: the first artist only."""
+    rows = pages.select("playlist_id", F.posexplode("items").alias("pos", "i")).where("i.track is not null")
+    return rows.select("playlist_id", "pos", F.col("i.track.name").alias("title"), F.try_element_at("i.track.artists", F.lit(1))["name"].alias("artist"), F.col("i.track.album.name").alias("album"))
+
+
 def legacy_members(pages: DataFrame) -> DataFrame:
     """(playlist_id, key): the track's id, or a stable surrogate for local items."""
     rows = tracks(pages)

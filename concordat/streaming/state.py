@@ -17,6 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
 
 
+def use_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder, if the session has none for them yet."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 class TokenStore:
     """Stored version tokens: the first table, and for each batch a new version under ``folder``."""
 
