@@ -148,9 +148,9 @@ def jn1_tracks_in_playlists(spark, sf):
     return b.pairs(spark, sf).join(b.tracks(spark, sf).select("uri", "title"), "uri").select("playlist_id", "uri", "title")
 
 
-@query(with_roles("tracks", "incoming_pairs") + "select uri from tracks where uri not in (select uri from incoming_pairs)")
+@query(with_roles("tracks", "incoming", "incoming_pairs") + "select uri from incoming where uri not in (select uri from incoming_pairs)")
 def jn2_tracks_in_no_playlist(spark, sf):
-    return catalog.without_keys(b.tracks(spark, sf), b.incoming_pairs(spark, sf), "uri").select("uri")
+    return catalog.without_keys(b.incoming(spark, sf), b.incoming_pairs(spark, sf), "uri").select("uri")
 
 
 @query(with_roles("playlists", "pairs") + "select uri, p.playlist_id, name from playlists p join pairs m on p.playlist_id = m.playlist_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    What is read several times is computed once, and its expressions don't multiply in the plans above it.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Checkpoints go to the shared folder, if the session has none for them yet."""
     if not spark.sparkContext.getCheckpointDir():
