@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordat.llm.samples import least_hashed, remainder
-from concordat.llm.stage import fewer_tasks, table, types_of
+from concordat.llm.stage import fewer_tasks, types_of
 from concordat.llm.text import U, blocks, mix, rows_of, span_hashes, sums_by_row, token_spans
 
 #: Hashed words, dimensions and non-zero entries of an index vector, neighbours on each side.
@@ -77,32 +77,37 @@ def word_vectors(contexts: np.ndarray) -> np.ndarray:
     return (unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, features) and the columns ``keep`` of each row, features as 4-byte floats: its words' vectors pooled.
+def features(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The features of each row of a block, as 4-byte floats: its words' vectors pooled.
 
     These are mean and standard deviation in each dimension, the mean product of neighbouring words' vectors
     (near 1 where a text repeats itself), the length of the mean vector and the log of the number of words.
     """
+    words, bounds = hashed_words(data, offsets)
+    n = np.maximum(1, np.diff(bounds))
+    found = np.zeros((len(n), FEATURES), np.float32)
+    row = rows_of(bounds)
+    near = np.zeros(len(words))
+    beside = np.flatnonzero(row[1:] == row[:-1])
+    for d in range(DIMS):
+        x = vectors[words, d].astype(np.float64)
+        near[beside] += x[beside] * x[beside + 1]
+        mean = sums_by_row(x, bounds) / n
+        found[:, d] = mean
+        found[:, DIMS + d] = np.sqrt(np.maximum(0, sums_by_row(x * x, bounds) / n - mean * mean))
+    found[:, 2 * DIMS] = sums_by_row(near, bounds) / np.maximum(1, n - 1)
+    found[:, 2 * DIMS + 1] = np.sqrt((found[:, :DIMS].astype(np.float64) ** 2).sum(1))
+    found[:, 2 * DIMS + 2] = np.log1p(np.diff(bounds))
+    return found
+
+
+def pooled(docs: DataFrame, vectors: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, features) and the columns ``keep`` of each row of ``docs``, the features as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column(1)):
-                words, bounds = hashed_words(data, offsets)
-                n = np.maximum(1, np.diff(bounds))
-                found = np.zeros((hi - lo, FEATURES), np.float32)
-                row = rows_of(bounds)
-                near = np.zeros(len(words))
-                beside = np.flatnonzero(row[1:] == row[:-1])
-                for d in range(DIMS):
-                    x = vectors[words, d].astype(np.float64)
-                    near[beside] += x[beside] * x[beside + 1]
-                    mean = sums_by_row(x, bounds) / n
-                    found[:, d] = mean
-                    found[:, DIMS + d] = np.sqrt(np.maximum(0, sums_by_row(x * x, bounds) / n - mean * mean))
-                found[:, 2 * DIMS] = sums_by_row(near, bounds) / np.maximum(1, n - 1)
-                found[:, 2 * DIMS + 1] = np.sqrt((found[:, :DIMS].astype(np.float64) ** 2).sum(1))
-                found[:, 2 * DIMS + 2] = np.log1p(np.diff(bounds))
-                cols = [batch.column(0).slice(lo, hi - lo), pa.array([f.tobytes() for f in found], pa.binary())]
+                cols = [batch.column(0).slice(lo, hi - lo), pa.array([f.tobytes() for f in features(data, offsets, vectors)], pa.binary())]
                 cols += [batch.column(2 + k).slice(lo, hi - lo) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "features", *keep])
 
@@ -163,13 +168,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learned: int = LEARNED, c
     neighbours. An empty table gives no rows.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[docs[c] for c in keep])
-    found = table(pooled(rows, word_vectors(context_vectors(rows)), keep), "pooled")
+    vectors = word_vectors(context_vectors(rows))
     held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = found.where(~held & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("features").alias("f")).join(one, "doc_id")
+    known = rows.where(~held & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("f")).join(one, "doc_id").distinct()
     # At most ``learned`` rows of three numbers: a fixed bound, so this side can be broadcast.
-    chosen = least_hashed(known, learned).select("doc_id", "f", "quality")
-    sample = found.withColumn("f", F.xxhash64("features")).join(F.broadcast(chosen), ["doc_id", "f"]).orderBy(F.xxhash64("doc_id"), "doc_id", "features")
+    chosen = F.broadcast(least_hashed(known, learned).select("doc_id", "f", "quality"))
+    labelled = rows.select("doc_id", "text").withColumn("f", F.xxhash64("text")).join(chosen, ["doc_id", "f"])
+    sample = pooled(labelled, vectors, ("f", "quality")).dropDuplicates(["doc_id", "f"]).orderBy(F.xxhash64("doc_id"), "doc_id", "features")
     sample = sample.select("quality", "features").toArrow()
     y = np.array(sample.column(0).to_pylist(), float)
     fixed = float(y.mean()) if len(y) else 1.0
@@ -177,10 +183,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learned: int = LEARNED, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = net.probabilities(_matrix(batch.column(2))) if net and len(batch) else np.full(len(batch), fixed)
-            cols = [batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32))]
-            cols += [batch.column(3 + k) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", *keep])
-
-    schema = ", ".join(["doc_id long, held_out boolean, score double, predicted int", *types_of(found, keep)])
-    return found.select("doc_id", held.alias("held_out"), "features", *keep).mapInArrow(run, schema)
+            for lo, hi, data, offsets in blocks(batch.column(2)):
+                own = batch.slice(lo, hi - lo)
+                score = net.probabilities(features(data, offsets, vectors).astype(np.float64)) if net else np.full(hi - lo, fixed)
+                cols = [own.column(0), own.column(1), pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32))]
+                cols += [own.column(3 + k) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", *keep])
+
+    schema = ", ".join(["doc_id long, held_out boolean, score double, predicted int", *types_of(rows, keep)])
+    return rows.select("doc_id", held.alias("held_out"), "text", *keep).mapInArrow(run, schema)

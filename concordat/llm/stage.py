@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_MADE: list[list[DataFrame]] = []
 _FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -38,6 +41,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _FOLDERS[out] = path
+    for made in _MADE:
+        made.append(out)
     return out
 
 
@@ -45,8 +50,21 @@ def discard(*tables: DataFrame) -> None:
     """Delete the files of what ``table`` returned, once nothing reads them any more."""
     for df in tables:
         spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop(df))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        folder = _FOLDERS.pop(df, None)
+        if folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def tables_made() -> Iterator[list[DataFrame]]:
+    """The list of what ``table`` returns while the block runs."""
+    made: list[DataFrame] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE.remove(made)
 
 
 def fewer_tasks(df: DataFrame) -> DataFrame:
