@@ -1,35 +1,63 @@
 """A corpus from raw documents in five stages, each one of the numbered operators.
 
 Every stage takes what its predecessor kept as ``docs``; all but the last return the columns of
-documents. The stages' rules are those of their operators, for all sizes alike.
+documents. The stages' rules are those of their operators, for all sizes alike. A stage's result reads
+tables that the stage wrote; they are deleted when a stage starts on other files, so a result must be
+written, as ``run`` does, before the next stage takes it.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.llm import bpe, classifier, lines, minhash, mixing
 from concordat.llm.queries import labels, vocabulary
-from concordat.llm.stage import discard, numbered, table
+from concordat.llm.stage import discard, numbered, table, tables_made
 
 #: A document goes if its calibrated probability of good quality is below this: only where the classifier is sure.
 REJECTED_BELOW = 0.5
 #: Words in a shingle, and the least similarity in percent.
 WORDS, PERCENT = 5, 80
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Folders that stages read, with the tables that they left.
+_left: list[tuple[set[str], list[DataFrame]]] = []
+
+
+def cleaning(stage: Stage) -> Stage:
+    """The stage, which first deletes what stages on other files have left."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = {f.rsplit("/", 1)[0] for f in docs.inputFiles()}
+        for known in [x for x in _left if read and not read & x[0]]:
+            discard(*known[1])
+            _left.remove(known)
+        with tables_made() as made:
+            out = stage(spark, docs, sf_dir)
+        if read:
+            _left.append((read, made))
+        return out
 
+    return run
+
+
+@cleaning
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject, each row by its own score.
 
     Null, empty and repeated texts and ids are judged like others; an empty table gives no rows.
     """
-    rows = numbered(docs)
-    scores = classifier.quality_scores(rows, labels(spark, sf_dir), keep=("__row",))
-    bad = scores.where(F.col("score") < REJECTED_BELOW).select("__row")
-    return rows.join(bad, "__row", "left_anti").select(*docs.columns)
+    rows = docs.select("doc_id", "text", *[F.col(c).alias(f"__{c}") for c in docs.columns])
+    scores = classifier.quality_scores(rows, labels(spark, sf_dir), keep=tuple(f"__{c}" for c in docs.columns))
+    return scores.where(F.col("score") >= REJECTED_BELOW).select(*[F.col(f"__{c}").alias(c) for c in docs.columns])
 
 
+@cleaning
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of passages; those of which no word is left go, if lines went.
 
@@ -40,6 +68,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+@cleaning
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: the one of smallest id, null after all others.
 
@@ -53,6 +82,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(first.select("first.__row"), "__row", "left_semi").select(*docs.columns)
 
 
+@cleaning
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; those with no copies go.
 
@@ -64,6 +94,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
+@cleaning
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each copy: count and digests, as the operator gives them; null texts have none."""
     return bpe.encode_decode(docs, vocabulary("word_bpe_49k.json"))
