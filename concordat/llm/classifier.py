@@ -20,7 +20,7 @@ LEARNED = 20_000
 HIDDEN = 48
 #: Features of a text: mean and deviation in each dimension; likeness of neighbouring words, size of the mean, log of the length.
 FEATURES = 2 * DIMS + 3
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 19
+#: Bytes of neighbouring rows that are handled at once, and codes of which prefix arrays are held at once.
+BLOCK, STRETCH = 1 << 19, 1 << 17
 
 U = np.uint64
 #: The prime modulus of polynomial hashes, and a base for each of two of them.
@@ -68,6 +69,26 @@ def _wide_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _wide[0], _wide[1]
 
 
+def _by_stretch(hashes: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """The hashes with arrays of bounded size: ascending spans are taken by stretches of the codes (a hash doesn't depend on the place)."""
+
+    @wraps(hashes)
+    def run(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(codes) <= 2 * STRETCH or (starts[1:] < starts[:-1]).any():
+            return hashes(codes, starts, ends)
+        out, lo = np.zeros(len(starts), U), 0
+        while lo < len(starts):
+            base = int(starts[lo])
+            hi = int(np.searchsorted(starts, base + STRETCH, "left"))
+            top = int(ends[lo:hi].max())
+            out[lo:hi] = hashes(codes[base:top], starts[lo:hi] - base, ends[lo:hi] - base)
+            lo = hi
+        return out
+
+    return run
+
+
+@_by_stretch
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of codes[s:e] for each span, from prefix arrays of two polynomials modulo 2**31 - 1.
 
@@ -91,6 +112,7 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix(out ^ (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+@_by_stretch
 def quick_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of codes[s:e] from one polynomial modulo 2**64: faster, for tables that compare what they find."""
     n = len(codes)

@@ -156,6 +156,17 @@ def test_span_hashes_of_colliding_families_differ():
     assert whole[1:].tolist() == moved.tolist() and whole[0] != whole[1]
 
 
+def test_hashes_of_long_texts_are_those_of_their_stretches():
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 200, 3 * text.STRETCH).astype(np.uint32)
+    starts = np.sort(rng.integers(0, len(codes) - 10, 4000))
+    ends = starts + rng.integers(1, 9, 4000)
+    ends[7] = len(codes)  # one span over several stretches
+    for hashes in (text.span_hashes, text.quick_hashes):
+        for c in (codes, codes.astype(np.uint8)):
+            assert (hashes(c, starts, ends) == hashes.__wrapped__(c, starts, ends)).all()
+
+
 def test_row_sums_do_not_depend_on_neighbours():
     rng = np.random.default_rng(1)
     values = rng.normal(0, 1, 5000)
