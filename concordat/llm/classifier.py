@@ -158,7 +158,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, learned: int = LEARNED, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out, score, predicted) and the columns ``keep`` of each row of ``docs``.
+    """(doc_id, held_out, score, predicted) and the columns ``keep`` of each row of ``docs``, the text among them if asked for.
 
     Word vectors come from all rows' texts. The network learns from at most ``learned`` rows that have a
     ``labels.quality`` and whose crc32(doc_id as text) mod 4 is not 2: those of least hash of the id. Only
@@ -167,7 +167,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learned: int = LEARNED, c
     the share of label 1 there, or 1 without any. Equal texts have equal scores, whatever their rows and
     neighbours. An empty table gives no rows.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[docs[c] for c in keep])
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[docs[c] for c in keep if c != text_col])
     vectors = word_vectors(context_vectors(rows))
     held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -187,8 +187,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learned: int = LEARNED, c
                 own = batch.slice(lo, hi - lo)
                 score = net.probabilities(features(data, offsets, vectors).astype(np.float64)) if net else np.full(hi - lo, fixed)
                 cols = [own.column(0), own.column(1), pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32))]
-                cols += [own.column(3 + k) for k in range(len(keep))]
+                cols += [own.column(sent.index("text" if c == text_col else c)) for c in keep]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", *keep])
 
-    schema = ", ".join(["doc_id long, held_out boolean, score double, predicted int", *types_of(rows, keep)])
-    return rows.select("doc_id", held.alias("held_out"), "text", *keep).mapInArrow(run, schema)
+    schema = ", ".join(["doc_id long, held_out boolean, score double, predicted int", *types_of(docs, keep)])
+    sent = ["doc_id", "held_out", "text", *(c for c in keep if c != text_col)]
+    return rows.select("doc_id", held.alias("held_out"), "text", *sent[3:]).mapInArrow(run, schema)

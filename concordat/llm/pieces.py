@@ -84,7 +84,7 @@ class PieceTable:
 
     A hit counts only if the piece's code points are those of the entry, so pieces with one hash are
     entries of their own. ``encode`` turns a list of pieces into their id lists; it is called once for
-    each piece that is new to this worker. The table empties itself at ``limit`` pieces, or at 16 times
+    each piece that is new to this worker. The table empties itself at ``limit`` pieces, or at 8 times
     as many code points of them, so its memory is bounded.
     """
 
@@ -94,11 +94,11 @@ class PieceTable:
 
     def clear(self) -> None:
         self.size, self.n = 1 << 16, 0
-        self.slots = np.full(self.size, -1, np.int64)
+        self.slots = np.full(self.size, -1, np.int32)
         self.keys = np.zeros(1 << 14, U)
-        self.off, self.len = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.off, self.len = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.code_off, self.code_len = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.code_off, self.code_len = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.codes, self.written = np.zeros(1 << 16, np.uint32), 0
 
     def _same(self, entry: np.ndarray, codes: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -162,14 +162,14 @@ class PieceTable:
         if 2 * self.n > self.size:
             while 2 * self.n > self.size:
                 self.size *= 4
-            self.slots = np.full(self.size, -1, np.int64)
+            self.slots = np.full(self.size, -1, np.int32)
             fresh = np.arange(self.n)
         self._place(fresh)
 
     def tokens(self, text: str, codes: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in order, first id of each row and the end)."""
         starts, ends, bounds = spans
-        if self.n > self.limit or self.written > 16 * self.limit:
+        if self.n > self.limit or self.written > 8 * self.limit:
             self.clear()
         h, code_lens = quick_hashes(codes, starts, ends), ends - starts
         at = self._find(h, codes, starts, code_lens)
@@ -182,6 +182,6 @@ class PieceTable:
             self._add(fresh, pieces, codes, starts[where], code_lens[where])
             at[missing] = self._find(h[missing], codes, starts[missing], code_lens[missing])
             missing = missing[at[missing] < 0]
-        lens = self.len[at]
+        lens = self.len[at].astype(np.int64)
         ids = self.flat[places_of(self.off[at], lens)]
         return ids, np.concatenate([np.zeros(1, np.int64), np.cumsum(lens)])[bounds]
