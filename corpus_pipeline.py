@@ -52,9 +52,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Null, empty and repeated texts and ids are judged like others; an empty table gives no rows.
     """
-    rows = docs.select("doc_id", "text", *[F.col(c).alias(f"__{c}") for c in docs.columns])
-    scores = classifier.quality_scores(rows, labels(spark, sf_dir), keep=tuple(f"__{c}" for c in docs.columns))
-    return scores.where(F.col("score") >= REJECTED_BELOW).select(*[F.col(f"__{c}").alias(c) for c in docs.columns])
+    names = {c: c if c == "text" else f"__{c}" for c in docs.columns}
+    rows = docs.select("doc_id", *[F.col(c).alias(n) for c, n in names.items()])
+    scores = classifier.quality_scores(rows, labels(spark, sf_dir), keep=tuple(names.values()))
+    return scores.where(F.col("score") >= REJECTED_BELOW).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 @cleaning
