@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch while a table is written: texts can be long, and a task holds two batches or more at once.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _MADE: list[list[DataFrame]] = []
 _FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -30,15 +33,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """What starts within the block passes at most BATCH_ROWS rows to Python at once; then the session's own setting holds again."""
+    own = spark.conf.get(_BATCH, None)
+    if own is None or not 0 < int(own) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, own)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts lineage: what reads the table later survives the loss of any executor, and nothing
-    above it runs twice.
+    above it runs twice. Python tasks get short batches.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with short_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _FOLDERS[out] = path
     for made in _MADE:

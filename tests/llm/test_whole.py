@@ -424,3 +424,19 @@ def test_intermediate_tables_are_deleted(spark):
         assert run().count() == docs.count()
         left = {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before}
         assert not left & {"shared-keys", "sets", "links", "open-keys", "open-profiles", "clusters", "tokens", "cells"}, name
+
+
+def test_tables_are_written_in_short_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.select([0]).set_column(0, "id", np.full(len(batch), len(batch)))
+
+    rows = spark.range(0, 5_000, 1, 1)
+    for own in (None, "7", "20000", "0"):
+        if own:
+            spark.conf.set(name, own)
+        most = stage.table(rows.mapInArrow(sizes, "id long"), "sizes").agg(F.max("id")).first()[0]
+        assert most == (7 if own == "7" else stage.BATCH_ROWS) and spark.conf.get(name, None) == own
+        spark.conf.unset(name)
