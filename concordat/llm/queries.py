@@ -1,7 +1,8 @@
 """The registered queries of this subpackage, and SQL for those that it can express.
 
-SQL is given where DuckDB can compute the same rows: for line dedup. The other operators hash, learn,
-tokenise or iterate; their tests compare them with brute force, round trips or held-out accuracy.
+SQL is given where DuckDB can compute the same rows: for line dedup, source divergence, filter interplay and
+exact dedup. The other operators hash, learn, tokenise or iterate; their tests compare them with brute
+force, round trips or held-out accuracy.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.llm import bpe, classifier, fingerprint, langid, lines, minhash, mixing, private, rules, token_files
+from concordat.llm import bpe, classifier, divergence, exact, fingerprint, interplay, langid, lines, minhash, mixing, private, rules, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
+def op12_filter_interplay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interplay.filter_interplay(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(documents(spark, sf_dir))
+
+
 OPERATORS = (
     op1_fingerprints,
     op2_lines,
@@ -79,6 +92,9 @@ OPERATORS = (
     op8_mixing,
     op9_private,
     op10_token_files,
+    op11_source_divergence,
+    op12_filter_interplay,
+    op13_exact_duplicates,
 )
 
 
@@ -87,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lines": lines.SQL}
+    return {"op2_lines": lines.SQL, "op11_source_divergence": divergence.SQL, "op12_filter_interplay": interplay.SQL, "op13_exact_duplicates": exact.SQL}
