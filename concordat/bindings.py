@@ -52,6 +52,12 @@ SQL = {
         select '/music/new/' || p_brand || ' - ' || p_name || ' ' || s_suppkey || '.' || case s_suppkey % 4 when 0 then 'flac' when 1 then 'wav' when 2 then 'mp3' else 'txt' end,
                cast(s_suppkey % 500 as bigint) * 1000, ''
         from supplier join part on p_partkey = s_suppkey)""",
+    "odd_files": """odd_files as (
+        select '/music/odd/' || s_suppkey || '/' || case s_suppkey % 6 when 0 then title when 1 then upper(title) when 2 then substr(title, 2)
+               when 3 then p_name || 'x' when 4 then p_brand || ' Bnd - ' || p_name else p_brand || ' - ' || p_name || ' (Radio Edit)' end || '.mp3' as file_path,
+               cast(s_suppkey % 50 as bigint) * 10000 as duration_ms
+        from supplier join (select *, p_name || case when p_partkey % 5 = 0 then ' (Extended Mix)' when p_partkey % 5 = 1 then ' - Radio Edit' else '' end as title from part) p
+        on p_partkey = case when s_suppkey % 6 < 3 then s_suppkey // 6 * 11 + 5 else s_suppkey end)""",
     "ratings": """ratings as (
         select 'item:' || case when doc_id % 11 = 5 then 'local' else 'track' end || ':' || doc_id as uri,
                cast(quality * 4 + toxic + 0.5 as double) as rating, case when toxic = 1 then 'high' else 'low' end as energy from labels)""",
@@ -78,15 +84,19 @@ def _uri(key: str):
     return F.concat(F.lit("item:"), kind, F.lit(":"), F.col(key).cast("string"))
 
 
-def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part")
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     note = F.when(key % 5 == 0, F.lit(" (Extended Mix)")).when(key % 5 == 1, F.lit(" - Radio Edit")).otherwise(F.lit(""))
+    return read(spark, sf_dir, "part").withColumn("title", F.concat("p_name", note))
+
+
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, key = _titled(spark, sf_dir), F.col("p_partkey")
     guest = F.when(key % 4 == 3, F.concat(F.lit(", Guest"), (key % 7).cast("string"))).otherwise(F.lit(""))
     return p.select(
         _uri("p_partkey").alias("uri"),
         F.when(key % 11 != 5, F.concat(F.lit("id"), key.cast("string"))).alias("track_id"),
-        F.concat("p_name", note).alias("title"),
+        "title",
         F.concat("p_brand", guest).alias("artists"),
         F.when(key % 9 == 0, F.lit("")).otherwise(F.col("p_type")).alias("album"),
         (F.col("p_size").cast("long") * 10000).alias("duration_ms"),
@@ -155,6 +165,23 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.unionByName(new)
 
 
+def odd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files named in the ways that only local tracks, or names without an artist, or misspelt ones, can be linked by."""
+    kind = F.col("s_suppkey") % 6
+    part = F.when(kind < 3, F.floor(F.col("s_suppkey") / 6) * 11 + 5).otherwise(F.col("s_suppkey"))
+    both = read(spark, sf_dir, "supplier").withColumn("p_partkey", part).join(_titled(spark, sf_dir), "p_partkey")
+    name = (
+        F.when(kind == 0, F.col("title"))
+        .when(kind == 1, F.upper("title"))
+        .when(kind == 2, F.substring("title", 2, 1000))
+        .when(kind == 3, F.concat("p_name", F.lit("x")))
+        .when(kind == 4, F.concat("p_brand", F.lit(" Bnd - "), "p_name"))
+        .otherwise(F.concat("p_brand", F.lit(" - "), "p_name", F.lit(" (Radio Edit)")))
+    )
+    path = F.concat(F.lit("/music/odd/"), F.col("s_suppkey").cast("string"), F.lit("/"), name, F.lit(".mp3"))
+    return both.select(path.alias("file_path"), ((F.col("s_suppkey") % 50).cast("long") * 10000).alias("duration_ms"))
+
+
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "labels")
     rating = (F.col("quality") * 4 + F.col("toxic") + F.lit(0.5)).cast("double")

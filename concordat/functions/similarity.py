@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,15 +26,68 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def _indel(a: str | None, b: str | None) -> float | None:
-    if a is None or b is None:
-        return None
-    return 2.0 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 1.0
+#: Cells of the tables that one block of pairs may have.
+_CELLS = 1 << 22
+
+
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """``lcs_length`` of each pair, all pairs of a block stepping through their longer strings together."""
+    out = np.zeros(len(a), np.int64)
+    short = [x if len(x) <= len(y) else y for x, y in zip(a, b, strict=True)]
+    long = [y if len(x) <= len(y) else x for x, y in zip(a, b, strict=True)]
+    n_short = np.fromiter(map(len, short), np.int64, len(a))
+    n_long = np.fromiter(map(len, long), np.int64, len(a))
+    for k in np.flatnonzero(n_short > 64):
+        out[k] = lcs_length(short[k], long[k])
+    order = np.flatnonzero((n_short > 0) & (n_short <= 64))
+    order = order[np.argsort(n_long[order], kind="stable")]
+    lo = 0
+    while lo < len(order):
+        block = order[lo : lo + 4096]
+        block = block[: max(1, _CELLS // int(n_long[block[-1]]))]
+        codes = np.frombuffer("".join(short[k] for k in block).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols = np.unique(codes)
+        block = block[: max(1, _CELLS // (len(symbols) + 1))]
+        out[block] = _lcs_block([short[k] for k in block], [long[k] for k in block], n_short[block], n_long[block], symbols)
+        lo += len(block)
+    return out
+
+
+def _lcs_block(short: list[str], long: list[str], n_short: np.ndarray, n_long: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """One machine word is a row of a pair's table; a symbol that no short string has leaves it as it is."""
+    n, width = len(short), len(symbols) + 1
+    flat = lambda texts: np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    rows = np.repeat(np.arange(n), n_short)
+    bits = np.arange(len(rows)) - np.repeat(np.cumsum(n_short) - n_short, n_short)
+    where = np.zeros(n * width, np.uint64)
+    np.bitwise_or.at(where, rows * width + np.searchsorted(symbols, flat(short)), np.uint64(1) << bits.astype(np.uint64))
+    codes = flat(long)
+    found = np.minimum(np.searchsorted(symbols, codes), width - 2)
+    found = np.where(symbols[found] == codes, found, width - 1)
+    steps = np.full((n, int(n_long.max())), width - 1, np.int64)
+    steps[np.arange(steps.shape[1]) < n_long[:, None]] = found
+    steps = (steps + (np.arange(n) * width)[:, None]).T
+    full = np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - n_short).astype(np.uint64)
+    row = full.copy()
+    for step in steps:
+        hit = row & where[step]
+        row = ((row + hit) | (row - hit)) & full
+    return n_short - np.bitwise_count(row)
+
+
+def indel_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    """2 * LCS / (len a + len b) of each pair; 1 for two empty strings, missing if either is."""
+    there = (a.notna() & b.notna()).to_numpy()
+    x, y = a[there].tolist(), b[there].tolist()
+    total = np.fromiter((len(p) + len(q) for p, q in zip(x, y, strict=True)), np.float64, len(x))
+    out = np.full(len(a), np.nan)
+    out[there] = np.where(total > 0, 2.0 * lcs_lengths(x, y) / np.maximum(total, 1), 1.0)
+    return pd.Series(out)
 
 
 @F.pandas_udf(DoubleType())
 def _indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_indel(x, y) for x, y in zip(a, b)], dtype="float64")
+    return indel_ratios(a, b)
 
 
 def matched(a: str, b: str) -> int:

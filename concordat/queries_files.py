@@ -13,7 +13,7 @@ from concordat.operators import catalog, linkage, playlists, reconcile, validate
 from concordat.plans import exports
 from concordat.queries_catalog import _MEMBERS, _member_plan
 from concordat.queries_linkage import _ENTRIES, _FOLDERS, _entries, _now, _parsed
-from concordat.registry import indel_sql, query
+from concordat.registry import indel_bits_sql, letters_sql, query
 from concordat.sources import feeds, files
 from concordat.streaming.state import shared_dir
 
@@ -44,18 +44,23 @@ p as (select regexp_replace(name, '[^\\w\\s]', '', 'g') as plain, file_path from
 two as (select title, artists, min(file_path) as file_path from v join p on contains(plain, aa || ' ' || tt) or contains(plain, tt || ' ' || aa)
         where (title, artists) not in (select (title, artists) from one) group by 1, 2),
 left_ as (select * from w where (title, artists) not in (select (title, artists) from one union all select (title, artists) from two)),
-met as (select distinct t, a, name from left_ join n on list_has_any(regexp_split_to_array(a, '[,;&\\s]+'), regexp_split_to_array(name, '[,;&\\s]+'))
-        where 2.0 * least(len(name), len(a) + len(t) + 3) / (len(name) + len(a) + len(t) + 3) > 0.7),
-s as (select t, a, name, greatest({indel_sql("(a || ' - ' || t)", 'name')}, {indel_sql("(t || ' - ' || a)", 'name')}) as score from met),
-three as (select title, artists, arg_min(file_path, (-score, file_path)) as file_path, round(max(score), 6) as score from left_ join s using (t, a) join n using (name) where score > 0.7 group by 1, 2)
+ways as (select title, artists, a || ' - ' || t as form from left_ union select title, artists, t || ' - ' || a from left_),
+{letters_sql('letters_', 'ways', 'form')},
+s as (select form, name, {indel_bits_sql('form', 'places', 'name')} as score from letters_, n where levenshtein(form, name) <= 0.3 * (len(form) + len(name)) + 0.001),
+three as (select title, artists, arg_min(file_path, (-score, file_path)) as file_path, round(max(score), 6) as score from ways join s using (form) join n using (name) where score > 0.7 group by 1, 2)
 select title, artists, file_path, 'contains' as rule, 1.0 :: double as score from one union all select title, artists, file_path, 'cleaned', 1.0 from two union all select title, artists, file_path, 'fuzzy', score from three""")
 def jn24_find_files(spark, sf):
     return linkage.find_files(b.tracks(spark, sf), b.inventory(spark, sf))
 
 
-@query()
+@query(with_roles("tracks", "mappings", "inventory") + f""", w as (
+    select distinct title, artists, lower(regexp_replace(artists || title, '[\\s()\\\\/*?:"<>|]', '', 'g')) as mine from tracks
+), n as (
+    select distinct lower(regexp_replace(regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^.]+$', ''), '[\\s()\\\\/*?:"<>|]', '', 'g')) as theirs from inventory
+), {letters_sql('letters_', 'w', 'mine')},
+hit as (select distinct mine from letters_, n where {indel_bits_sql('mine', 'places', 'theirs')} >= 0.5)
+select title, artists, mine in (select mine from hit) as found from w""")
 def jn25_files_exist(spark, sf):
-    """No SQL: it would compare all names with all; tests compare it with brute force."""
     return linkage.files_exist(b.tracks(spark, sf), b.inventory(spark, sf))
 
 

@@ -103,26 +103,66 @@ def dt1_parse_times(spark, sf):
 # --- linkage ------------------------------------------------------------------------------------------------
 
 _TRACK_FORMS = """forms as (
-    select uri, is_local, duration_ms, lower(title) as t_title, replace(lower(artists), '&', 'and') as t_artists,
-           trim(regexp_replace(lower(title), '\\s*\\(extended mix\\)|\\s*-\\s*radio edit$', '')) as t_base,
-           lower(title) like '%(extended mix)' or lower(title) like '% - radio edit' as noted,
+    select uri, is_local, duration_ms, title as track_title, lower(title) as t_title, replace(lower(artists), '&', 'and') as t_artists,
            case when uri in (select uri from mappings where is_active) then 0.7 else 1.0 end :: double as penalty from tracks)"""
 
-_FILES = """files as (
-    select file_path, duration_ms as file_ms, lower(split_part(stem, ' - ', 1)) as artist, lower(substr(stem, instr(stem, ' - ') + 3)) as title from (
-        select *, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^.]+$', '') as stem from inventory))"""
 
-def _candidates_sql(threshold=0.6, k=8):
-    return with_roles("tracks", "mappings", "inventory") + f""", {_TRACK_FORMS}, {_FILES}, strings as (
-    select distinct title as a, t_base as b from files join forms on contains(t_artists, artist) and list_contains(regexp_split_to_array(t_artists, '[,;&\\s]+'), artist) where not is_local
-), ratios as (select a, b, {indel_sql('a', 'b')} as r from strings),
-scored as (
-    select file_path, uri, least(1.0, (0.6 + 0.4 * case when r < 0.7 then r * 0.5 when noted then r * 0.6 else r end) * penalty
+def _split_sql(title, base, version):
+    """Base title and version note of a title, by the rules' own patterns."""
+    kinds = [(p, f"regexp_matches({title}, '{p}')") for p in (T._BRACKETED, T._TRAILING)]
+    cut = " ".join(f"when {test} then trim(regexp_replace({title}, '{p}', '', 'g'))" for p, test in kinds)
+    note = " ".join(f"when {test} then trim(lower(regexp_extract({title}, '{p}', 1)))" for p, test in kinds)
+    return f"case {cut} else {title} end as {base}, case {note} else '' end as {version}"
+
+
+def _words_sql(c):
+    return f"list_filter(list_distinct(regexp_split_to_array({c}, '[,;&\\s]+')), lambda w: w <> '')"
+
+
+def _notes_sql(c):
+    return f"list_filter(list_distinct(regexp_split_to_array({c}, '\\s+')), lambda w: list_contains({list(T.VERSION_WORDS)}, w))"
+
+
+def _candidates_sql(threshold=0.6, k=8, odd=True):
+    """All arms of linking: names meet tracks by a word of the artist or by none, stems meet all local titles."""
+    files = "select file_path, duration_ms from inventory" + " union all select file_path, duration_ms from odd_files" * odd
+    return with_roles("tracks", "mappings", "inventory", *["odd_files"] * odd) + f""", {_TRACK_FORMS}, names_ as (
+    select *, regexp_extract(file_path, '([^/]*)$', 1) as name, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^.]+$', '') as stem from ({files})
+), parts_ as (
+    select file_path, duration_ms as file_ms, name, stem, case when contains(stem, ' - ') then replace(lower(trim(split_part(stem, ' - ', 1))), '&', 'and') else '' end as artist,
+           lower(trim(case when contains(stem, ' - ') then substr(stem, instr(stem, ' - ') + 3) else stem end)) as title from names_
+), files as (select *, {_split_sql('title', 'base', 'version')} from parts_),
+regular as (select *, {_split_sql('t_title', 't_base', 't_version')} from forms where not is_local),
+met as (
+    select n.*, s.* from (select distinct artist, base, version from files) n join (select distinct t_artists, t_base, t_version from regular) s
+    on n.artist = '' or list_has_any({_words_sql('n.artist')}, {_words_sql('s.t_artists')})
+), bases as (select *, {indel_sql('base', 't_base')} as rb from (select distinct base, t_base from met)),
+notes as (
+    select *, {indel_sql('version', 't_version')} as rv, {_notes_sql('version')} as k1, {_notes_sql('t_version')} as k2 from (select distinct version, t_version from met)
+), noted as (select version, t_version, case when len(k1) > 0 and len(k2) > 0 then greatest(rv, len(list_intersect(k1, k2)) / greatest(len(k1), len(k2))) else rv end as rn from notes),
+singers as (
+    select artist, t_artists, max(case when contains(t_artists, artist) then 1.0 else {indel_sql('artist', 'one')} end) as ra
+    from (select artist, t_artists, trim(unnest(string_split(t_artists, ','))) as one from (select distinct artist, t_artists from met where artist <> '')) group by all
+), rated as (
+    select met.*, case when rb < 0.7 then rb * 0.5 when version <> '' and t_version <> '' then rb * 0.7 + rn * 0.3 when version <> '' or t_version <> '' then rb * 0.6 else rb end as rt, ra
+    from met join bases using (base, t_base) join noted using (version, t_version) left join singers using (artist, t_artists)
+), fuzzy as (
+    select file_path, uri, least(1.0, case when artist = '' then rt * 0.9 else ra * 0.6 + rt * 0.4 end * penalty
         * case when abs(file_ms - duration_ms) <= 1000 then 1.25 when abs(file_ms - duration_ms) <= 3000 then 1.2 when abs(file_ms - duration_ms) <= 10000 then 1.15
                when abs(file_ms - duration_ms) <= 30000 then 1.1 else 1.0 end) as confidence
-    from files join forms on list_contains(regexp_split_to_array(t_artists, '[,;&\\s]+'), artist) join ratios on a = title and b = t_base where not is_local
-), found as (
-    select * from (select *, row_number() over (partition by file_path order by round(confidence, 9) desc, uri) as rank from scored where confidence >= {threshold}) where rank <= {k})
+    from files join rated using (artist, base, version) join regular using (t_artists, t_base, t_version)
+), locals_ as (select uri, track_title, t_title, penalty from forms where is_local),
+likes as (
+    select low, t_title, {indel_sql('low', 't_title')} as r from (select distinct lower(stem) as low from files), (select distinct t_title from locals_)
+    where levenshtein(low, t_title) <= 0.2 * (len(low) + len(t_title)) + 0.001
+), all_ as (
+    select file_path, uri, confidence from fuzzy where confidence >= 0.2
+    union all select file_path, uri, penalty from files join locals_ on track_title = stem or track_title = name
+    union all select file_path, uri, 0.95 * penalty from files join locals_ on lower(stem) = t_title
+    union all select file_path, uri, r * penalty from files join likes on lower(stem) = low join locals_ using (t_title) where r * penalty >= 0.8
+), best_ as (select file_path, uri, max(round(confidence, 9)) as confidence from all_ group by all),
+found as (
+    select * from (select *, row_number() over (partition by file_path order by confidence desc, uri) as rank from best_ where confidence >= {threshold}) where rank <= {k})
 """
 
 
@@ -131,7 +171,8 @@ _CANDIDATES = _candidates_sql()
 
 def _candidates(spark, sf, threshold=0.6, k=8):
     m = catalog.live_mappings(b.mappings(spark, sf))
-    return linkage.candidates(b.inventory(spark, sf).select("file_path", "duration_ms"), b.tracks(spark, sf), m, threshold, k)
+    files = b.inventory(spark, sf).select("file_path", "duration_ms").unionByName(b.odd_files(spark, sf))
+    return linkage.candidates(files, b.tracks(spark, sf), m, threshold, k)
 
 
 @query(_CANDIDATES + "select file_path, uri, round(confidence, 6) as confidence, cast(rank as integer) as rank from found")
@@ -227,7 +268,7 @@ def jn31_release_versions(spark, sf):
     return linkage.release_versions(b.tracks(spark, sf), releases)
 
 
-@query(_candidates_sql(0.0, 10) + """, h as (
+@query(_candidates_sql(0.0, 10, odd=False) + """, h as (
     select file_path, instr(lower(regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^.]+$', '')), 'widget') as place from inventory
 ), o as (select file_path, arg_max(uri, mapping_id) as uri from mappings where is_active group by file_path)
 select h.file_path, o.uri, cast(place as integer) as place, round(case when o.uri is null then 0 when t.uri is null then 0.5 else coalesce(f.confidence, 0.4) end :: double, 6) as confidence
