@@ -21,7 +21,8 @@ ROWS, CHARS, LONGEST = 200, 24_000, 4_000
 #: Symbols with a dense table: one for all that is no letter, one for letters not learned, the rest for the
 #: most frequent letters. Other learned letters have symbols from here on, and sorted keys.
 SYMBOLS = 64
-#: Texts are parsed in stretches of so many code points; a phrase ends at their borders.
+#: Code points of a stretch. The stretches of a long text are parsed side by side and then joined, so that
+#: phrases go over their borders as in one parse.
 STRETCH = 1024
 
 
@@ -56,12 +57,24 @@ def automaton(codes: np.ndarray) -> list[dict[int, int]]:
     return to
 
 
+def dealt(texts: list[str], most: int = CHARS) -> str:
+    """The texts joined by spaces, at most ``most`` code points with them: of long texts equal shares, of shorter ones all."""
+    left, share = most - len(texts), 0
+    for k, n in enumerate(sorted(map(len, texts))):
+        share = max(0, left) // (len(texts) - k)
+        if n > share:
+            break
+        left -= n
+        share = n
+    return " ".join(t[:share] for t in texts)
+
+
 class Parser:
     """Cross-parses texts by the learned text of every language at once."""
 
     def __init__(self, learned: dict[str, list[str]]):
         self.langs = sorted(learned)
-        fixed = {lang: " ".join(learned[lang])[:CHARS] for lang in self.langs}
+        fixed = {lang: dealt(learned[lang]) for lang in self.langs}
         counts = Counter(c for text in fixed.values() for t in text for c in t.lower() if c.isalpha())
         letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
         self.symbol = np.zeros(0x110000, np.int32)
@@ -99,36 +112,80 @@ class Parser:
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.values = self.keys[order], np.concatenate([*values, np.zeros(1, np.int64)])[order]
 
+    def _step(self, state: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Twice the next state of each language (first axis) by its symbol, plus 1 where a phrase ends before it."""
+        got = self.table[state * SYMBOLS + np.minimum(own, SYMBOLS - 1)]
+        rare = np.flatnonzero(own >= SYMBOLS)
+        if len(rare):
+            key = state[:, rare] * self.size + own[rare]
+            place = np.searchsorted(self.keys, key)
+            known = self.keys[place] == key
+            got[:, rare] = np.where(known, self.values[place] * 2, self.restarts[:, own[rare] - SYMBOLS] * 2 + 1)
+        return got
+
     def phrases(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The number of phrases of each row's symbols in each language's parse."""
+        """The number of phrases of each row's symbols in each language's parse; 0 for an empty row."""
         n = len(self.langs)
         lens = np.diff(offsets)
         pieces = -(-lens // STRETCH)
         bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(pieces)])
         row = np.repeat(np.arange(len(lens)), pieces)
         starts = offsets[:-1][row] + (np.arange(len(row)) - bounds[:-1][row]) * STRETCH
-        left = np.minimum(STRETCH, offsets[1:][row] - starts)
-        order = np.argsort(-left, kind="stable")
-        starts, left = starts[order], left[order]
+        width = np.minimum(STRETCH, offsets[1:][row] - starts)
+        order = np.argsort(-width, kind="stable")
         symbols = self.symbol[codes]
-        state = np.repeat(self.roots[:, None], len(order), 1)
-        count = np.ones((n, len(order)), np.int32)
+        # Each stretch on its own, from the root.
+        ends, count = np.repeat(self.roots[:, None], len(row), 1), np.zeros((n, len(row)), np.int64)
+        left = width[order]
         live_at = np.searchsorted(-left, -np.arange(STRETCH), "left")
+        state, splits = ends.copy(), count.copy()
         for k in range(int(left[0]) if len(left) else 0):
             live = int(live_at[k])
-            own = symbols[starts[:live] + k]
-            got = self.table[state[:, :live] * SYMBOLS + np.minimum(own, SYMBOLS - 1)]
-            rare = np.flatnonzero(own >= SYMBOLS)
-            if len(rare):
-                key = state[:, rare] * self.size + own[rare]
-                place = np.searchsorted(self.keys, key)
-                known = self.keys[place] == key
-                got[:, rare] = np.where(known, self.values[place] * 2, self.restarts[:, own[rare] - SYMBOLS] * 2 + 1)
-            count[:, :live] += got & 1
+            got = self._step(state[:, :live], symbols[starts[order[:live]] + k])
+            splits[:, :live] += got & 1
             state[:, :live] = got >> 1
-        back = np.empty_like(count)
-        back[:, order] = count
-        return np.stack([sums_by_row(back[k], bounds) for k in range(n)], 1) if n else np.zeros((len(lens), 0), np.int64)
+        ends[:, order], count[:, order] = state, splits
+        count += self._joined(symbols, starts, width, row, ends)
+        return np.stack([sums_by_row(count[k], bounds) + (lens > 0) for k in range(n)], 1) if n else np.zeros((len(lens), 0), np.int64)
+
+    def _joined(self, symbols: np.ndarray, starts: np.ndarray, width: np.ndarray, row: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """What goes to each stretch's ends of phrases when it goes on from the stretch before it, not from the root.
+
+        The two parses are stepped side by side until they are in the same state, from where on they are one.
+        A stretch in which they never meet ends in another state than ``ends`` (updated here), so the next
+        one is stepped again from that.
+        """
+        more = np.zeros(ends.shape, np.int64)
+        due = np.flatnonzero(row[1:] == row[:-1]) + 1
+        alone = ends.copy()
+        while len(due):
+            at, went, own, diff = due, ends[:, due - 1], np.repeat(self.roots[:, None], len(due), 1), np.zeros((len(ends), len(due)), np.int64)
+            moved: list[np.ndarray] = []
+            for k in range(int(width[due].max())):
+                over = k >= width[at]
+                apart = (went != own).any(axis=0)
+                done = over | ~apart
+                if done.any():
+                    more[:, at[done]] = diff[:, done]
+                    new = np.where(went != own, went, alone[:, at])[:, done] if over.any() else alone[:, at[done]]
+                    moved.append(at[done][(new != ends[:, at[done]]).any(axis=0)])
+                    ends[:, at[done]] = new
+                    at, went, own, diff = at[~done], went[:, ~done], own[:, ~done], diff[:, ~done]
+                    if not len(at):
+                        break
+                symbol = symbols[starts[at] + k]
+                a, b = self._step(went, symbol), self._step(own, symbol)
+                diff += (a & 1).astype(np.int64) - (b & 1)
+                went, own = a >> 1, b >> 1
+            if len(at):
+                more[:, at] = diff
+                new = np.where(went != own, went, alone[:, at])
+                moved.append(at[(new != ends[:, at]).any(axis=0)])
+                ends[:, at] = new
+            after = np.concatenate(moved) + 1 if moved else np.zeros(0, np.int64)
+            after = after[after < len(row)]
+            due = np.unique(after[row[after] == row[after - 1]])
+        return more
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """(language, score) of each text; the score is the share of the likelihood over the parse lengths."""
@@ -178,10 +235,11 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     A suffix automaton of each language's learned text gives, at every place of a text, the longest match;
     the whole text is parsed greedily into such phrases (every learned letter is a symbol of its own), and
     the language with the fewest for a code point wins (ties: the first by name). Learned from are at most
-    ROWS rows of a language, LONGEST code points in a stretch of each and CHARS in all, with a text and
-    language and crc32(doc_id as text) mod 5 other than 0; rows with a null id are never learned from.
+    ROWS rows of a language, LONGEST code points in a stretch of each and CHARS in all, dealt evenly over these
+    rows, with a text and language and crc32(doc_id as text) mod 5 other than 0; rows with a null id are never learned from.
     Texts without a letter, empty and null ones are ``und`` with score 0; without learned rows, all are.
-    Null and repeated ids are returned as they are. An empty table gives no rows.
+    Texts of any length are parsed as a whole, in time in proportion to it. Null and repeated ids are
+    returned as they are; other columns are not read. An empty table gives no rows.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     held = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))

@@ -25,15 +25,16 @@ REACH, CONTEXTS, DISCLOSED, BROADCAST = 4, 3, 0.95, 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: Numbers with single dots between them; every four of them, from the first on, are an address.
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A secret: its name, a colon or equals sign, and a value with a letter and a digit, in quotes or not.
 _ASSIGNS = re.compile("[:=]")
 _NAME = re.compile(r"(?:secret|token|password|passwd|pwd|(?:api|access|private)[_-]?key)[\"']?[\x20\t]{0,4}\Z", re.IGNORECASE)
-_VALUE = re.compile(r"[\x20\t]{0,4}[\"']?((?=[^\s\"'<>,;0-9]*[0-9])(?=[^\s\"'<>,;A-Za-z]*[A-Za-z])[^\s\"'<>,;]{8,})")
+_BEFORE, _VALUE, _VALUED = re.compile(r"[\x20\t]{0,4}[\"']?"), re.compile(r"[^\s\"'<>,;]*"), 8
 _NAMED = 24
-_DIGIT = re.compile(r"[0-9]")
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 _ASIDE = 200
 
@@ -62,13 +63,24 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping groups of four numbers with dots between them, each at most 255."""
+    for m in _DOTTED.finditer(text):
+        parts = m[0].split(".")
+        at = m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in four)):
+                yield at, end
+            at = end + 1
+
+
 def matches(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base kinds, by start, then kind as listed."""
     out = [(s, e, 0) for s, e in emails(text)]
     if _DIGIT.search(text):
-        for m in _IP.finditer(text):
-            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
-                out.append((m.start(), m.end(), 1))
+        out += [(s, e, 1) for s, e in addresses(text)]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -80,15 +92,26 @@ def matches(text: str) -> list[tuple[int, int, str]]:
 
 
 def secrets(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of assigned secrets, by start; they may overlap matches of the base kinds."""
-    out, free = [], 0
+    """(start, end, kind) of assigned secrets, by start; they may overlap matches of the base kinds.
+
+    Many names may stand before one long value that is none; its end, and the next digit and letter, are
+    looked up once for all of them.
+    """
+    out, free, end = [], 0, 0
+    has = {_DIGIT: -1, _LETTER: -1}
     for m in _ASSIGNS.finditer(text):
         at = m.start()
         if at >= free and _NAME.search(text, max(free, at - _NAMED), at):
-            value = _VALUE.match(text, at + 1)
-            if value:
-                free = value.end(1)
-                out.append((value.start(1), free, SECRET))
+            start = _BEFORE.match(text, at + 1).end()
+            if start >= end:
+                end = _VALUE.match(text, start).end()
+            for kind, known in has.items():
+                if known < start:
+                    found = kind.search(text, start, end)
+                    has[kind] = found.start() if found else end
+            if end - start >= _VALUED and max(has.values()) < end:
+                free = end
+                out.append((start, end, SECRET))
     return out
 
 
@@ -291,12 +314,14 @@ def private_spans(docs: DataFrame, disclosed: float = DISCLOSED, id_col: str = "
     n_often = often.count()
     none = rows.withColumn("more", F.lit(None).cast("array<struct<s: int, e: int>>"))
     if not n_often:
+        discard(entities)
         return spans_of(none, frozenset(), keep)
     names = frozenset(r["entity"] for r in often.select("entity").collect()) if n_often <= BROADCAST else None
     pairs = table(pairs_of(rows, names).where(F.col("n_marks") >= CONTEXTS).drop("n_marks"), "pairs")
     wanted = pairs.select("term").distinct()
     n_wanted = wanted.count()
     if not n_wanted:
+        discard(entities, pairs)
         return spans_of(none, frozenset(), keep)
     known = pairs.join(often, "entity").join(term_counts(rows, wanted, n_wanted), "term")
     pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
@@ -304,7 +329,9 @@ def private_spans(docs: DataFrame, disclosed: float = DISCLOSED, id_col: str = "
     telling = table(known.where((own > 0) & (pmi >= disclosed * own)).select("term").distinct(), "telling")
     discard(entities, pairs)
     if telling.count() <= BROADCAST:
-        return spans_of(none, frozenset(r["term"] for r in telling.collect()), keep)
+        terms = frozenset(r["term"] for r in telling.collect())
+        discard(telling)
+        return spans_of(none, terms, keep)
     marked = table(rows.withColumn("row", F.monotonically_increasing_id()), "private-rows")
     return spans_of(marked.join(occurrences(marked, telling), "row", "left"), frozenset(), keep)
 
