@@ -2,15 +2,12 @@
 
 Every stage takes what its predecessor kept as ``docs``; all but the last return the columns of
 documents. The stages' rules are those of their operators, for all sizes alike. A stage's result reads
-tables that the stage wrote; they are deleted when a stage starts on other files, so a result must be
-written, as ``run`` does, before the next stage takes it.
+tables that the stage wrote, which stay as long as their caller wants: ``run`` deletes them once it has
+written the result, and who calls a stage apart can do so by ``tables_made`` and ``discard``.
 """
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,30 +20,7 @@ REJECTED_BELOW = 0.5
 #: Words in a shingle, and the least similarity in percent.
 WORDS, PERCENT = 5, 80
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Folders that stages read, with the tables that they left.
-_left: list[tuple[set[str], list[DataFrame]]] = []
-
-
-def cleaning(stage: Stage) -> Stage:
-    """The stage, which first deletes what stages on other files have left."""
-
-    @functools.wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = {f.rsplit("/", 1)[0] for f in docs.inputFiles()}
-        for known in [x for x in _left if read and not read & x[0]]:
-            discard(*known[1])
-            _left.remove(known)
-        with tables_made() as made:
-            out = stage(spark, docs, sf_dir)
-        if read:
-            _left.append((read, made))
-        return out
-
-    return run
-
 
-@cleaning
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject, each row by its own score.
 
@@ -58,7 +32,6 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scores.where(F.col("score") >= REJECTED_BELOW).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
-@cleaning
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of passages; those of which no word is left go, if lines went.
 
@@ -69,7 +42,6 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
-@cleaning
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: the one of smallest id, null after all others.
 
@@ -83,7 +55,6 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(first.select("first.__row"), "__row", "left_semi").select(*docs.columns)
 
 
-@cleaning
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; those with no copies go.
 
@@ -95,7 +66,6 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
-@cleaning
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each copy: count and digests, as the operator gives them; null texts have none."""
     return bpe.encode_decode(docs, vocabulary("word_bpe_49k.json"))
@@ -109,17 +79,22 @@ STAGES = [
     ("BPE encoding", encode),
 ]
 
-#: The classifier, the near-dedup's hashes and the tokenizer are beyond SQL; tests compare each stage with brute force.
+#: The classifier, the near-dedup's hashes and the tokenizer are beyond SQL; tests compare stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the table of documents, each written and read again; what the next stage has read is deleted."""
+    """All stages on the table of documents, each written and read again.
+
+    What a stage left, and its input, is deleted as soon as its result is written; of other runs and
+    callers in the session nothing is touched.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = table(docs, f"stage-{k}")
-            if k:
-                discard(before)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with tables_made() as made:
+            out = table(stage(spark, docs, sf_dir), f"stage-{k}")
+        discard(*[t for t in made if t is not out])
+        if k:
+            discard(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)
