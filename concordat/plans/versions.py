@@ -42,22 +42,44 @@ def emptied(table: DataFrame) -> DataFrame:
     return table.limit(0)
 
 
-def staged_sync(stored: dict[str, DataFrame], incoming: dict[str, DataFrame], force: bool = False) -> dict[str, DataFrame]:
-    """Next versions of playlists, tracks and pairs, and the three plans, each from the stage before.
+#: What is compared and what comes along with added rows, of playlists and of tracks.
+_PLAYLIST, _TRACK = (["name"], ["token"]), (["title", "artists", "album", "duration_ms"], ["added_at"])
+
+
+def _without_gone(pairs: DataFrame, plan: dict[str, DataFrame]) -> DataFrame:
+    gone = {k: plan[f"{k}_plan"].where("action = 'delete'") for k in ("playlist", "track")}
+    return pairs.join(gone["playlist"].select("playlist_id"), "playlist_id", "left_anti").join(gone["track"].select("uri"), "uri", "left_anti")
+
+
+def plan_sync(stored: dict[str, DataFrame], incoming: dict[str, DataFrame], force: bool = False) -> dict[str, DataFrame]:
+    """playlist_plan, track_plan, member_plan and tokens: all that ``apply_sync`` needs beside the stored tables.
 
     ``stored`` and ``incoming`` hold playlists(playlist_id, name, token), tracks and pairs(uri, playlist_id).
-    Playlists compare by name; tokens are stored last, for the playlists whose members were compared.
+    Playlists compare by name; members of those are compared whose token upstream is another one, against
+    the tracks as they will be.
     """
-    lists = reconcile.snapshot_diff(stored["playlists"], incoming["playlists"], "playlist_id", ["name"], ["token"])
+    plan = {
+        "playlist_plan": reconcile.snapshot_diff(stored["playlists"], incoming["playlists"], "playlist_id", *_PLAYLIST),
+        "track_plan": reconcile.snapshot_diff(stored["tracks"], incoming["tracks"], "uri", *_TRACK),
+        "tokens": incoming["playlists"].select("playlist_id", "token"),
+    }
     changed = reconcile.changed_parents(stored["playlists"], incoming["playlists"], "playlist_id", "token", force)
-    playlists = reconcile.apply_snapshot(stored["playlists"], lists, "playlist_id", ["name"], ["token"])
-    compare = ["title", "artists", "album", "duration_ms"]
-    rows = reconcile.snapshot_diff(stored["tracks"], incoming["tracks"], "uri", compare, ["added_at"])
-    tracks = reconcile.apply_snapshot(stored["tracks"], rows, "uri", compare, ["added_at"])
-    gone_lists = lists.where("action = 'delete'").select("playlist_id")
-    gone_tracks = rows.where("action = 'delete'").select("uri")
-    pairs = stored["pairs"].join(gone_lists, "playlist_id", "left_anti").join(gone_tracks, "uri", "left_anti")
-    members = reconcile.membership_diff(pairs, incoming["pairs"], tracks, changed, "uri", "playlist_id")
-    new_pairs = reconcile.apply_membership(pairs, members, "uri", "playlist_id")
-    playlists = reconcile.store_tokens(playlists, incoming["playlists"], "playlist_id", "token")
-    return {"playlists": playlists, "tracks": tracks, "pairs": new_pairs, "playlist_plan": lists, "track_plan": rows, "member_plan": members}
+    tracks = reconcile.apply_snapshot(stored["tracks"], plan["track_plan"], "uri", *_TRACK)
+    plan["member_plan"] = reconcile.membership_diff(_without_gone(stored["pairs"], plan), incoming["pairs"], tracks, changed, "uri", "playlist_id")
+    return plan
+
+
+def apply_sync(stored: dict[str, DataFrame], plan: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Next versions of playlists, tracks and pairs by a plan; tokens are taken over last."""
+    playlists = reconcile.apply_snapshot(stored["playlists"], plan["playlist_plan"], "playlist_id", *_PLAYLIST)
+    return {
+        "playlists": reconcile.store_tokens(playlists, plan["tokens"], "playlist_id", "token"),
+        "tracks": reconcile.apply_snapshot(stored["tracks"], plan["track_plan"], "uri", *_TRACK),
+        "pairs": reconcile.apply_membership(_without_gone(stored["pairs"], plan), plan["member_plan"], "uri", "playlist_id"),
+    }
+
+
+def staged_sync(stored: dict[str, DataFrame], incoming: dict[str, DataFrame], force: bool = False) -> dict[str, DataFrame]:
+    """Next versions of playlists, tracks and pairs, and the plans that lead to them, in one go."""
+    plan = plan_sync(stored, incoming, force)
+    return {**apply_sync(stored, plan), **plan}

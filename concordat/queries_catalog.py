@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from concordat import bindings as b
+from concordat import registry
 from concordat.bindings import with_roles
 from concordat.functions import text as T
 from concordat.operators import catalog, duplicates, reconcile
-from concordat.plans import versions
+from concordat.plans import stored, versions
 from concordat.registry import query
-from concordat.streaming.state import use_checkpoints
+from concordat.streaming.state import shared_dir, use_checkpoints
 
 
 @query(with_roles("playlists", "pairs") + """
@@ -303,9 +306,28 @@ def comp5_store_tokens(spark, sf):
 select uri, playlist_id from base where playlist_id not in (select playlist_id from changed)
 union select uri, playlist_id from incoming_pairs where playlist_id in (select playlist_id from changed) and uri in (select uri from incoming)""")
 def comp24_staged_sync(spark, sf):
-    stored = {"playlists": b.playlists(spark, sf), "tracks": b.tracks(spark, sf), "pairs": b.pairs(spark, sf)}
+    old = {"playlists": b.playlists(spark, sf), "tracks": b.tracks(spark, sf), "pairs": b.pairs(spark, sf)}
+    new = {"playlists": b.incoming_playlists(spark, sf), "tracks": b.incoming(spark, sf), "pairs": b.incoming_pairs(spark, sf)}
+    return versions.staged_sync(old, new)["pairs"]
+
+
+@query(registry.SQL["comp24_staged_sync"].replace("select uri, playlist_id from base where", "select 'pair' as kind, uri as key, playlist_id as value from base where").replace("union select uri, playlist_id from incoming_pairs", "union select 'pair', uri, playlist_id from incoming_pairs") + """
+union all select 'track', uri, title from incoming union all select 'playlist', playlist_id, name || ' ' || token from incoming_playlists""")
+def comp24_stored_plan(spark, sf):
+    """A plan made from the stored state, kept, and applied later from what was kept: all three tables of the new state."""
+    to = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"
+    stored.publish(spark, to, {"playlists": b.playlists(spark, sf), "tracks": b.tracks(spark, sf), "pairs": b.pairs(spark, sf)}, after=0)
+    _, old = stored.current(spark, to)
     new = {"playlists": b.incoming_playlists(spark, sf), "tracks": b.incoming(spark, sf), "pairs": b.incoming_pairs(spark, sf)}
-    return versions.staged_sync(stored, new)["pairs"]
+    stored.save_plan(spark, f"{to}/plans/sync", versions.plan_sync(old, new), old)
+    stored.apply_saved(spark, to, f"{to}/plans/sync", versions.apply_sync)
+    _, now = stored.current(spark, to)
+    rows = [
+        now["pairs"].select(F.lit("pair").alias("kind"), F.col("uri").alias("key"), F.col("playlist_id").alias("value")),
+        now["tracks"].select(F.lit("track").alias("kind"), F.col("uri").alias("key"), F.col("title").alias("value")),
+        now["playlists"].select(F.lit("playlist").alias("kind"), F.col("playlist_id").alias("key"), F.concat_ws(" ", "name", "token").alias("value")),
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query("""

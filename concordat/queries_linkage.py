@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from concordat import bindings as b
+from concordat import registry
 from concordat.bindings import with_roles
 from concordat.functions import text as T
 from concordat.functions.similarity import edit_similarity, indel_ratio, matching_blocks_ratio, strip_accents
@@ -14,7 +15,7 @@ from concordat.operators import catalog, duplicates, hierarchy, linkage, playlis
 from concordat.plans import exports
 from concordat.registry import indel_sql, query
 from concordat.streaming import gates
-from concordat.streaming.state import use_checkpoints
+from concordat.streaming.state import staged, use_checkpoints
 
 # --- scalar rules -------------------------------------------------------------------------------------------
 
@@ -640,6 +641,28 @@ def stm1_count_changes(spark, sf):
     return gates.count_changes(e)
 
 
+@query(registry.SQL["stm1_count_changes"])
+def stm1_streamed_counts(spark, sf):
+    """The same history as a stream in three deliveries, each by a query of its own that goes on from the checkpoint; the first comes twice."""
+    from concordat.streaming.state import shared_dir
+
+    folder = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    e = b.read(spark, sf, "events").groupBy(F.col("user_id").alias("playlist_id"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("ts")).agg(F.count(F.lit(1)).alias("n"))
+    history = staged(e, "history")
+    low, high = history.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    third = F.least(F.floor((F.unix_micros("ts") - low) * 3 / max(1, high - low)), F.lit(2))
+    for parts in ([0], [1, 0], [2]):
+        history.where(third.isin(parts)).write.mode("append").parquet(f"{folder}/in")
+        observed = spark.readStream.schema(history.schema).parquet(f"{folder}/in")
+
+        def keep(batch, number):
+            batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+        run = gates.stream_count_changes(observed).writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
 @query("select date_trunc('day', ts) :: timestamp as start, event_type, count(*) as n from events group by 1, 2")
 def stm_windowed_counts(spark, sf):
     """The same windows as a stream: the files' rows go through a watermark to a sink in complete mode."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from concordat.operators.reconcile import changed_parents
@@ -18,6 +20,34 @@ def count_changes(history: DataFrame, parent: str = "playlist_id", time: str = "
     return history.withColumn("before", before).where(F.col(count) != F.col("before")).select(parent, time, count, "before")
 
 
+def stream_count_changes(observed: DataFrame, parent: str = "playlist_id", time: str = "ts", count: str = "n") -> DataFrame:
+    """``count_changes`` of a stream of observations: the engine's state keeps the last count of each parent.
+
+    Observations of a micro-batch are taken in order of time, of several at one time the largest. One
+    that isn't later than the last one of its parent was delivered before, or came too late, and counts for
+    nothing, so a repeated delivery changes nothing. The state outlives a restart by the stream's checkpoint;
+    it has one small row for each parent. Observations with a null in any column are ignored.
+    """
+    kind = observed.schema[parent].dataType.simpleString()
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, n = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(batches)).groupby("at", sort=True)["n"].max()
+        out = []
+        for time_of, seen in rows.items():
+            if at is not None and time_of <= at:
+                continue
+            if seen != n:
+                out.append((key[0], time_of, seen, n))
+            at, n = int(time_of), int(seen)
+        state.update((at, n))
+        yield pd.DataFrame(out, columns=["parent", "at", "n", "before"])
+
+    rows = observed.select(F.col(parent).alias("parent"), F.unix_micros(F.col(time)).alias("at"), F.col(count).cast("long").alias("n")).dropna()
+    out = rows.groupBy("parent").applyInPandasWithState(step, f"parent {kind}, at long, n long, before long", "at long, n long", "append", GroupStateTimeout.NoTimeout)
+    return out.select(F.col("parent").alias(parent), F.timestamp_micros("at").alias(time), F.col("n").alias(count), "before")
+
+
 def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(start, key, n) in tumbling windows; as a stream, rows later than ``late`` are dropped."""
     marked = events.withWatermark(time, late) if events.isStreaming else events
