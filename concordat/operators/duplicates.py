@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from concordat.functions import text as T
-from concordat.functions.similarity import indel_ratio, lcs_length, strip_accents
+from concordat.functions.similarity import lcs_length, strip_accents
+from concordat.operators.similar import ratio_pairs
 
 
 def duplicate_blocks(tracks: DataFrame) -> DataFrame:
@@ -95,14 +96,12 @@ def merge_duplicates(tracks: DataFrame, pairs: DataFrame, to: DataFrame) -> tupl
 def version_pairs(members: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(playlist_id, a, b, ratio): tracks of a playlist with the same first artist and like names, a < b.
 
-    Names are compared once for each distinct pair of an artist, whatever the number of playlists.
+    Names are compared once for each distinct pair of an artist, whatever the number of playlists, and only
+    if their lengths and letters allow the ratio.
     """
     named = members.withColumn("artist", F.lower(T.primary_artist(F.col("artists")))).withColumn("name", T.name_norm(strip_accents(F.lower("title"))))
     names = named.select("artist", "name").distinct()
-    two = names.select("artist", F.col("name").alias("other"))
-    like = names.join(two, "artist").where("name <= other")
-    like = like.withColumn("ratio", F.when(F.col("name") == F.col("other"), F.lit(1.0)).otherwise(indel_ratio(F.col("name"), F.col("other")))).where(F.col("ratio") >= threshold)
-    like = like.unionByName(like.where("name < other").select("artist", F.col("other").alias("name"), F.col("name").alias("other"), "ratio"))
+    like = ratio_pairs(names, names.withColumnRenamed("name", "other"), "name", "other", threshold, by=("artist",))
     one = named.select("playlist_id", "artist", F.col("uri").alias("a"), "name")
     other = named.select("playlist_id", "artist", F.col("uri").alias("b"), F.col("name").alias("other"))
     return one.join(like, ["artist", "name"]).join(other, ["playlist_id", "artist", "other"]).where("a < b").select("playlist_id", "a", "b", "ratio")

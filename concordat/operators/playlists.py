@@ -10,6 +10,7 @@ from concordat.functions import text as T
 from concordat.operators.catalog import latest_file, live_mappings
 from concordat.operators.hierarchy import child_counts, folder_of_playlists
 from concordat.operators.postings import contained
+from concordat.streaming.state import staged
 
 HEADER = "#EXTM3U"
 
@@ -57,13 +58,37 @@ def parse_m3u(files: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split("content", "\r\n|\n|\r"), T.strip), lambda x: (x != "") & (~F.startswith(x, F.lit("#")) | F.startswith(x, F.lit("#EXTINF:"))))
     rows = files.select("file", F.posexplode(F.arrays_zip(lines.alias("line"), F.slice(F.concat(F.array(F.lit("")), lines), 1, F.greatest(F.size(lines), F.lit(1))).alias("before"))).alias("line_no", "x"))
     rows = rows.select("file", "line_no", F.col("x.line").alias("path"), F.col("x.before").alias("before")).where(~F.startswith("path", F.lit("#")))
+    # The n-th path of a file is at line 2n - 1 of its kept lines only if each has a note; count them instead.
+    pos = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
+    return _noted(rows.withColumn("pos", pos))
+
+
+def parse_lines(lines: DataFrame, block: int = 4096) -> DataFrame:
+    """What ``parse_m3u`` gives, of ``lines(file, line_no, line)``: the lines stay rows.
+
+    A file is cut into blocks of ``block`` line numbers, so that one with very many lines is work for many
+    tasks. Each block is gone through in order; what it needs of those before it is their last kept line and
+    their number of paths. Lines are numbered without repeats; a null line is blank.
+    """
+    kept = lines.select("file", "line_no", T.strip(F.coalesce("line", F.lit(""))).alias("line"), F.floor(F.col("line_no") / block).alias("__block"))
+    kept = kept.where((F.col("line") != "") & (~F.startswith("line", F.lit("#")) | F.startswith("line", F.lit("#EXTINF:"))))
+    kept = staged(kept.withColumn("__path", (~F.startswith("line", F.lit("#"))).cast("long")), "playlist-lines")
+    blocks = kept.groupBy("file", "__block").agg(F.max_by("line", "line_no").alias("last"), F.sum("__path").alias("n"))
+    of_file = Window.partitionBy("file").orderBy("__block")
+    blocks = blocks.select("file", "__block", F.lag("last").over(of_file).alias("__last"), (F.sum("n").over(of_file) - F.col("n")).alias("__paths"))
+    own = Window.partitionBy("file", "__block").orderBy("line_no")
+    rows = kept.withColumns({"before": F.lag("line").over(own), "__own": F.sum("__path").over(own)}).where("__path = 1").join(blocks, ["file", "__block"])
+    rows = rows.withColumns({"before": F.coalesce("before", "__last", F.lit("")), "pos": (F.col("__paths") + F.col("__own")).cast("int")})
+    return _noted(rows.withColumnRenamed("line", "path"))
+
+
+def _noted(rows: DataFrame) -> DataFrame:
+    """The entries of ``rows(file, pos, path, before)``, with what the line before says of each."""
     noted = F.startswith("before", F.lit("#EXTINF:"))
     seconds = F.coalesce(F.regexp_extract("before", r"^#EXTINF:\s*([^,]*)", 1).try_cast("double").cast("int"), F.lit(0))
     info = F.when(noted, T.strip(F.regexp_extract("before", r"^#EXTINF:[^,]*,(.*)$", 1))).otherwise(F.lit(""))
     rows = rows.withColumn("info", info).withColumn("p", T.split_artist_title(F.col("info")))
-    # The n-th path of a file is at line 2n - 1 of its kept lines only if each has a note; count them instead.
-    pos = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
-    return rows.select("file", pos.alias("pos"), F.when(noted, seconds).otherwise(F.lit(0)).alias("duration"), "info", F.col("p.artist").alias("artist"), F.col("p.title").alias("title"), "path")
+    return rows.select("file", "pos", F.when(noted, seconds).otherwise(F.lit(0)).alias("duration"), "info", F.col("p.artist").alias("artist"), F.col("p.title").alias("title"), "path")
 
 
 def entry_uris(parsed: DataFrame, mappings: DataFrame) -> DataFrame:

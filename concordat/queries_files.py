@@ -128,14 +128,19 @@ tree as (select 'folder' as kind, x.folder, regexp_extract(x.folder, '([^/]*)$',
 
 
 def _node_tables(spark, sf):
+    return _collection(spark, sf)[1:]
+
+
+def _collection(spark, sf):
     now = _now(spark, sf)
     saved = now.join(b.incoming_playlists(spark, sf).select("name").distinct(), "name", "left_semi")
     named = saved.select("folder").distinct().where("folder not like '%1'")
     order = named.agg(F.array_sort(F.collect_set("folder")).alias("f")).select(F.posexplode("f").alias("pos", "folder"))
     listed = b.playlists(spark, sf).select(F.col("playlist_id").alias("file"), "name").join(now.select("name", "folder"), "name")
     parsed = _parsed(spark, sf)
-    entries = playlists.collection_entries(parsed, playlists.collection_tracks(parsed, b.mappings(spark, sf), b.ratings(spark, sf)))
-    return playlists.collection_nodes(listed, entries, saved, order), listed, entries
+    tracks = playlists.collection_tracks(parsed, b.mappings(spark, sf), b.ratings(spark, sf))
+    entries = playlists.collection_entries(parsed, tracks)
+    return tracks, playlists.collection_nodes(listed, entries, saved, order), listed, entries
 
 
 @query(_NODES + "select * from lists union all select * from tree")
@@ -155,6 +160,16 @@ def snk9_collection_xml(spark, sf):
     return back.select(text(F.col("_Folder")).alias("folder"), text(F.col("_Name")).alias("name"), F.col("_Type").alias("type"), F.coalesce("_Entries", "_Count").alias("n"), F.when(refs > 0, refs).otherwise(F.lit(0)).cast("long").alias("refs"))
 
 
+@query(_NODES + """, said as (
+    select case when folder = '' then 0 else 1 + length(folder) - length(replace(folder, '/', '')) end as depth, '<NODE Name="' || case when folder = '' then 'm3u' else name end || '" Type="0" Count="' || n || '">' as value from tree
+    union all select 1 + case when folder = '' then 0 else 1 + length(folder) - length(replace(folder, '/', '')) end, '<NODE Name="' || name || '" Type="1" KeyType="0" Entries="' || n || '">' from lists)
+select depth, value from said""")
+def snk9_nested_document(spark, sf):
+    """One document with nested folders, as sorted lines: those that open a folder or playlist, with their depth."""
+    lines = exports.collection_document(*_collection(spark, sf)).where("section = 2")
+    return lines.where("line like '<NODE %'").select(F.size("path").cast("long").alias("depth"), F.col("line").alias("value"))
+
+
 @query(_ENTRIES + """select playlist_id, md5('#EXTM3U' || chr(10) || string_agg('#EXTINF:' || duration || ',' || info || chr(10) || path, chr(10) order by pos)) as content from e group by playlist_id""")
 def snk8_playlist_files(spark, sf):
     """Files of all playlists in one batch, read back whole."""

@@ -376,8 +376,8 @@ def _entries(spark, sf):
 
 
 def _parsed(spark, sf):
-    texts = playlists.m3u_text(playlists.m3u_lines(_entries(spark, sf)))
-    return playlists.parse_m3u(texts.withColumnRenamed("playlist_id", "file"))
+    """The playlists' lines, parsed again as rows."""
+    return playlists.parse_lines(playlists.m3u_lines(_entries(spark, sf)).withColumnRenamed("playlist_id", "file"))
 
 
 @query(_ENTRIES + """select playlist_id, md5('#EXTM3U' || chr(10) || string_agg('#EXTINF:' || duration || ',' || info || chr(10) || path, chr(10) order by pos)) as content, count(*) as n
