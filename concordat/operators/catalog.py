@@ -28,6 +28,12 @@ def containing(table: DataFrame, needles: dict[str, str]) -> DataFrame:
     return table
 
 
+def exist(wanted: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """(key, found) of each distinct wanted key; a null key is never found."""
+    hit = table.select(key).where(F.col(key).isNotNull()).distinct().withColumn("found", F.lit(True))
+    return wanted.select(key).distinct().join(hit, key, "left").select(key, F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def since(table: DataFrame, time: str, cut: Column) -> DataFrame:
     return table.where(F.col(time) >= cut)
 
@@ -124,9 +130,15 @@ def names_containing(playlists: DataFrame, wanted: DataFrame) -> DataFrame:
     return w.select("wanted").join(held.select("wanted", "playlist_id", "name"), "wanted", "left")
 
 
+def without_master(playlists: DataFrame, master_id: str | None = None) -> DataFrame:
+    """Playlists without the master one: by its id if that is known, else by its name."""
+    own = F.upper("name") == "MASTER" if master_id is None else F.col("playlist_id") == master_id
+    return playlists.where(~F.coalesce(own, F.lit(False)))
+
+
 def overview(playlists: DataFrame, pairs: DataFrame, structure: DataFrame, out: Column) -> DataFrame:
     """(playlist_id, name, folder, n): playlists that aren't excluded by ``out`` and aren't the master one, with their folder and size."""
-    kept = playlists.where(~out & (F.upper("name") != "MASTER"))
+    kept = without_master(playlists.where(~out))
     placed = structure.groupBy("name").agg(F.min("folder").alias("folder"))
     kept = kept.join(placed, "name", "left").select("playlist_id", "name", F.coalesce("folder", F.lit("")).alias("folder"))
     return count_per(kept, pairs, "playlist_id", "uri", "n")

@@ -194,14 +194,19 @@ def src2_playlist_feed(spark, sf):
     return feeds.playlists(feeds.read_pages(spark, to, feeds.PLAYLIST_PAGE), "me", out).select("playlist_id", "name", "snapshot_id")
 
 
-def _track_pages(spark, sf):
-    """Pages of up to a few items for each playlist, written as JSON and read again."""
+def _track_page_rows(spark, sf):
+    """Pages of up to a few items for each playlist."""
     rows = b.pairs(spark, sf).join(b.tracks(spark, sf), "uri")
     artists = F.transform(F.split("artists", ", "), lambda a: F.struct(a.alias("name")))
     track = F.struct(F.col("track_id").alias("id"), F.col("title").alias("name"), "uri", "is_local", "duration_ms", artists.alias("artists"), F.struct(F.col("album").alias("name")).alias("album"))
     item = F.struct(F.date_format("added_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("added_at"), track.alias("track"))
+    return rows.groupBy("playlist_id", F.pmod(F.xxhash64("uri"), F.lit(8))).agg(F.collect_list(item).alias("items")).select("playlist_id", "items")
+
+
+def _track_pages(spark, sf):
+    """The pages written as JSON and read again."""
     to = _folder(spark, "pages")
-    rows.groupBy("playlist_id", F.pmod(F.xxhash64("uri"), F.lit(8))).agg(F.collect_list(item).alias("items")).select("playlist_id", "items").write.json(to)
+    _track_page_rows(spark, sf).write.json(to)
     return feeds.read_pages(spark, to, feeds.TRACK_PAGE)
 
 

@@ -13,7 +13,7 @@ from concordat.functions import text as T
 from concordat.functions.similarity import edit_similarity, indel_ratio, matching_blocks_ratio, strip_accents
 from concordat.operators import catalog, duplicates, hierarchy, linkage, playlists, validate
 from concordat.plans import exports
-from concordat.registry import indel_sql, query
+from concordat.registry import blocks_sql, indel_sql, query
 from concordat.streaming import gates
 from concordat.streaming.state import staged, use_checkpoints
 
@@ -39,9 +39,11 @@ def fn2_strip_accents(spark, sf):
     return b.read(spark, sf, "documents").select("doc_id", F.md5(strip_accents(F.col("text"))).alias("plain"))
 
 
-@query()
+@query(with_roles("tracks", "mappings").replace("with ", "with recursive ", 1) + f""", pairs_ as (
+    select distinct lower(artists || ' - ' || title) as a, lower(regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^.]+$', '')) as b from tracks t join mappings m on m.uri = t.uri),
+{blocks_sql('blocks', 'pairs_', 'a', 'b')} select a, b, round(ratio, 9) as ratio from blocks""")
 def fn3_matching_blocks(spark, sf):
-    return _names_of_mapped(spark, sf).withColumn("ratio", matching_blocks_ratio(F.col("a"), F.col("b")))
+    return _names_of_mapped(spark, sf).select("a", "b", F.round(matching_blocks_ratio(F.col("a"), F.col("b")), 9).alias("ratio"))
 
 
 @query(with_roles("tracks") + """
@@ -260,10 +262,22 @@ def comp18_create_mappings(spark, sf):
     return linkage.create_mappings(drawn.unionByName(m.select("file_path", "uri")), i, t, m)
 
 
-@query()
+@query(with_roles("tracks").replace("with ", "with recursive ", 1) + f""", n as (select count(*) as suppliers from supplier),
+v as (
+    select distinct s_suppkey || '/' || p_brand || '/' || p_name as release_id, lower(p_brand || ' ' || p_name) as rt, p_name || ' (Extended Mix)' as version_title, (p_size % 60 + 5) * 60 + 30 as seconds
+    from part, n, supplier where s_suppkey = p_partkey % suppliers
+), t as (
+    select uri, lower(title) as title, duration_ms, list_filter(regexp_split_to_array(lower(artists), '\\s+'), lambda w: len(w) > 2) as aw,
+           list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda w: len(w) > 2) as tw from tracks
+), met as (
+    select distinct uri, release_id, title, lower(version_title) as low, version_title, seconds from t join v
+    on list_has_any(tw, regexp_split_to_array(rt, '\\s+')) and len(list_filter(aw, lambda w: contains(rt, w))) > 0 and seconds > duration_ms / 1000 + 30
+), {blocks_sql('blocks', 'met', 'low', 'title')}
+select uri, release_id, version_title, seconds, 'Extended Mix' as mix from met join blocks using (low, title) where ratio > 0.7""")
 def jn31_release_versions(spark, sf):
-    s = b.read(spark, sf, "supplier").withColumnRenamed("s_suppkey", "k")
-    p = b.read(spark, sf, "part").withColumn("k", F.col("p_partkey") % 100)
+    s = b.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    suppliers = F.broadcast(s.agg(F.count(F.lit(1)).alias("n")))  # one row
+    p = b.read(spark, sf, "part").join(suppliers).withColumn("k", F.col("p_partkey") % F.col("n"))
     rows = p.join(s, "k").groupBy("k", "p_brand", "p_name").agg(F.collect_set(F.struct(F.concat("p_name", F.lit(" (Extended Mix)")).alias("title"), F.concat((F.col("p_size") % 60 + 5).cast("string"), F.lit(":30")).alias("duration"))).alias("tracklist"))
     releases = rows.select(F.concat_ws("/", F.col("k").cast("string"), "p_brand", "p_name").alias("release_id"), F.concat_ws(" ", "p_brand", "p_name").alias("release_title"), "tracklist")
     return linkage.release_versions(b.tracks(spark, sf), releases)
@@ -477,7 +491,12 @@ def snk12_also_in(spark, sf):
     return playlists.also_in(b.pairs(spark, sf)).select("uri", "playlist_id", F.array_join("others", "|").alias("others"))
 
 
-@query()
+@query(with_roles("pairs", "playlists", "tracks") + """, o as (
+    select p.uri, p.playlist_id, string_agg(q.playlist_id, ', ' order by q.playlist_id) as others from pairs p join pairs q on q.uri = p.uri and q.playlist_id <> p.playlist_id group by p.uri, p.playlist_id
+), l as (
+    select name, artists, title, '- ' || artists || ' - ' || title || coalesce(' (also in ' || others || ')', '') as line
+    from pairs p join playlists using (playlist_id) join tracks using (uri) left join o on o.uri = p.uri and o.playlist_id = p.playlist_id)
+select regexp_replace(name, '[^\\w ]', '', 'g') as name, '# ' || name || chr(10) || chr(10) || string_agg(line, chr(10) order by artists, title, line) as content from l group by l.name""")
 def snk12_markdown_pages(spark, sf):
     named = b.pairs(spark, sf).join(b.playlists(spark, sf).select("playlist_id", "name"), "playlist_id").join(b.tracks(spark, sf).select("uri", "artists", "title"), "uri")
     return exports.markdown_pages(named, playlists.also_in(b.pairs(spark, sf)))

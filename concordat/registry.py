@@ -47,3 +47,17 @@ def indel_bits_sql(a: str, places: str, b: str) -> str:
     hits = f"list_transform(string_split({b}, ''), lambda c: coalesce({places}[c], 0::bigint))"
     row = f"list_reduce(list_concat([{full}], {hits}), lambda r, h: (((r + (r & h)) | (r - (r & h))) & {full}))"
     return f"(2.0::double * (len({a}) - bit_count({row})) / (len({a}) + len({b})))"
+
+
+def blocks_sql(name: str, source: str, a: str, b: str) -> str:
+    """Recursive common table expressions that end in ``name(a, b, ratio)``: the share of characters in matching blocks of each distinct pair."""
+    place = f"list_max(flatten(list_transform(range(1, len(x) + 1), lambda i: list_transform(range(1, len(x) - i + 2), lambda n: case when contains(y, substr(x, i, n)) then [n, -i] else [0, 0] end))))"
+    return f"""{name}_parts as (
+    select {a}, {b}, {a} as x, {b} as y, {place} as best from (select distinct {a}, {b}, {a} as x, {b} as y from {source})
+    union all
+    select {a}, {b}, x, y, {place} as best from (
+        select {a}, {b}, unnest([substr(x, 1, -best[2] - 1), substr(x, -best[2] + best[1])]) as x,
+               unnest([substr(y, 1, instr(y, substr(x, -best[2], best[1])) - 1), substr(y, instr(y, substr(x, -best[2], best[1])) + best[1])]) as y
+        from {name}_parts where best[1] > 0) where x <> '' and y <> ''
+), {name} as (
+    select {a}, {b}, case when len({a}) + len({b}) = 0 then 1.0::double else 2.0::double * coalesce(sum(best[1]), 0) / (len({a}) + len({b})) end as ratio from {name}_parts group by {a}, {b})"""

@@ -20,6 +20,11 @@ def read_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def stream_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Pages as they land in a folder, each file once: the stream's checkpoint knows those already read."""
+    return spark.readStream.schema(schema).json(path)
+
+
 def playlists(pages: DataFrame, owner: str, excluded: Column | None = None) -> DataFrame:
     """(playlist_id, name, snapshot_id, description) of the owner's playlists, stripped, without excluded ones."""
     rows = pages.select(F.explode("items").alias("p")).where(F.col("p.owner.id") == owner)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +25,36 @@ def fingerprints(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.col("path").alias("file_path"), quick.alias("quick"), F.sha2("content", 256).alias("full"))
 
 
-def playlist_texts(spark: SparkSession, root: str) -> DataFrame:
-    """(file, folder, name, content) of M3U files under a root, as UTF-8 where valid, else as Latin-1."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM]3[uU]").load(root)
+#: Paths that one scan names.
+PATHS = 10_000
+_GLOB = re.compile(r"([\\*?\[\]{}])")
+
+
+def refreshed(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
+    """(file_path, size, modified, full, was_read): the audio files under a root with the SHA-256 of their contents.
+
+    Of files that ``known``, an earlier result, has with the same size and time the hash is taken over; only the
+    others are read. Files that are gone are not in the result. The list of paths to read is in the driver,
+    as is any list of files that Spark scans.
+    """
+    now = inventory(spark, root).select("file_path", "size", "modified")
+    if known is None:
+        same, due = None, now
+    else:
+        keys = ["file_path", "size", "modified"]
+        same, due = now.join(known.select(*keys, "full"), keys), now.join(known.select(*keys), keys, "left_anti")
+    paths = [_GLOB.sub(r"\\\1", r["file_path"]) for r in due.select("file_path").collect()]
+    parts = [spark.read.format("binaryFile").load(paths[k : k + PATHS]) for k in range(0, len(paths), PATHS)]
+    read = [p.select(F.col("path").alias("file_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("full"), F.lit(True).alias("was_read")) for p in parts]
+    if same is not None:
+        read.append(same.withColumn("was_read", F.lit(False)))
+    return reduce(DataFrame.unionByName, read) if read else now.select("*", F.lit("").alias("full"), F.lit(True).alias("was_read")).limit(0)
+
+
+def playlist_texts(spark: SparkSession, root: str, stream: bool = False) -> DataFrame:
+    """(file, folder, name, content) of M3U files under a root, as UTF-8 where valid, else as Latin-1; as a stream, new files as they come."""
+    reader = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read
+    found = reader.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM]3[uU]").load(root)
     raw = F.col("content")
     content = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.decode(raw, "ISO-8859-1"))
     return found.select(F.col("path").alias("file"), T.folder_of(F.col("path")).alias("folder"), T.stem(F.col("path")).alias("name"), content.alias("content"))

@@ -1,6 +1,7 @@
 """Invariants and small cases of the catalog operators, and the sources and sinks on real files."""
 
 import difflib
+import hashlib
 import json
 import random
 import re
@@ -232,6 +233,27 @@ def test_files(spark, tmp_path):
     assert files.exclusion_config(spark, str(tmp_path / "c.json")) == {"words": ["x"], "names": [], "keys": [], "keywords": []}
 
 
+def test_only_changed_files_are_read_again(spark, tmp_path):
+    root, sha = tmp_path / "music", lambda x: hashlib.sha256(x).hexdigest()
+    (root / "a [live] {1}").mkdir(parents=True)
+    one, two, three = root / "a [live] {1}/x*?.mp3", root / "ü – é.MP3", root / "gone.flac"
+    for p in (one, two, three):
+        p.write_bytes(p.name.encode())
+    (root / "note.txt").write_text("no audio")
+    known = files.refreshed(spark, str(root))
+    assert sorted(r["full"] for r in known.collect()) == sorted(sha(p.name.encode()) for p in (one, two, three)) and all(r["was_read"] for r in known.collect())
+    known.write.parquet(f"{tmp_path}/known")
+    three.unlink()
+    two.write_bytes(b"other")
+    (root / "new.wav").write_bytes(b"new")
+    again = files.refreshed(spark, str(root), spark.read.parquet(f"{tmp_path}/known"))
+    assert sorted((r["full"], r["was_read"]) for r in again.collect()) == sorted([(sha(one.name.encode()), False), (sha(b"other"), True), (sha(b"new"), True)])
+    again.write.parquet(f"{tmp_path}/known2")
+    assert not any(r["was_read"] for r in files.refreshed(spark, str(root), spark.read.parquet(f"{tmp_path}/known2")).collect())
+    (tmp_path / "none").mkdir()
+    assert files.refreshed(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_exports(spark, tmp_path):
     texts = spark.createDataFrame([("p1", "#EXTM3U\na"), ("p2", "#EXTM3U\nb")], "playlist_id string, content string")
     exports.write_playlists(texts, f"{tmp_path}/m3u")

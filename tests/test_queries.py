@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from concordat import queries_catalog, queries_files, queries_linkage, registry  # noqa: F401
+from concordat import queries_catalog, queries_files, queries_linkage, queries_sources, registry  # noqa: F401
 
 from .conftest import SF
 
