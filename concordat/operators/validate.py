@@ -60,6 +60,11 @@ def catalog_ids(files: DataFrame, tracks: DataFrame) -> DataFrame:
     return unknown.unionByName(bare).unionByName(lost.select(F.lit("no_file").alias("kind"), F.col("track_id").alias("key"), "file_path"))
 
 
+def valid_ids(rows: DataFrame, key: str) -> DataFrame:
+    """The distinct ids of a column that aren't blank."""
+    return rows.where(T.strip(F.col(key)) != "").select(key).distinct()
+
+
 def rating_coverage(ratings: DataFrame, tracks: DataFrame) -> DataFrame:
     """One row: rated uris by kind, those in the catalog, and their share in percent."""
     known = tracks.select("uri", F.lit(True).alias("__known")).distinct()

@@ -9,7 +9,7 @@ from concordat import bindings as b
 from concordat import registry
 from concordat.bindings import with_roles
 from concordat.functions import text as T
-from concordat.operators import catalog, playlists
+from concordat.operators import catalog, playlists, reconcile, validate
 from concordat.plans import versions
 from concordat.queries_files import _folder, _track_page_rows
 from concordat.queries_linkage import _ENTRIES, _entries
@@ -160,3 +160,29 @@ def ord6_playlists_by_name(spark, sf):
     """The playlists of each track, by name."""
     named = b.pairs(spark, sf).join(b.playlists(spark, sf), "playlist_id")
     return named.select("playlist_id", "name", F.row_number().over(Window.partitionBy("uri").orderBy("name", "playlist_id")).alias("place"), "uri")
+
+
+@query(with_roles("ratings") + "select uri, rating + 1 as rating, energy from ratings")
+def src13_rating_file(spark, sf):
+    """A rating file with blank entries, to which newer ratings of the same uris were added."""
+    to = _folder(spark, "ratings")
+    rated = b.ratings(spark, sf)
+    odd = rated.select(F.lit(" ").alias("uri"), "rating", "energy").unionByName(rated.select("uri", F.lit(None).cast("double").alias("rating"), "energy"))
+    newer = rated.withColumn("rating", F.col("rating") + 1)
+    for k, rows in enumerate((rated.unionByName(odd), newer)):
+        rows.coalesce(1).write.json(f"{to}/part={k}")
+    return files.ratings(spark, f"{to}/part=*")
+
+
+@query(with_roles("inventory") + "select distinct embedded_track_id from inventory where trim(embedded_track_id) <> ''")
+def flt23_valid_ids(spark, sf):
+    return validate.valid_ids(b.inventory(spark, sf), "embedded_track_id")
+
+
+@query(with_roles("tracks", "incoming") + """
+select uri, coalesce(nullif(t.album, ''), 'Unknown Album') as old, coalesce(nullif(i.album, ''), 'Unknown Album') as new from tracks t join incoming i using (uri)
+where coalesce(nullif(t.album, ''), 'Unknown Album') <> coalesce(nullif(i.album, ''), 'Unknown Album')""")
+def log1_album_changes(spark, sf):
+    """Tracks whose album changed, one without a name being unknown on both sides."""
+    plan = reconcile.snapshot_diff(b.tracks(spark, sf), b.incoming(spark, sf), "uri", ["album"], norm={"album": T.album_label})
+    return plan.where("action = 'update'").select("uri", T.album_label(F.col("old_album")).alias("old"), T.album_label(F.col("new_album")).alias("new"))

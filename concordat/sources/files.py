@@ -72,6 +72,14 @@ def keys(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(T.strip(F.col("value")).alias("key")).where("key <> ''")
 
 
+def ratings(spark: SparkSession, path: str) -> DataFrame:
+    """(uri, rating, energy) of a rating file, one JSON object a line; entries without a uri or rating are skipped, of several of a uri the last by file and place counts."""
+    rows = spark.read.schema("uri string, rating double, energy string").json(path).where("trim(uri) <> '' and rating is not null")
+    rows = rows.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place")).alias("order"))
+    last = rows.groupBy("uri").agg(F.max_by(F.struct("rating", "energy"), "order").alias("x"))
+    return last.select("uri", "x.rating", "x.energy")
+
+
 def exclusion_config(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """The four lists of an exclusion file, a small configuration; lists that it lacks are empty."""
     schema = "forbidden_words array<string>, forbidden_playlists array<string>, forbidden_playlist_ids array<string>, description_keywords array<string>"
