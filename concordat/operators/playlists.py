@@ -10,7 +10,7 @@ from concordat.functions import text as T
 from concordat.operators.catalog import latest_file, live_mappings
 from concordat.operators.hierarchy import child_counts, folder_of_playlists
 from concordat.operators.postings import contained
-from concordat.streaming.state import staged
+from concordat.tables import staged
 
 HEADER = "#EXTM3U"
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from concordat.functions.text import changes
+from concordat.tables import staged
 
 ADD, UPDATE, DELETE, SAME = "add", "update", "delete", "unchanged"
 
@@ -143,9 +144,9 @@ def batches(keys: DataFrame, key: str, size: int = 100, ranges: int = 64) -> Dat
     """(batch_no, key): keys in order, ``size`` at a time.
 
     Numbers come from ranges of the keys' order: counts of the ranges before, then ranks within one. The
-    ranges are cut once, by a reliable checkpoint, as a second sample could cut them elsewhere.
+    ranges are cut once and written, as a second sample could cut them elsewhere.
     """
-    ordered = keys.select(key).repartitionByRange(ranges, key).withColumn("__part", F.spark_partition_id()).checkpoint()
+    ordered = staged(keys.select(key).repartitionByRange(ranges, key).withColumn("__part", F.spark_partition_id()), "ranges")
     ranked = ordered.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(key)))
     # One row for each range, so a window over all of them is small.
     counts = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))

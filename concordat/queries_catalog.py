@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from concordat import bindings as b
@@ -13,7 +11,7 @@ from concordat.functions import text as T
 from concordat.operators import catalog, duplicates, reconcile
 from concordat.plans import stored, versions
 from concordat.registry import query
-from concordat.streaming.state import shared_dir, use_checkpoints
+from concordat.tables import folder
 
 
 @query(with_roles("playlists", "pairs") + """
@@ -315,7 +313,7 @@ def comp24_staged_sync(spark, sf):
 union all select 'track', uri, title from incoming union all select 'playlist', playlist_id, name || ' ' || token from incoming_playlists""")
 def comp24_stored_plan(spark, sf):
     """A plan made from the stored state, kept, and applied later from what was kept: all three tables of the new state."""
-    to = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"
+    to = folder(spark, "catalog")
     stored.publish(spark, to, {"playlists": b.playlists(spark, sf), "tracks": b.tracks(spark, sf), "pairs": b.pairs(spark, sf)}, after=0)
     _, old = stored.current(spark, to)
     new = {"playlists": b.incoming_playlists(spark, sf), "tracks": b.incoming(spark, sf), "pairs": b.incoming_pairs(spark, sf)}
@@ -352,7 +350,6 @@ def comp19_unsorted_delta(spark, sf):
 
 @query(with_roles("tracks") + "select cast((row_number() over (order by uri) - 1) // 100 as bigint) as batch_no, uri from tracks")
 def snk15_batches(spark, sf):
-    use_checkpoints(spark)
     return reconcile.batches(b.tracks(spark, sf), "uri", 100)
 
 

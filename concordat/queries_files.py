@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from concordat import bindings as b
@@ -15,11 +13,7 @@ from concordat.queries_catalog import _MEMBERS, _member_plan
 from concordat.queries_linkage import _ENTRIES, _FOLDERS, _entries, _now, _parsed
 from concordat.registry import indel_bits_sql, letters_sql, query
 from concordat.sources import feeds, files
-from concordat.streaming.state import shared_dir
-
-
-def _folder(spark, name):
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from concordat.tables import folder as _folder
 
 
 # --- look-ups by name ---------------------------------------------------------------------------------------

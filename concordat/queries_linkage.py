@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from concordat import bindings as b
@@ -15,7 +13,7 @@ from concordat.operators import catalog, duplicates, hierarchy, linkage, playlis
 from concordat.plans import exports
 from concordat.registry import blocks_sql, indel_sql, query
 from concordat.streaming import gates
-from concordat.streaming.state import staged, use_checkpoints
+from concordat.tables import folder, staged
 
 # --- scalar rules -------------------------------------------------------------------------------------------
 
@@ -199,7 +197,6 @@ def win3_best_match(spark, sf):
         union all select file_path, uri, confidence, false from m where file_path not in (select file_path from w) and uri not in (select uri from w))
 ) select file_path, uri, round(confidence, 6) as confidence from r where won""")
 def comp7_assign_one_to_one(spark, sf):
-    use_checkpoints(spark)
     out = linkage.assign_one_to_one(_candidates(spark, sf).where("confidence >= 0.75"))
     return out.select("file_path", "uri", F.round("confidence", 6).alias("confidence"))
 
@@ -663,58 +660,54 @@ def stm1_count_changes(spark, sf):
 @query(registry.SQL["stm1_count_changes"])
 def stm1_streamed_counts(spark, sf):
     """The same history as a stream in three deliveries, each by a query of its own that goes on from the checkpoint; the first comes twice."""
-    from concordat.streaming.state import shared_dir
-
-    folder = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    to = folder(spark, "counts")
     e = b.read(spark, sf, "events").groupBy(F.col("user_id").alias("playlist_id"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("ts")).agg(F.count(F.lit(1)).alias("n"))
     history = staged(e, "history")
     low, high = history.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     third = F.least(F.floor((F.unix_micros("ts") - low) * 3 / max(1, high - low)), F.lit(2))
     for parts in ([0], [1, 0], [2]):
-        history.where(third.isin(parts)).write.mode("append").parquet(f"{folder}/in")
-        observed = spark.readStream.schema(history.schema).parquet(f"{folder}/in")
+        history.where(third.isin(parts)).write.mode("append").parquet(f"{to}/in")
+        observed = spark.readStream.schema(history.schema).parquet(f"{to}/in")
 
         def keep(batch, number):
-            batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+            batch.write.mode("overwrite").parquet(f"{to}/out/batch={number}")
 
-        run = gates.stream_count_changes(observed).writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        run = gates.stream_count_changes(observed).writeStream.foreachBatch(keep).option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start()
         run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    return spark.read.parquet(f"{to}/out").drop("batch")
 
 
 @query("select date_trunc('day', ts) :: timestamp as start, event_type, count(*) as n from events group by 1, 2")
 def stm_windowed_counts(spark, sf):
     """The same windows as a stream: the files' rows go through a watermark to a sink in complete mode."""
-    from concordat.streaming.state import shared_dir
-
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    to = folder(spark, "stream")
     schema = b.read(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = gates.windowed_counts(events, "ts", "event_type")
 
     def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{folder}/out")
+        batch.write.mode("overwrite").parquet(f"{to}/out")
 
-    run = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return spark.read.parquet(f"{to}/out")
 
 
 @query(with_roles("playlists", "incoming_playlists") + """
 select i.playlist_id, i.token from incoming_playlists i left join playlists p on p.playlist_id = i.playlist_id where p.playlist_id is null or p.token <> i.token""")
 def stm2_token_gate(spark, sf):
     """Snapshots as a stream, delivered twice: each changed parent is handled once."""
-    from concordat.streaming.state import TokenStore, shared_dir
+    from concordat.streaming.state import TokenStore
 
-    folder = f"{shared_dir(spark)}/gate-{uuid.uuid4().hex}"
+    to = folder(spark, "gate")
     snapshots = b.incoming_playlists(spark, sf).select("playlist_id", "token", F.lit("2024-01-01").alias("ts"))
     for k in range(2):
-        snapshots.write.mode("append").parquet(f"{folder}/snapshots")
-    store = TokenStore(b.playlists(spark, sf).select("playlist_id", "token"), f"{folder}/tokens")
+        snapshots.write.mode("append").parquet(f"{to}/snapshots")
+    store = TokenStore(b.playlists(spark, sf).select("playlist_id", "token"), f"{to}/tokens")
 
     def handle(rows, number):
-        rows.select("playlist_id", "token").write.mode("append").parquet(f"{folder}/handled")
+        rows.select("playlist_id", "token").write.mode("append").parquet(f"{to}/handled")
 
-    stream = spark.readStream.schema(snapshots.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/snapshots")
-    gates.run_gated(stream, store.read, handle, store.write, f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/handled")
+    stream = spark.readStream.schema(snapshots.schema).option("maxFilesPerTrigger", 1).parquet(f"{to}/snapshots")
+    gates.run_gated(stream, store.read, handle, store.write, f"{to}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{to}/handled")

@@ -11,10 +11,11 @@ from concordat.bindings import with_roles
 from concordat.functions import text as T
 from concordat.operators import catalog, playlists, reconcile, validate
 from concordat.plans import versions
-from concordat.queries_files import _folder, _track_page_rows
+from concordat.queries_files import _track_page_rows
 from concordat.queries_linkage import _ENTRIES, _entries
 from concordat.registry import query
 from concordat.sources import feeds, files
+from concordat.tables import folder as _folder
 
 #: Text files with an extension of their own: one line a row, nothing quoted.
 _PLAIN = {"sep": "\x01", "quote": "", "comment": "\x02", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
