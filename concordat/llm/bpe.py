@@ -164,7 +164,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """One row per row of ``docs``: (doc_id, n_tokens, ids_sha256, decoded_sha256), with ``full`` also ids and decoded.
 
     A null text counts as empty and gives no tokens; ids of rows, null ones too, are returned as they are.
-    Repeated rows give repeated results; an empty table gives none.
+    Repeated rows give repeated results; an empty table gives none. Texts of any length are encoded whole,
+    piece by piece; other columns are not read, so their names don't matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

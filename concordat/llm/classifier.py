@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordat.llm.samples import least_hashed, remainder
-from concordat.llm.stage import fewer_tasks, types_of
+from concordat.llm.stage import fewer_tasks, free_names, types_of
 from concordat.llm.text import U, blocks, mix, rows_of, span_hashes, sums_by_row, token_spans
 
 #: Hashed words, dimensions and non-zero entries of an index vector, neighbours on each side.
@@ -165,8 +165,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learned: int = LEARNED, c
     the text enters a score. Null and empty texts have features of zero and a score like the others;
     rows with a null id are never learned from. If the labels have one class or none, every score is
     the share of label 1 there, or 1 without any. Equal texts have equal scores, whatever their rows and
-    neighbours. An empty table gives no rows.
+    neighbours. Columns of ``keep`` must not have a name of the result's; a clash is an error. An empty table
+    gives no rows.
     """
+    free_names(keep, "doc_id", "held_out", "score", "predicted")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[docs[c] for c in keep if c != text_col])
     vectors = word_vectors(context_vectors(rows))
     held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))

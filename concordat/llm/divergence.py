@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.llm.stage import table
+from concordat.llm.text import ASCII_LOWER, blocks, rows_of, word_spans
 
-#: A term is a run of ASCII letters and of characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A term is a run of ASCII letters and of characters beyond ASCII, whose UTF-8 bytes are all above 127.
+_TERM = np.zeros(256, bool)
+_TERM[list(range(0x41, 0x5B)) + list(range(0x61, 0x7B)) + list(range(0x80, 0x100))] = True
 #: Documents of a language that a kept term is in at least, and ranks of terms that are returned.
 LEAST_DOCS, TOP = 10, 10
 
@@ -29,12 +34,34 @@ def _far(p: Column, q: Column) -> Column:
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(lang, source, term, count, docs): occurrences of each term in a group, and its documents there."""
     read = lambda c: F.coalesce(docs[c].cast("string"), F.lit(""))
-    found = F.regexp_extract_all(F.translate(read(text_col), _UPPER, _LOWER), F.lit(TERM), F.lit(0))
-    rows = docs.select(read(lang_col).alias("lang"), read(source_col).alias("source"), found.alias("terms"))
-    # Each text gives two lists: all its terms (0), and its different terms (1).
-    lists = rows.select("lang", "source", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("once", "terms"))
-    single = lists.select("lang", "source", "once", F.explode("terms").alias("term"))
-    return single.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("once")).alias("count"), F.sum(F.col("once").cast("long")).alias("docs"))
+    rows = docs.select(read(lang_col).alias("lang"), read(source_col).alias("source"), read(text_col).alias("text"))
+    found = rows.mapInArrow(_block_counts, "lang string, source string, term string, count long, docs long")
+    return found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+
+
+def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of each block of texts: a row for each of its groups and terms, which are compared letter by letter."""
+    for batch in batches:
+        ids: dict[tuple[str, str], int] = {}
+        group = np.array([ids.setdefault(pair, len(ids)) for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
+        langs, sources = (pa.array([pair[k] for pair in ids], pa.string()) for k in (0, 1))
+        for lo, _, data, offsets in blocks(batch.column(2), 1 << 21):
+            data = ASCII_LOWER[data]
+            solid = _TERM[data]
+            starts, ends, bounds = word_spans(data, offsets, solid)
+            places = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends - starts)])
+            terms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data[solid])).dictionary_encode()
+            size = max(1, len(terms.dictionary))
+            # First by text and term, then by group and term.
+            own, n = np.unique(rows_of(bounds) * size + terms.indices.to_numpy(), return_counts=True)
+            row, term = np.divmod(own, size)
+            both, at = np.unique(group[lo + row] * size + term, return_inverse=True)
+            count = np.zeros(len(both), np.int64)
+            np.add.at(count, at, n)
+            of, term = np.divmod(both, size)
+            names = terms.dictionary.take(pa.array(term)).cast(pa.string())
+            cols = [langs.take(pa.array(of)), sources.take(pa.array(of)), names, pa.array(count), pa.array(np.bincount(at, minlength=len(both)).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["lang", "source", "term", "count", "docs"])
 
 
 def kept_terms(counts: DataFrame, least: int = LEAST_DOCS) -> DataFrame:

@@ -246,7 +246,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     Rows with null or empty texts, or without words, have no shingles and link with nothing. Rows of
     the same id are one node. A row with a null id links only with rows of an equal set; it is kept
-    if there is none with an id. An empty table gives no rows.
+    if there is none with an id. Texts may be of any length; other columns are not read. An empty table
+    gives no rows.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     signed = table(signatures(rows, words), "signatures")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from concordat.llm.stage import discard, table, types_of
+from concordat.llm.stage import discard, free_names, table, types_of
 from concordat.llm.text import blocks, word_spans
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
@@ -21,7 +21,10 @@ PARTS = 4096
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size) and the columns ``keep``: the number of words of each row; 0 for null."""
+    """(doc_id, source, size) and the columns ``keep``: the number of words of each row; 0 for null.
+
+    Texts may be of any length; null and repeated ids are returned as they are. An empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,9 +141,11 @@ def mix_sources(
     the order of ``keep``; neither partitions nor reruns change the copies.
 
     Null texts count 0 words; rows without words have rate 1 and one copy of nothing. Null and repeated
-    ids are rows like others. An empty table gives no rows. One row for each source reaches the driver
+    ids are rows like others, texts may be of any length. An empty table gives no rows. Columns of ``keep`` must
+    not have a name of the operator's own; a clash is an error. One row for each source reaches the driver
     at each step; a source's rounding sees one row for each size.
     """
+    free_names(keep, "doc_id", "text", "source", "size", "source_size", "target", "rate", "copies", "taken", "k", "n", "m", "sub", "rank", "base", "here")
     counted = table(sizes(docs, id_col, text_col, source_col, keep), "sizes")
     found = counted.groupBy("source").agg(F.sum("size").alias("total"), F.sum(F.col("size").cast("double") * F.col("size")).alias("squares")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.stage import discard, numbered, table, types_of
+from concordat.llm.stage import discard, free_names, numbered, table, types_of
 
 #: Base kinds in their fixed order.
 KINDS = ("email", "ip", "card", "phone")
@@ -304,8 +304,10 @@ def private_spans(docs: DataFrame, disclosed: float = DISCLOSED, id_col: str = "
     the distance of term and match. Copies of one passage are one piece of evidence: a pair needs CONTEXTS
     different contexts, of a match for terms within REACH terms of it, else of the term. Null texts count as
     empty; ids, null ones too, are returned as they are; rows of one id are judged each for itself. Texts of
-    any length are searched whole. An empty table gives no rows.
+    any length are searched whole. Columns of ``keep`` must not have a name of the operator's own; a clash is
+    an error. An empty table gives no rows.
     """
+    free_names(keep, "doc_id", "text", "more", "row", "base_sha256", "spans", *(f"n_{k}" for k in (*KINDS, SECRET, TERM)))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[docs[c] for c in keep])
     total = max(1, rows.count())
     entities = table(entities_of(rows), "entities")

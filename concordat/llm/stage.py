@@ -104,6 +104,12 @@ def types_of(docs: DataFrame, keep: tuple[str, ...]) -> list[str]:
     return [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
 
+def free_names(keep: tuple[str, ...], *own: str) -> None:
+    """An error if a column to keep has a name of the operator's own, as two columns of one name would be returned."""
+    if clash := sorted(set(keep) & set(own)):
+        raise ValueError(f"columns with names of the operator's own: {', '.join(clash)}")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """An eager reliable checkpoint, for small tables of iterative jobs."""
     shared = shared_dir(df.sparkSession)

@@ -198,7 +198,8 @@ def write_files(docs: DataFrame, path: str, to: str, end_id: int | None = None,
 def read_files(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32 and, if asked for, ids) of each document of a folder that ``write_files`` made.
 
-    The blocks decode independently; within one, all stretches between checkpoints decode together.
+    The blocks decode independently; within one, all stretches between checkpoints decode together. Null and
+    repeated ids come back as they were written; a folder of an empty table gives no rows.
     """
     rows = spark.read.schema("id long, bits int").parquet(f"{folder}/header").collect()
     lengths = np.zeros(max([r["id"] for r in rows], default=0) + 1, np.uint8)
@@ -235,7 +236,12 @@ def read_files(spark: SparkSession, folder: str, with_ids: bool = True) -> DataF
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int | None = 2) -> DataFrame:
-    """Write the corpus to a new folder of the shared one and read it back."""
+    """Write the corpus to a new folder of the shared one and read it back: (doc_id, start, n_tokens, ids_crc32) of each row.
+
+    A null text counts as empty and has only the end id; null ids come first and repeated ones are documents
+    of their own; texts may be of any length; other columns are not read. An empty table gives no rows. The
+    result reads the folder, which is the caller's to delete.
+    """
     spark = docs.sparkSession
     to = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_files(docs, path, to, end_id)

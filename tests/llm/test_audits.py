@@ -206,3 +206,17 @@ def test_buckets_settle_with_any_hash(bits, tmp_path, monkeypatch):
         got = {name: (n, low) for name, n, low in exact.settled(iter(records), held)}
         assert got == {r.name: (size[r.content], first[r.content]) for r in records}
     assert not list(tmp_path.iterdir())
+
+
+def test_clashing_names_are_refused(spark):
+    from concordat.llm import classifier, mixing, private
+
+    docs, labels = cases.frame(spark), cases.labels(spark)
+    for refused in (
+        lambda: mixing.mix_sources(docs, keep=("size",)),
+        lambda: private.private_spans(docs.withColumn("spans", F.lit(1)), keep=("spans",)),
+        lambda: classifier.quality_scores(docs, labels, keep=("score",)),
+        lambda: exact.exact_duplicates(docs, keep=("kept",)),
+    ):
+        with pytest.raises(ValueError, match="names of the operator's own"):
+            refused()
