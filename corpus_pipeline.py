@@ -67,7 +67,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each copy: count and digests, as the operator gives them; null texts have none."""
+    """Token ids of each copy: count and digests, as the operator gives them; null texts have none, an empty table gives no rows."""
     return bpe.encode_decode(docs, vocabulary("word_bpe_49k.json"))
 
 
