@@ -270,7 +270,7 @@ v as (
     select distinct uri, release_id, title, lower(version_title) as low, version_title, seconds from t join v
     on list_has_any(tw, regexp_split_to_array(rt, '\\s+')) and len(list_filter(aw, lambda w: contains(rt, w))) > 0 and seconds > duration_ms / 1000 + 30
 ), {blocks_sql('blocks', 'met', 'low', 'title')}
-select uri, release_id, version_title, seconds, 'Extended Mix' as mix from met join blocks using (low, title) where ratio > 0.7""")
+select uri, release_id, version_title, cast(seconds as bigint) as seconds, 'Extended Mix' as mix from met join blocks using (low, title) where ratio > 0.7""")
 def jn31_release_versions(spark, sf):
     s = b.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
     suppliers = F.broadcast(s.agg(F.count(F.lit(1)).alias("n")))  # one row
