@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +32,14 @@ def fingerprint(table: DataFrame) -> str:
     return f"{row['n']}:{row['h']}"
 
 
-def _write(spark: SparkSession, folder: str, number: int, tables: Tables, prints: dict[str, str]) -> None:
-    """The tables' files, then the manifest, whose single file is there or not."""
+def _write(spark: SparkSession, folder: str, number: int, tables: Tables, prints: dict[str, str], kept: dict | None = None, partition_by: dict[str, list[str]] | None = None) -> None:
+    """The tables' files, then the manifest, whose single file is there or not. ``kept`` has the places and schemas of tables of an earlier state."""
     places = {name: f"{folder}/data/{name}-{number:08d}-{uuid.uuid4().hex}" for name in tables}
     for name, df in tables.items():
-        df.write.parquet(places[name])
+        df.write.partitionBy(*(partition_by or {}).get(name, ())).parquet(places[name])
     schemas = {name: df.schema.json() for name, df in tables.items()}
+    if kept:
+        places, schemas = {**kept["tables"], **places}, {**kept["schemas"], **schemas}
     row = spark.createDataFrame([(places, schemas, prints, number)], _MANIFEST)
     row.coalesce(1).write.mode("errorifexists").json(f"{folder}/manifests/n={number:08d}")
 
@@ -64,14 +66,33 @@ def current(spark: SparkSession, folder: str) -> tuple[int, Tables]:
     return (manifest["number"], _read(spark, manifest)) if manifest else (0, {})
 
 
-def publish(spark: SparkSession, folder: str, tables: Tables, after: int) -> int:
-    """Write the tables as the state that follows number ``after``, and its number; StalePlan if that isn't the last one."""
-    if current(spark, folder)[0] != after:
+def publish(spark: SparkSession, folder: str, tables: Tables, after: int, keep: Sequence[str] = (), partition_by: dict[str, list[str]] | None = None) -> int:
+    """Write the tables as the state that follows number ``after``, and its number; StalePlan if that isn't the last one.
+
+    Tables of the last state named in ``keep`` belong to the new one too, by the files that they have.
+    """
+    last = _manifest(spark, folder)
+    if (last["number"] if last else 0) != after:
         raise StalePlan(f"state {after} is not the last one")
-    _write(spark, folder, after + 1, tables, {})
+    kept = {part: {name: last[part][name] for name in keep} for part in ("tables", "schemas")} if keep else None
+    _write(spark, folder, after + 1, tables, {}, kept, partition_by)
     return after + 1
 
 
+def purge(spark: SparkSession, folder: str) -> int:
+    """Delete the data files that the last state doesn't name, once nobody reads an older one: how many tables went."""
+    last = _manifest(spark, folder)
+    if last is None:
+        return 0
+    named = {path.rsplit("/", 1)[1] for path in last["tables"].values()}
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/data")
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [x.getPath() for x in system.listStatus(place) if x.getPath().getName() not in named]
+    for path in old:
+        system.delete(path, True)
+    return len(old)
+
+
 def save_plan(spark: SparkSession, folder: str, plan: Tables, made_from: Tables) -> None:
     """Keep a plan in a folder of its own, with the fingerprints of the tables that it was made from."""
     _write(spark, folder, 1, plan, {name: fingerprint(df) for name, df in made_from.items()})

@@ -9,7 +9,7 @@ from concordat import bindings as b
 from concordat import registry
 from concordat.bindings import with_roles
 from concordat.functions import text as T
-from concordat.operators import catalog, playlists, reconcile, validate
+from concordat.operators import catalog, kept_index, playlists, reconcile, validate
 from concordat.plans import versions
 from concordat.queries_files import _track_page_rows
 from concordat.queries_linkage import _ENTRIES, _entries
@@ -187,3 +187,35 @@ def log1_album_changes(spark, sf):
     """Tracks whose album changed, one without a name being unknown on both sides."""
     plan = reconcile.snapshot_diff(b.tracks(spark, sf), b.incoming(spark, sf), "uri", ["album"], norm={"album": T.album_label})
     return plan.where("action = 'update'").select("uri", T.album_label(F.col("old_album")).alias("old"), T.album_label(F.col("new_album")).alias("new"))
+
+
+def _changed_index(spark, sf):
+    """An index of the stored titles, changed to the incoming ones, back, and to the incoming ones again; and what each change did."""
+    to = _folder(spark, "title-index")
+    now, then = (df.select(F.col("uri").alias("key"), F.lower("title").alias("text")) for df in (b.tracks(spark, sf), b.incoming(spark, sf)))
+    return to, [kept_index.change(spark, to, df, slots=8) for df in (now, then, now, then)]
+
+
+@query(with_roles("tracks", "incoming") + """, n as (
+    select distinct lower(substr(p_name, 3, 1 + s_suppkey % 9)) as needle from supplier join part on p_partkey = s_suppkey
+    union select distinct lower(right(title, 5)) from incoming
+) select needle, uri as key from n join incoming on contains(lower(title), needle)""")
+def jn18_kept_index(spark, sf):
+    """Tracks whose title holds a text, from an index that changes have led to the incoming titles."""
+    to, _ = _changed_index(spark, sf)
+    key = F.col("s_suppkey").cast("int")
+    own = b.read(spark, sf, "supplier").join(b.read(spark, sf, "part"), F.col("p_partkey") == F.col("s_suppkey"))
+    own = own.select(F.lower(F.substring("p_name", F.lit(3), 1 + key % 9)).alias("needle"))
+    return kept_index.search(spark, to, own.unionByName(b.incoming(spark, sf).select(F.lower(F.right("title", F.lit(5))).alias("needle"))))
+
+
+@query(with_roles("tracks", "incoming") + """, moved as (
+    select t.title as old, i.title as new from tracks t full outer join incoming i using (uri) where t.title is distinct from i.title
+), step as (select unnest([2, 3, 4]) as state)
+select 1 as state, count(*) as added, 0 :: bigint as removed from tracks
+union all select state, case when state = 3 then count(old) else count(new) end, case when state = 3 then count(new) else count(old) end from step, moved group by state""")
+def jn18_index_changes(spark, sf):
+    """How many texts each change of the index wrote and took away: only what differs."""
+    _, done = _changed_index(spark, sf)
+    # One row for each of four changes.
+    return spark.createDataFrame([(x["state"], x["added"], x["removed"]) for x in done], "state int, added long, removed long")
