@@ -17,6 +17,7 @@ from concordat.functions import text as T
 from concordat.operators import catalog, duplicates, linkage, playlists, postings, reconcile
 from concordat.plans import exports, versions
 from concordat.sources import feeds, files
+from concordat.tables import tables_made
 
 from .conftest import SF
 
@@ -103,6 +104,10 @@ def test_assignment_is_one_to_one(spark):
     found = spark.createDataFrame([("f1", "a", 0.9), ("f2", "a", 0.95), ("f1", "b", 0.8), ("f3", "a", 0.95), ("f3", "b", 0.7)], "file_path string, uri string, confidence double")
     got = {(r["file_path"], r["uri"]) for r in linkage.assign_one_to_one(found).collect()}
     assert got == {("f2", "a"), ("f1", "b")}
+    odd = spark.createDataFrame([("f1", None, 1.0), (None, "a", 1.0), ("f1", "b", None)], found.schema)
+    for rest in (100, 2):
+        got = sorted((r["file_path"], r["uri"]) for r in linkage.assign_one_to_one(found.unionByName(found).unionByName(odd), rest).collect())
+        assert got == [("f1", "b"), ("f2", "a")]
 
 
 def greedy(pairs):
@@ -129,6 +134,15 @@ def test_assignment_goes_on_until_none_is_left(spark, rest):
     assert got == greedy(pairs)
 
 
+def test_assignment_of_files_that_rank_alike_takes_few_rounds(spark):
+    pairs = [(f"f{i:02}", f"u{j:02}", 1.0) for i in range(20) for j in range(20)]
+    with tables_made() as made:
+        got = {(r["file_path"], r["uri"]) for r in linkage.assign_one_to_one(spark.createDataFrame(pairs, "file_path string, uri string, confidence double"), 100).collect()}
+    assert got == greedy(pairs)
+    # 400 pairs, 100 or more settled in each round; by mutually best pairs alone there were 10.
+    assert sum("taken-pairs" in df.inputFiles()[0] for df in made if df.inputFiles()) <= 3
+
+
 def test_survivors_of_groups_with_one_short_id(spark):
     rows = [("same", "a1", "a1", True), ("same", "a1", "a2", False), ("same", "b1", "b1", False), ("same", "b1", "b2", True), ("own", "c1", "c1", True), ("own", "c1", "c2", False)]
     groups = spark.createDataFrame(rows, "group_id string, leader string, uri string, primary boolean")
