@@ -171,7 +171,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # One row for each range: a fixed number, so this side can be broadcast.
     to = [(low, h, heads[k - 1][0]) for k, (_, low, h) in enumerate(heads)]
     to = F.broadcast(docs.sparkSession.createDataFrame(to, "low long, h long, part int"))
-    lent = order.join(to, ["low", "h"])
+    # Of rows of one id and hash, however many, one is lent: the first of the order.
+    lent = order.join(to, ["low", "h"]).groupBy("part", "h").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text")).alias("x"))
+    lent = lent.select("part", "x.doc_id", "h", "x.text")
     cols = ["part", "doc_id", "h", "text"]
     both = placed.select(*cols, F.lit(False).alias("lent")).unionByName(lent.select(*cols, F.lit(True).alias("lent")))
     dealt = both.repartition("part").sortWithinPartitions("part", "lent", F.col("doc_id").asc_nulls_first(), "h", "text")
