@@ -60,7 +60,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays(cols, ["word", *(f"v{d}" for d in range(DIMS))])
 
     schema = "word int, " + ", ".join(f"v{d} long" for d in range(DIMS))
-    rows = fewer_tasks(docs.select("text")).mapInArrow(run, schema).groupBy("word").agg(*[F.sum(f"v{d}").alias(f"v{d}") for d in range(DIMS)]).collect()
+    rows = fewer_tasks(docs.select("text"), docs.select("text")).mapInArrow(run, schema).groupBy("word").agg(*[F.sum(f"v{d}").alias(f"v{d}") for d in range(DIMS)]).collect()
     out = np.zeros((WORDS, DIMS))
     for r in rows:
         out[r["word"]] = r[1:]

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch while a table is written: texts can be long, and a task holds two batches or more at once.
 BATCH_ROWS = 1_000
+#: Scan partitions that one task of ``fewer_tasks`` reads of a large table.
+MERGED = 8
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _MADE: list[list[DataFrame]] = []
 _FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -86,12 +88,18 @@ def tables_made() -> Iterator[list[DataFrame]]:
         _MADE.remove(made)
 
 
-def fewer_tasks(df: DataFrame) -> DataFrame:
-    """``df`` in at most twice as many tasks as a shuffle has partitions, without a shuffle.
+def fewer_tasks(df: DataFrame, read: DataFrame) -> DataFrame:
+    """``df``, made of each row of ``read``, in fewer tasks without a shuffle: twice as many as a shuffle has partitions, or more where ``read`` is large.
 
-    For tasks that each give a table of fixed size: what they give must not grow with the number of files.
+    For tasks that each give a table of fixed size, some megabytes. One for each ``MERGED`` scan partitions (a
+    gigabyte at the usual size) is little beside what it read, and a lost task reads no more than that again.
+    The size is Spark's own estimate, for which nothing runs; if it is too large, fewer partitions are merged.
     """
-    return df.coalesce(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = df.sparkSession
+    size = int(str(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    scan = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // (MERGED * scan))
+    return df.coalesce(min(tasks, 2**31 - 1))
 
 
 def numbered(docs: DataFrame) -> DataFrame:

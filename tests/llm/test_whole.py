@@ -440,3 +440,32 @@ def test_tables_are_written_in_short_batches(spark):
         most = stage.table(rows.mapInArrow(sizes, "id long"), "sizes").agg(F.max("id")).first()[0]
         assert most == (7 if own == "7" else stage.BATCH_ROWS) and spark.conf.get(name, None) == own
         spark.conf.unset(name)
+
+
+def test_next_texts_of_rows_that_many_repeat(spark):
+    """Repeated heads of ranges: each row's next text is the one behind it in the order."""
+    rows = [(None, "n" * 40)] * 30 + [(5, "s" * 40)] * 30 + [(k, f"{k}" * 20) for k in range(6, 60)]
+    got = fingerprint.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    after = [t for _, t in rows[1:]] + [rows[0][1]]
+    edited = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for (_, t), n in zip(rows, after)]
+    want = sorted((str(i), hashlib.sha256(e.encode()).hexdigest()) for (i, _), e in zip(rows, edited))
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got) == want
+
+
+def test_counts_of_a_table_read_in_many_tasks(spark, tmp_path):
+    texts = [(k, f"word{k % 7} and word{k % 11} in text {k}", "x") for k in range(400)]
+    spark.createDataFrame(texts, "doc_id long, text string, more string").repartition(40).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs").select("text", (F.col("doc_id") % 3 == 0).alias("trusted"))
+    few = stage.fewer_tasks(docs, docs).rdd.getNumPartitions()
+    raw, trusted = rules.ngram_counts(docs, docs)
+    own = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        many = stage.fewer_tasks(docs, docs).rdd.getNumPartitions()
+        again = rules.ngram_counts(docs, docs)
+    finally:
+        for c, v in own.items():
+            spark.conf.set(c, v)
+    assert few <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) < many
+    assert (raw == again[0]).all() and (trusted == again[1]).all() and raw.sum() > trusted.sum() > 0
