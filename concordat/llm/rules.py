@@ -6,15 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.samples import drawn
-from concordat.llm.stage import fewer_tasks, table
+from concordat.llm.stage import discard, fewer_tasks, table
 from concordat.llm.text import U, blocks, mix, pair_hashes, rows_of, span_hashes, sums_by_row, token_spans, word_spans
 
-#: Buckets of hashed uni- and bigrams; the most trusted and the most rejected rows that are learned from.
-BUCKETS, TRUSTED = 1 << 16, 20_000
+#: Buckets of hashed uni- and bigrams, and bins of values in a round of ``quantile``.
+BUCKETS, BINS = 1 << 16, 4096
 #: Share of the trusted rows that the threshold may reject.
 LOSS = 0.002
 SYMBOLS = b"#*$%&|<>"
@@ -110,22 +109,59 @@ def log_ratio(raw: np.ndarray, trusted: np.ndarray) -> np.ndarray:
     return np.log(q / p)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, loss: float = LOSS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quantile(values: DataFrame, share: float) -> float | None:
+    """The exact ``share`` quantile of the one column of ``values``, interpolated between neighbours; None without values.
+
+    Each round counts the values in equal bins and goes on within the bin that holds the rank, until all in
+    it are equal: a task holds the counts of BINS bins, however many values there are.
+    """
+    x = F.col(values.columns[0])
+    n, low, high = values.agg(F.count(x), F.min(x), F.max(x)).first()
+    if not n:
+        return None
+    place = (n - 1) * share
+    rank, below = int(place), 0
+    while low < high:
+        # The least value is in the first bin and the greatest in the last, so every round leaves fewer.
+        bin_of = F.least(F.floor((x - low) / (high - low) * BINS), F.lit(BINS - 1)).alias("bin")
+        found = values.where(x.between(low, high)).groupBy(bin_of).agg(F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+        for r in sorted(found.collect(), key=lambda r: r["bin"]):
+            if below + r["n"] > rank:
+                low, high = r["low"], r["high"]
+                break
+            below += r["n"]
+    upto, after = values.agg(F.count_if(x <= low), F.min(F.when(x > low, x))).first()
+    if upto > rank + 1 or after is None:
+        return low
+    return (rank + 1 - place) * low + (place - rank) * after
+
+
+def counted(doc_id: Column) -> Column:
+    """Whether a trusted row of this id makes up the trusted text, else it sets the threshold; false for a null id, which is never trusted."""
+    return doc_id.isNotNull() & (F.pmod(F.xxhash64(doc_id, F.lit(5)), F.lit(2)) == 0)
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, loss: float = LOSS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, threshold, kept) of each row.
 
     llr is the mean log-likelihood ratio of a text's hashed n-grams under trusted text, to all rows' text.
-    Trusted are at most ``trusted`` rows that ``labels.quality`` marks 1: half of them, by hash of the id, make
-    up the trusted text; the others, which it has not seen, set the threshold, as the ``loss`` quantile of
-    those that pass the base rules. A row is kept if it passes these and its llr is at least the threshold.
-    Without labels the ratio is 0 everywhere and nothing goes by it. Null and empty texts have zeros and
-    fail the base rules. Ids, null ones too, are returned as they are; repeated rows count as often as they
-    are there, and get the same verdict. An empty table gives no rows.
+    Trusted are all rows that ``labels.quality`` marks 1, an id with several labels by the least of them; each
+    has a part: half of them, by hash of the id, make up the trusted text; the others, which it has not seen,
+    set the threshold, as the exact ``loss`` quantile of those that pass the base rules. A row is kept if it
+    passes these and its llr is at least the threshold. Without labels the ratio is 0 everywhere and nothing
+    goes by it. Null and empty texts have zeros and fail the base rules. Ids, null ones too, are returned as
+    they are; repeated rows count as often as they are there, and get the same verdict. An empty table gives
+    no rows.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    # At most ``trusted`` ids of 8 bytes: a fixed bound, so the side can be broadcast.
-    good = F.broadcast(drawn(labels, "quality", 1, trusted).withColumn("trusted", F.lit(True)))
-    counted = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)) == 0
-    marked = rows.join(good.where(counted), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    one = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label"))
+    ids = table(one.where("label = 1").select("doc_id", F.lit(True).alias("trusted")), "trusted-ids")
+    own = counted(F.col("doc_id"))
+    # Trusted ids grow with the table, so they are shuffled at every size; of the texts only the half that can be counted goes with them.
+    # As a table of their own they leave Spark free to deal the rows of an id that very many share over several tasks.
+    good = ids.hint("merge")
+    asked = rows.where(own).join(good, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    marked = asked.union(rows.where(~own).select("text", F.lit(False)))
     ratio = log_ratio(*ngram_counts(marked, rows))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -140,8 +176,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, lo
     scored = rows.mapInArrow(score, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", llr double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scored = table(scored.withColumn("base_failed", failed), "quality-scores")
-    known = scored.where("not base_failed").join(good.where(~counted), "doc_id").select("llr")
-    cut = known.agg(F.expr(f"percentile(llr, {loss})").alias("t")).first()["t"]
+    known = table(scored.where(~F.col("base_failed") & ~own).join(good, "doc_id").select("llr"), "trusted-scores")
+    cut = quantile(known, loss)
+    discard(known, ids)
     cut = 0.0 if cut is None else float(cut)
     verdict = ~F.col("base_failed") & (F.col("llr") >= cut)
     return scored.withColumn("threshold", F.lit(cut)).withColumn("kept", verdict)

@@ -22,12 +22,3 @@ def least_hashed(rows: DataFrame, limit: int) -> DataFrame:
     if n > 4 * limit:
         rows = rows.where(place < int((1 << 40) * 2 * limit / n))
     return rows.orderBy(place, "doc_id").limit(limit)
-
-
-def drawn(labels: DataFrame, column: str, value: int, limit: int) -> DataFrame:
-    """At most ``limit`` distinct ids (doc_id) whose label ``column`` is ``value``: those of least hash.
-
-    An id with several labels has the least of them.
-    """
-    one = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(column).alias("label"))
-    return least_hashed(one.where(F.col("label") == value).select("doc_id"), limit)

@@ -385,6 +385,37 @@ def test_quality_verdict_by_force(spark):
     assert all(r["kept"] == (not r["base_failed"] and r["llr"] >= r["threshold"]) for r in got.values())
 
 
+def test_every_trusted_row_has_a_part_in_the_verdict(spark):
+    """More trusted rows than a bounded draw took: counts and threshold of all of them."""
+    texts = [" ".join(f"w{(k * k + j * j * 31) % 4001}" for j in range(10 + k % 5)) for k in range(26_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])] * 3, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(k, int(k % 10 > 0)) for k in range(26_000)], "doc_id long, quality int")
+    held = np.array([r["k"] == 0 for r in labels.orderBy("doc_id").select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("k")).collect()])
+    good = np.arange(26_000) % 10 > 0
+    raw = [t.encode() for t in texts + texts[:1] * 3]
+    found, bounds = rules.ngrams(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    row = text.rows_of(bounds)
+    chosen = np.append(good & held, [False] * 3)[row]
+    ratio = rules.log_ratio(np.bincount(found, minlength=rules.BUCKETS), np.bincount(found[chosen], minlength=rules.BUCKETS))
+    llr = np.bincount(row, ratio[found]) / np.diff(bounds)
+    cut = np.quantile(llr[:26_000][good & ~held], rules.LOSS)
+    got = rules.quality_rules(docs, labels).collect()
+    assert len(got) == 26_003 and all(abs(r["threshold"] - cut) < 1e-12 for r in got)
+    assert all(abs(r["llr"] - llr[r["doc_id"] or 0]) < 1e-9 for r in got)
+    assert all(r["kept"] == (r["llr"] >= r["threshold"]) for r in got) and {r["kept"] for r in got} == {True, False}
+
+
+def test_quantile_of_values_of_any_spread(spark):
+    rng = np.random.default_rng(8)
+    lists = [[], [3.5], [2.0] * 50, [-1.0, 4.0], [0.0, -0.0, 1e-300, 1e-305], rng.normal(size=3_000).round(2).tolist()]
+    lists += [(1 + rng.random(2_000) * 1e-13).tolist() + [-1e9, 1e9], (-(10.0 ** -rng.integers(0, 200, 500))).tolist()]
+    for values in lists:
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(3)
+        for share in (0.002, 0.5, 1.0):
+            got = rules.quantile(df, share)
+            assert got is None if not values else np.isclose(got, np.quantile(values, share), rtol=1e-12, atol=0.0), (values[:5], share)
+
+
 def test_classifier_by_force(spark):
     """Context sums, pooled features and the network's forward pass, computed word by word."""
     docs = q.documents(spark, SF)
