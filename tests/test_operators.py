@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from concordat import bindings as b
+from concordat import queries_sources
 from concordat.functions import similarity
 from concordat.functions import text as T
 from concordat.operators import catalog, duplicates, linkage, playlists, postings, reconcile
@@ -289,3 +290,12 @@ def test_versions(spark, tmp_path):
     assert versions.emptied(old).count() == 0
     with pytest.raises(Exception):
         versions.write_version(new, str(tmp_path), 2)
+
+
+def test_many_small_files_are_written_by_the_tasks_and_replaced_whole(spark, tmp_path):
+    root = str(tmp_path / "music")
+    rows = spark.createDataFrame([(k, f"first {k}", n) for k in range(50) for n in (2, 1)], "key long, line string, n int")
+    queries_sources._text_files(rows, f"file://{root}", "mp3", order="n")
+    queries_sources._text_files(rows.where("key < 3 and n = 1").withColumn("line", F.lit("é")), f"file://{root}", "mp3", "ISO-8859-1", mode="overwrite")
+    found = {str(p.relative_to(root)): p.read_bytes() for p in (tmp_path / "music").rglob("*") if p.is_file()}
+    assert found == {f"key={k}/lines.mp3": b"\xe9\n" if k < 3 else f"first {k}\nfirst {k}\n".encode() for k in range(50)}
