@@ -1,13 +1,17 @@
 """Linking's arms and the ratio join against brute force."""
 
 import random
+import re
 
 import pytest
 
+from concordat import queries_linkage
 from concordat.functions.similarity import lcs_length, lcs_lengths
 from concordat.operators import linkage
 from concordat.operators.similar import ratio_pairs
 
+from .conftest import SF
+
 TRACKS = "uri string, track_id string, title string, artists string, album string, duration_ms long, is_local boolean"
 
 
@@ -125,3 +129,9 @@ def test_files_like_a_name_without_a_common_word(spark):
     (row,) = linkage.find_files(wanted, files).collect()
     assert (row["file_path"], row["rule"]) == ("/metalica - nothing else maters.mp3", "fuzzy")
     assert row["score"] == pytest.approx(ratio("metallica - nothing else matters", "metalica - nothing else maters"), abs=1e-6)
+
+
+def test_what_grows_with_title_pairs_is_not_broadcast_by_the_size_of_its_files(spark):
+    plan = queries_linkage.comp6_link_records(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    keys = set(re.findall(r"BroadcastHashJoin \[(\w+)#", plan))
+    assert not keys & {"base", "artist", "low", "file_path", "track_title", "title"}, keys
