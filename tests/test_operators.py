@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from concordat import bindings as b
-from concordat import queries_sources
+from concordat import queries_files, queries_sources
 from concordat.functions import similarity
 from concordat.functions import text as T
 from concordat.operators import catalog, duplicates, linkage, playlists, postings, reconcile
@@ -327,3 +327,12 @@ def test_a_stream_of_many_small_files_takes_few_tasks(spark, tmp_path, a_task_fo
     out = queries_sources._streamed(files.playlist_texts(spark, str(tmp_path / "in"), stream=True), str(tmp_path))
     assert out.count() == 60
     assert len(list((tmp_path / "out").rglob("part-*.parquet"))) <= 16
+
+
+def test_pages_of_feeds_are_kept_compressed(spark, tmp_path):
+    queries_files._write_pages(queries_files._track_page_rows(spark, SF), str(tmp_path / "pages"))
+    back = feeds.read_pages(spark, str(tmp_path / "pages"), feeds.TRACK_PAGE)
+    plain = back.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+    kept = list((tmp_path / "pages").glob("part-*"))
+    assert kept and 4 * sum(p.stat().st_size for p in kept) < plain
+    assert feeds.tracks(back).count() == b.pairs(spark, SF).join(b.tracks(spark, SF), "uri").count()
